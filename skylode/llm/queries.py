@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licences, mixing, pii, toxicity, vectors
+from . import bpe, chat, jaccard, licences, mixing, pii, toxicity, vectors
 from .common import small_batches, table
 
 
@@ -46,11 +46,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, scorer).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.counts(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_additive_ann, op4_byte_bpe, op6_curriculum_mix, op7_kd_topk, op8_toxicity, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_additive_ann, op4_byte_bpe, op6_curriculum_mix, op7_kd_topk, op8_toxicity, op9_jaccard_join, op10_pii)}
 
 ORACLES = {
     "op2_chat_format": r"""
