@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licences, mixing, pii, toxicity, vectors
+from . import bpe, chat, jaccard, licences, mixing, pii, repeats, toxicity, vectors
 from .common import small_batches, table
 
 
@@ -31,6 +31,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, form="digest")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.counts(pii.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_additive_ann, op4_byte_bpe, op6_curriculum_mix, op7_kd_topk, op8_toxicity, op9_jaccard_join, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_additive_ann, op4_byte_bpe, op5_suffix_dedup, op6_curriculum_mix, op7_kd_topk, op8_toxicity, op9_jaccard_join, op10_pii)}
 
 ORACLES = {
     "op2_chat_format": r"""
