@@ -20,6 +20,7 @@ import hashlib
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -244,16 +245,21 @@ def encode(documents: DataFrame, path: str, pattern: str, keep: Iterable[str] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(key, shared.value, pattern)
         for batch in batches:
-            n, out = [], {name: [] for name, _ in told}
+            n, raws, out = [], [], {name: [] for name, _ in told}
             for text in batch.column("__text"):
                 raw = own.encode_packed(text.as_py() or "")
                 n.append(len(raw) // 4)
                 if form == "ids":
-                    out["ids"].append(list(memoryview(raw).cast("I")))
+                    raws.append(raw)
                 else:
                     out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(own.decode_packed(raw)).hexdigest())
-            columns = [batch.column(c) for c in keep] + [pa.array(n, pa.int64())] + [pa.array(out[name], kind) for name, kind in told]
+            columns = [batch.column(c) for c in keep] + [pa.array(n, pa.int64())]
+            if form == "ids":
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raws), "<u4").astype(np.int32))))
+            else:
+                columns += [pa.array(out[name], kind) for name, kind in told]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long", kinds])

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored
@@ -269,3 +269,16 @@ def join(documents: DataFrame) -> DataFrame:
     named = vertices.join(linked.withColumnRenamed("id", "v"), "v", "left").select("k1", "k2", F.coalesce("component", "v").alias("c"))
     out = d.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """documents with one document of each component, that with the smallest id; same columns.
+
+    Documents without shingles all stay, and so do rows without an id, which no id can tell apart. Of rows that repeat
+    an id one stays.
+    """
+    firsts = join(documents).where("doc_id = component_id").select("doc_id", (F.col("n_shingles") > 0).alias("__full")).distinct()
+    named = documents.where("doc_id is not null").join(firsts, "doc_id")
+    w = Window.partitionBy("doc_id").orderBy(F.desc("__full"), F.xxhash64("text"))
+    one = named.withColumn("__row", F.row_number().over(w)).where("__row = 1 or not __full")
+    return one.select(*documents.columns).unionByName(documents.where("doc_id is null"))

@@ -74,3 +74,17 @@ def mix(documents: DataFrame, weights=(5, 2, 1), budget: float = 1.5, repeats: f
 
     out = d.select("doc_id", "source", "size", "source_size", "target", "taken", at(F.col("start").cast("double")).alias("first_at"), at(((times - 1) * F.col("source_size") + F.col("start")).cast("double")).alias("last_at"))
     return out.orderBy("first_at", "doc_id")
+
+
+def resample(documents: DataFrame, **how) -> DataFrame:
+    """documents as the mix takes them, in training order over ranges; same columns.
+
+    A document comes once for each pass over it; the last pass counts if it takes half of the document or more, so each
+    source comes within half a document of its target. Rows that repeat an id are taken alike.
+    """
+    m = mix(documents, **how).where("taken > 0")
+    copies = F.floor(F.col("taken") / F.col("size")) + F.when(2 * (F.col("taken") % F.col("size")) >= F.col("size"), 1).otherwise(0)
+    m = m.withColumn("copies", copies.cast("int")).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"), F.min("first_at").alias("__first"), F.max("last_at").alias("__last")).withColumnRenamed("doc_id", "__id")
+    taken = documents.join(m, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    at = F.when(F.col("__copies") == 1, F.col("__first")).otherwise(F.col("__first") + (F.col("__last") - F.col("__first")) * (F.col("__pass") - 1) / (F.col("__copies") - 1))
+    return taken.withColumn("__at", at).orderBy("__at", "doc_id").select(*[f"`{c}`" for c in documents.columns])

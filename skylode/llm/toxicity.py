@@ -132,15 +132,21 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 16_000, entries
     return Scorer(lexicon, model)
 
 
+def reject(documents: DataFrame, scorer: Scorer, least: float = 0.7) -> DataFrame:
+    """documents without those that score ``least`` or more; same columns."""
+    return score(documents, scorer, documents.columns).where(F.col("__score") < least).drop("__score")
+
+
 def score(documents: DataFrame, scorer: Scorer, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """Adds score (0 to 1, higher: label 1 is likelier) to the columns in keep."""
     keep = list(keep)
+    name = "text" if "text" in keep else "__text"
     shared = documents.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = shared.value.scores([t.as_py() for t in batch.column("__text")])
+            own = shared.value.scores([t.as_py() for t in batch.column(name)])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(own, pa.float64())], names=[*keep, "__score"])
 
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep), "__score double"])
-    return documents.select(*keep, documents["text"].alias("__text")).mapInArrow(run, schema)
+    return documents.select(*keep, *([documents["text"].alias(name)] if name not in keep else [])).mapInArrow(run, schema)
