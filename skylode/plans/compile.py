@@ -119,6 +119,10 @@ def positions(tokens: Column, term: str, offset: int) -> Column:
     return F.filter(F.transform(tokens, lambda t, i: F.when(t == term, i - offset)), lambda i: i.isNotNull())
 
 
+def _moved(places: Column, offset: int) -> Column:
+    return F.transform(places, lambda p: p - F.lit(offset))
+
+
 def over_postings(q: Query, index, stats: Stats | None, modes: Modes) -> DataFrame:
     """(doc_id, score) of the documents that match. index has docs, postings(field, terms) and lengths."""
     if isinstance(q, Boost):
@@ -135,7 +139,7 @@ def over_postings(q: Query, index, stats: Stats | None, modes: Modes) -> DataFra
             hits = rows.select("doc_id", F.col("freq"))
         else:
             at = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")).where(F.size("at") == len(terms))
-            spots = [F.transform(F.element_at("at", t), lambda p, o=o: p - F.lit(o)) for t, o in zip(q.terms, q.positions, strict=True)]
+            spots = [_moved(F.element_at("at", t), o) for t, o in zip(q.terms, q.positions, strict=True)]
             hits = at.select("doc_id", F.size(reduce(F.array_intersect, spots)).alias("freq")).where("freq > 0")
         if stats is None:
             return hits.select("doc_id", F.lit(0.0).alias("score"))
