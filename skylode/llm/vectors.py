@@ -94,7 +94,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.
     return codes.astype(np.uint8), (made * made).sum(1)
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 8, size: int = 256, beam: int = 4, rerank: int = 200, sample: int = 8192, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 16, size: int = 256, beam: int = 4, rerank: int = 400, sample: int = 8192, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """The k nearest found for the rows whose vec_id is divisible by every: query_id, rank, vec_id, score.
 
     Directions (vectors over their norm) are what is quantised. The codebooks are fitted on ``sample`` rows, the first
