@@ -42,16 +42,27 @@ def compared(a: Column, b: Column, nan_direction: int = 1) -> Column:
     return one.otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0)).cast("int")
 
 
-def with_granule(df: DataFrame, order: str, size: int = GRANULE) -> DataFrame:
-    """df with each row's granule by its place in the order of a column with distinct values.
+def running(df: DataFrame, order: str, value: Column, into: str = "before", parts: int = 64, *more: Column) -> DataFrame:
+    """df with the sum of value over all rows that come before in the order of a numeric column (then of ``more``).
 
-    Places come from counts of ranges, so the one row of counts a range, and not the rows, meet in one task.
+    Rows are dealt into ranges by approximate quantiles (``parts`` numbers at most, the only thing the driver gets); each
+    range sums by itself, and the sums of the ranges before, one row each, are broadcast.
     """
-    parts = df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    ahead = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("__row", inside).join(F.broadcast(sizes.select("__part", ahead.alias("__ahead"))), "__part").withColumn("granule", F.floor((F.col("__ahead") + F.col("__row")) / size).cast("long")).drop("__part", "__row", "__ahead")
+    bounds = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)])).first()[0] or []
+    bounds = sorted(set(bounds))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(order))) if bounds else F.lit(0)
+    dealt = df.withColumn("__range", at).withColumn("__value", value)
+    inside = F.sum("__value").over(Window.partitionBy("__range").orderBy(order, *more).rowsBetween(Window.unboundedPreceding, -1))
+    sums = dealt.groupBy("__range").agg(F.sum("__value").alias("__sum"))
+    ahead = F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = F.broadcast(sums.select("__range", F.coalesce(ahead, F.lit(0)).alias("__ahead")))
+    out = dealt.withColumn(into, F.coalesce(inside, F.lit(0))).join(sums, "__range")
+    return out.withColumn(into, F.col(into) + F.col("__ahead")).drop("__range", "__value", "__ahead")
+
+
+def with_granule(df: DataFrame, order: str, size: int = GRANULE) -> DataFrame:
+    """df with each row's granule by its place in the order of a numeric column with distinct values."""
+    return running(df, order, F.lit(1).cast("long"), "granule").withColumn("granule", F.floor(F.col("granule") / size).cast("long"))
 
 
 def min_max(granules: DataFrame, column: str) -> DataFrame:
@@ -73,8 +84,7 @@ def range_count(df: DataFrame, column: str, lower, upper, include_lower: bool =
 
 def adaptive_marks(df: DataFrame, order: str, bytes_of: Column, limit: int) -> DataFrame:
     """Marks where the running sum of bytes passes multiples of limit: mark, first place in order, rows."""
-    upto = F.sum(bytes_of).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.select(F.col(order).alias("at"), F.floor(F.coalesce(upto, F.lit(0)) / limit).cast("long").alias("mark"))
+    rows = running(df, order, bytes_of.cast("long"), "__bytes").select(F.col(order).alias("at"), F.floor(F.col("__bytes") / limit).cast("long").alias("mark"))
     return rows.groupBy("mark").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as sv
+from .columns import running
 
 
 def _literal(query: dict[int, float]) -> Column:
@@ -47,8 +47,8 @@ def bins(vectors: DataFrame, n: int) -> DataFrame:
     Ranks come from counts of distinct weights, so the sort is over these and not over all entries.
     """
     w = vectors.select(F.explode("v").alias("e")).select(F.col("e.w").alias("w")).where("w > 0").groupBy("w").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0))
-    w = w.withColumn("upto", upto).withColumn("all", F.sum("c").over(Window.partitionBy()))
+    every = w.agg(F.sum("c").alias("all"))
+    w = running(w, "w", F.col("c"), "before").withColumn("upto", F.col("before") + F.col("c")).crossJoin(F.broadcast(every))  # one row
     per = F.greatest(F.floor(F.col("all") / n), F.lit(1))
     w = w.withColumn("bin", F.least(F.floor((F.col("upto") - 1) / per), F.lit(n - 1)).cast("int"))
     return w.groupBy("bin").agg((F.sum(F.col("w") * F.col("c")) / F.sum("c")).alias("value"), F.min("w").alias("low"), F.max("w").alias("high"))
