@@ -3,9 +3,12 @@
 1. A pass over the texts hashes shingles (64 bits) and identifies sets (128 bits); equal sets become one vertex.
 2. Candidates: with overlap t, two sets share one of the n - ceil(t n) + 1 smallest hashes of each (prefix filter). The
    sets that hold a prefix hash stand in a row by size. In short rows, pairs are counted over all hashes; what a pair
-   shares among its prefixes bounds the whole overlap (shared + what lies beyond the shorter horizon), and pairs below
-   the limit go. In long rows no pair is made: sets whose sizes follow one another closely enough are tied to the first
-   of their run, which can tie too much, but never too little. So every link lies inside a component of these ties.
+   shares among its prefixes (short rows, and at most all of its hashes in long ones) bounds the whole overlap (shared
+   + what lies beyond the shorter horizon), and pairs below the limit go. In long rows no pair is made. A pair that
+   shares no short row shares long ones alone, and ``least_shared`` of them, so sets with fewer hashes in long rows
+   leave them: a passage in many texts ties none of them. The others are tied, where their sizes follow one another
+   closely enough, to the first of their run; that can tie too much, but never too little. So every link lies inside
+   a component of these candidates.
 3. Each such block is dealt in tiles of bounded size; a pair of tiles meets in one task. A signature tree over each
    tile holds in its nodes the OR of their sets' bitmaps, the range of sizes and the largest number of hashes that share
    a bit. A dual traversal, level by level, drops node pairs whose bitmaps and sizes allow no overlap that is large
@@ -27,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import batches_of, components, stored
 from .hashing import shingle_sets
 
-SHORT, TILE, LEAF, FAN = 16, 1024, 16, 8
+SHORT, TILE, LEAF, FAN, ENTRIES = 16, 1024, 16, 8, 50_000
 
 
 def least_overlap(a, b):
@@ -43,71 +46,94 @@ def _bytes(column) -> list[bytes]:
 
 
 def sets_of(documents: DataFrame) -> DataFrame:
-    """doc_id, n, k1, k2 (both null without shingles) and prefix (the smallest hashes, ascending as unsigned)."""
+    """doc_id, n, k1, k2 (both null without shingles), prefix (the smallest hashes, ascending as unsigned), its size p
+    and its last hash most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, prefix = [], [], [], []
+            n, k1, k2, most, prefix = [], [], [], [], []
             for s in shingle_sets(_bytes(batch.column(1))):
                 n.append(len(s))
                 key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 k1.append(int(key[0]) if len(s) else None)
                 k2.append(int(key[1]) if len(s) else None)
                 prefix.append(s[: len(s) - -(-3 * len(s) // 4) + 1].view(np.int64) if len(s) else np.zeros(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
+                most.append(int(prefix[-1][-1]) if len(s) else None)
+            p = [len(x) for x in prefix]
+            ends = np.concatenate([[0], np.cumsum(p)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists], names=["doc_id", "n", "k1", "k2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(p, pa.int64()), pa.array(most, pa.int64()), lists], names=["doc_id", "n", "k1", "k2", "p", "most", "prefix"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, p long, most long, prefix array<long>")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries (s, n, v) sorted by s, n, v -> for rows of up to SHORT sets their pairs (a, b), for longer ones their
+    entries (a, s, n). A row is never held whole: a long one is passed on as it comes."""
+    none = np.zeros(0, np.int64)
+    held, known = (none, none, none), None  # entries of the last row so far; that row, if it is long
+
+    def made(pairs_a, pairs_b, long_v, long_s, long_n) -> pa.RecordBatch:
+        gap = lambda k: pa.nulls(k, pa.int64())
+        columns = ([pa.array(pairs_a), pa.array(long_v)], [pa.array(pairs_b), gap(len(long_v))], [gap(len(pairs_a)), pa.array(long_s)], [gap(len(pairs_a)), pa.array(long_n)])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "s", "n"])
+
+    def work(s, n, v, last: bool):
+        nonlocal known
+        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        size = np.diff(np.append(at, len(s)))
+        many = size > SHORT
+        many[0] |= known is not None and s[0] == known
+        own = np.repeat(many, size)
+        known = s[-1] if many[-1] else None
+        row = np.repeat(np.arange(len(at)), size)
+        if not last and not many[-1]:  # goes on in the next batch
+            rest = slice(at[-1], None)
+            keep, few = (s[rest], n[rest], v[rest]), ~own & (row < len(at) - 1)
+        else:
+            keep, few = (none, none, none), ~own
+        out_a, out_b = [none], [none]
+        for d in range(1, SHORT):
+            i = np.flatnonzero(few[:-d] & (row[:-d] == row[d:])) if len(s) > d else none
+            if not len(i):
+                break
+            i = i[(4 * n[i] >= 3 * n[i + d]) & (v[i] != v[i + d])]
+            out_a.append(np.minimum(v[i], v[i + d]))
+            out_b.append(np.maximum(v[i], v[i + d]))
+        return keep, made(np.concatenate(out_a), np.concatenate(out_b), v[own], s[own], n[own])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
+    for batch in batches:
+        s, n, v = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
+        if len(s):
+            held, out = work(s, n, v, False)
+            yield out
+    if len(held[0]):
+        yield work(*held, True)[1]
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (s, n, v) sorted by s, n, v -> (a, b, shared): 1 for a pair of a short row, null for a tie of a long one."""
-    state = {"s": None, "rows": [], "first": None, "last": None, "long": False}
-    out: list[tuple[int, int, int | None]] = []
-
-    def close() -> None:
-        rows = state["rows"]
-        if not state["long"]:
-            for j in range(1, len(rows)):
-                for i in range(j):
-                    if 4 * rows[i][0] >= 3 * rows[j][0]:
-                        out.append((min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1]), 1))
-
-    def tie(n: int, v: int) -> None:
-        if state["last"] is None or 4 * state["last"] < 3 * n:
-            state["first"] = v
-        elif v != state["first"]:
-            out.append((min(v, state["first"]), max(v, state["first"]), None))
-        state["last"] = n
-
-    def flush() -> pa.RecordBatch:
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        batch = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["a", "b", "shared"])
-        out.clear()
-        return batch
-
+    """Entries (s, n, v) sorted by s, n, v -> (a, b): each set with the first of its run of close sizes in its row."""
+    last_s = last_n = first = None
     for batch in batches:
-        for s, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if s != state["s"]:
-                close()
-                state.update(s=s, rows=[], first=None, last=None, long=False)
-            if state["rows"] and state["rows"][-1][1] == v:
-                continue
-            if state["long"]:
-                tie(n, v)
-                continue
-            state["rows"].append((n, v))
-            if len(state["rows"]) > SHORT:
-                state["long"] = True
-                for x in state["rows"]:
-                    tie(*x)
-                state["rows"] = state["rows"][-1:]
-        if out:
-            yield flush()
-    close()
-    if out:
-        yield flush()
+        a, b = [], []
+        for s, n, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if s != last_s or 4 * last_n < 3 * n:
+                first = v
+            elif v != first:
+                a.append(min(v, first))
+                b.append(max(v, first))
+            last_s, last_n = s, n
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def least_shared(n, p):
+    """How many hashes linked sets share among their prefixes at least.
+
+    Of the prefix with the lower horizon, p' >= 3/4 p hashes, those shared are a random draw (hashes order by chance)
+    from a set of which 3/4 are shared: below the mean less 7 standard deviations with a probability under 1e-11.
+    """
+    q = p * 0.75
+    return F.greatest(F.lit(1), F.floor(0.75 * q - 7 * F.sqrt(0.1875 * q)))
 
 
 class Tree:
@@ -243,20 +269,29 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def join(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id; one row a row."""
     d = stored(sets_of(documents), "sets")
-    reps = d.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"))
+    reps = d.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("v"), *[F.min(c).alias(c) for c in ("n", "p", "most")])
     vertices = stored(reps.where("v is not null"), "vertices")
-    own = d.where("k1 is not null").select(F.col("doc_id").alias("v"), "prefix").join(vertices.select("v", "n").distinct(), "v")
+    # No bound holds for a vertex that stands for several sets (an id with several texts): its pairs all stay.
+    ends = vertices.groupBy("v").agg(F.max("n").alias("n"), F.min("p").alias("p"), F.min("most").alias("most"), F.count("*").alias("kinds"))
+    own = d.where("k1 is not null").select(F.col("doc_id").alias("v"), "n", "prefix").join(ends.select("v"), "v", "left_semi")
     spread = own.select(F.explode("prefix").alias("s"), "n", "v")
-    ties = stored(spread.repartition(F.col("s")).sortWithinPartitions("s", "n", "v").mapInArrow(_ties, "a long, b long, shared long"), "ties")
-    ends = own.select("v", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("most"))
-    counted = ties.where("shared is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    spark = documents.sparkSession
+    with batches_of(spark, ENTRIES):
+        rows = stored(spread.repartition(F.col("s")).sortWithinPartitions("s", "n", "v").mapInArrow(_rows, "a long, b long, s long, n long"), "rows")
+        in_long = stored(rows.where("s is not null").groupBy(F.col("a").alias("v")).agg(F.count("*").alias("many")), "long")
+        full = in_long.join(ends, "v").where((F.col("many") >= least_shared(F.col("n"), F.col("p"))) | (F.col("kinds") > 1))
+        entries = rows.where("s is not null").select("s", "n", F.col("a").alias("v")).join(full.select("v"), "v", "left_semi").select("s", "n", "v")
+        ties = stored(entries.repartition(F.col("s")).sortWithinPartitions("s", "n", "v").mapInArrow(_ties, "a long, b long"), "ties")
+    counted = rows.where("s is null").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    ends = ends.join(in_long, "v", "left").fillna(0, "many")
     for side in "ab":
-        counted = counted.join(ends.select(*[F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "p", "most")]).withColumnRenamed(f"v_{side}", side), side)
+        counted = counted.join(ends.select(*[F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "p", "most", "kinds", "many")]).withColumnRenamed(f"v_{side}", side), side)
     # Up to the lower of the two horizons all of both sets is known; unsigned order by flipping the sign bit.
     flip = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
     beyond = F.when(flip("most_a") <= flip("most_b"), F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
     need = F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7)
-    candidates = counted.where(F.col("shared") + beyond >= need).select("a", "b").union(ties.where("shared is null").select("a", "b"))
+    enough = F.col("shared") + F.least("many_a", "many_b") + beyond >= need
+    candidates = counted.where(enough | (F.col("kinds_a") > 1) | (F.col("kinds_b") > 1)).select("a", "b").union(ties)
     blocks = stored(components(candidates), "blocks")
     sizes = blocks.groupBy("component").agg(F.count("*").alias("size"))
     dealt = blocks.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("block"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
