@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import index_terms
 from ..plans.compile import Modes, Stats, over_rows
-from ..plans.query import Phrase, Query, Range, Term, leaves
+from ..plans.query import Bool, Phrase, Query, Range, Term, leaves
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,15 @@ class After:
     doc_id: int
 
 
+def _demanded(query: Query, text: tuple[str, ...]) -> list[Query]:
+    """Clauses over plain columns that every hit must match."""
+    if isinstance(query, Range) or isinstance(query, Term) and query.field not in text:
+        return [query]
+    if isinstance(query, Bool) and not (query.must and query.should):
+        return [x for q in (*query.must, *query.filter) for x in _demanded(q, text)]
+    return []
+
+
 class Corpus:
     """A DataFrame to search: its key, its text columns and how they are cut into terms."""
 
@@ -29,10 +38,18 @@ class Corpus:
         self.docs = df
         self.tokens = {c: terms(F.col(c)) if dict(df.dtypes)[c] == "string" else F.col(c) for c in self.text}
 
-    def _prepared(self, used: set[str]) -> tuple[DataFrame, dict[str, Column]]:
+    def _prepared(self, used: set[str], query: Query | None = None) -> tuple[DataFrame, dict[str, Column]]:
+        """Rows with their terms. What the query demands of plain columns goes first, where it reaches the scan.
+
+        A text is cut once a row, however many clauses ask: the optimizer would copy the cutting into a filter on its
+        result and into every use, but it never copies what counts as non-deterministic, as a row number does.
+        """
         df = self.docs
-        for c in sorted(used):  # cut once a row, however many clauses ask
-            df = df.withColumn(f"__terms_{c}", F.coalesce(self.tokens[c], F.array().cast("array<string>")))
+        for clause in _demanded(query, self.text) if query is not None else ():
+            df = df.where(over_rows(clause, df, {}, None, self.modes)[0])
+        for c in sorted(used):
+            terms = F.coalesce(self.tokens[c], F.array().cast("array<string>"))
+            df = df.withColumn(f"__terms_{c}", F.when(F.monotonically_increasing_id() >= 0, terms))
         return df, {c: F.col(f"__terms_{c}") for c in used}
 
     def statistics(self, query: Query) -> Stats:
@@ -49,18 +66,18 @@ class Corpus:
         """The rows that match, with all their columns and no score."""
         query = query.normalise()
         used = {q.field for q in leaves(query) if isinstance(q, (Term, Phrase)) and q.field in self.text}
-        df, tokens = self._prepared(used)
+        df, tokens = self._prepared(used, query)
         return df.where(over_rows(query, df, tokens, None, self.modes)[0]).select(*self.docs.columns)
 
     def hits(self, query: Query) -> DataFrame:
-        """(key, score) of every row that matches; scores that are not finite are left out."""
+        """(key, score) of every row that matches. These scores are finite; for others there is finite()."""
         query = query.normalise()
         scored = any(not isinstance(q, Range) for q in leaves(query))
         stats = self.statistics(query) if scored else Stats(0)
         used = {q.field for q in leaves(query) if isinstance(q, (Term, Phrase)) and q.field in self.text}
-        df, tokens = self._prepared(used)
+        df, tokens = self._prepared(used, query)
         matches, score = over_rows(query, df, tokens, stats, self.modes)
-        return finite(df.where(matches).select(self.key, score.cast("double").alias("score")))
+        return df.where(matches).select(self.key, score.cast("double").alias("score"))
 
     def search(self, query: Query, k: int, start: int = 0, after: After | None = None, after_mode: str = "keyset") -> DataFrame:
         return ranked(self.hits(query), k, start, after, after_mode, self.key)

@@ -98,11 +98,16 @@ def over_rows(q: Query, df: DataFrame, tokens: dict[str, Column], stats: Stats |
         df_ = min((stats.df.get((q.field, t), 0) for t in q.terms), default=0) if stats else 0
         length = F.size(tokens[q.field])
     elif isinstance(q, Term) and q.field in tokens:
-        freq = F.coalesce(F.size(F.filter(tokens[q.field], lambda t: t == q.text)), F.lit(0))
+        if stats is None:
+            return F.coalesce(F.array_contains(tokens[q.field], F.lit(q.text)), F.lit(False)), F.lit(0.0)
+        # Built-in array functions stay in generated code, unlike a lambda a token.
+        freq = F.size(tokens[q.field]) - F.size(F.array_remove(tokens[q.field], q.text))
         df_, length = (stats.df.get((q.field, q.text), 0) if stats else 0), F.size(tokens[q.field])
     elif isinstance(q, Term):
         c = F.col(q.field)
         freq = (F.size(F.filter(c, lambda t: t.cast("string") == q.text)) if dict(df.dtypes)[q.field].startswith("array") else (c.cast("string") == q.text).cast("int"))
+        if stats is None and not dict(df.dtypes)[q.field].startswith("array"):
+            return F.coalesce(c.cast("string") == q.text, F.lit(False)), F.lit(0.0)
         freq = F.coalesce(freq, F.lit(0))
         df_, length = (stats.df.get((q.field, q.text), 0) if stats else 0), F.lit(1)
     else:
