@@ -125,7 +125,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 16_000, entries
     # Copies of a labelled id in documents would add rows: the sample stays bounded by keeping as many as were asked for.
     got = rows.where("part >= 2").select("text", "doc_id", "toxic", "part").mapInArrow(measure, "doc_id long, toxic int, part long, x array<double>").limit(2 * sample).collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x, y, p = np.array([r["x"] for r in got]).reshape(len(got), -1), np.array([float(r["toxic"]) for r in got]), np.array([r["part"] for r in got])
+    x, y, p = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([float(r["toxic"]) for r in got]), np.array([r["part"] for r in got])
     model = boosting.fit(x[p == 2], y[p == 2]) if (p == 2).any() else boosting.Boosted(start=-30.0)
     if (p == 3).any() and len(model.trees):
         boosting.calibrate(model, x[p == 3], y[p == 3])
