@@ -13,7 +13,7 @@
    tile holds in its nodes the OR of their sets' bitmaps, the range of sizes and the largest number of hashes that share
    a bit. A dual traversal, level by level, drops node pairs whose bitmaps and sizes allow no overlap that is large
    enough; pairs of sets that remain, and that no link joins yet, are counted exactly.
-4. Links found (a spanning forest of each pair of tiles) give the components.
+4. What is connected in each pair of tiles (stars around the smallest id) gives the components.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; fewer than five words are one shingle;
 repeated rows are equal sets; rows that share an id but not their text are one vertex, and linked; a null id takes the
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, components, stored
+from .common import batches_of, components, packed, stored, unpack, unpacked
 from .hashing import shingle_sets
 
 SHORT, TILE, LEAF, FAN, ENTRIES = 16, 1024, 16, 8, 50_000
@@ -204,7 +204,8 @@ def pairs(x: Tree, y: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def links(ids: list[int], sets: list[np.ndarray], tiles: list[int], i: int, j: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between tile i and tile j (within the tile, if they are one)."""
+    """What the links between tile i and tile j (within the tile, if they are one) connect, as stars: each member with
+    the smallest id of its component."""
     if len(ids) < 2:
         return []
     bits = min(1 << 15, 1 << max(8, (2 * max(map(len, sets))).bit_length()))
@@ -213,7 +214,7 @@ def links(ids: list[int], sets: list[np.ndarray], tiles: list[int], i: int, j: i
     y = x if i == j else Tree([sets[k] for k in right], bits) if right else None
     if x is None or y is None:
         return []
-    label, out = np.arange(len(ids)), []
+    label = np.arange(len(ids))
     left, right = np.array(left), np.array(right)
     words, rows = np.unique(np.concatenate(sets)), None
     if len(ids) * len(words) <= 1 << 30:  # bitmaps without shared bits, up to 128 MB: then their AND is the overlap
@@ -234,12 +235,14 @@ def links(ids: list[int], sets: list[np.ndarray], tiles: list[int], i: int, j: i
             for u, v in zip(p[100 * over >= 75 * (sizes - over)], q[100 * over >= 75 * (sizes - over)], strict=True):
                 if label[u] != label[v]:
                     label[label == label[v]] = label[u]
-                    out.append((ids[u], ids[v]))
-    return out
+    own = np.array(ids)
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, own)
+    return [(int(m), int(x)) for m, x in zip(least[label], own, strict=True) if m != x]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, i, j, tile, v, text), sorted by block, i, j -> links (a, b)."""
+    """Rows (block, i, j, tile, v, packed text), sorted by block, i, j -> links (a, b)."""
     key, ids, sets, tiles = None, [], [], []
     out: list[tuple[int, int]] = []
 
@@ -248,7 +251,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         c = [batch.column(k).to_pylist() for k in range(5)]
-        for row, s in enumerate(shingle_sets(_bytes(batch.column(5)))):
+        for row, s in enumerate(shingle_sets([unpack(z.as_py()).lower() for z in batch.column(5)])):
             k = (c[0][row], c[1][row], c[2][row])
             if k != key:
                 if ids:
@@ -296,7 +299,8 @@ def join(documents: DataFrame) -> DataFrame:
     sizes = blocks.groupBy("component").agg(F.count("*").alias("size"))
     dealt = blocks.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("block"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(dealt, "doc_id")
+    # Merge joins at every size: neither side has a bound that would let it be broadcast.
+    texts = packed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).join(dealt.hint("merge"), "doc_id")
     texts = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     met = texts.select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", F.col("doc_id").alias("v"), "text")
     found = stored(met.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_verify, "a long, b long"), "links")
@@ -313,7 +317,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     an id one stays.
     """
     firsts = join(documents).where("doc_id = component_id").select("doc_id", (F.col("n_shingles") > 0).alias("__full")).distinct()
-    named = documents.where("doc_id is not null").join(firsts, "doc_id")
-    w = Window.partitionBy("doc_id").orderBy(F.desc("__full"), F.xxhash64("text"))
+    named = packed(documents.where("doc_id is not null").withColumn("__hash", F.xxhash64("text"))).join(firsts.hint("merge"), "doc_id")
+    w = Window.partitionBy("doc_id").orderBy(F.desc("__full"), "__hash")
     one = named.withColumn("__row", F.row_number().over(w)).where("__row = 1 or not __full")
-    return one.select(*documents.columns).unionByName(documents.where("doc_id is null"))
+    return unpacked(one.select(*documents.columns)).unionByName(documents.where("doc_id is null"))
