@@ -10,6 +10,9 @@ Positions: Spark gives a pattern's matches and the pieces between them; the runn
 match starts, in code points. The patterns are the base ones with possessive quantifiers and with a look behind that
 only keeps a search from starting inside a run where it started before: same matches, linear time, no deep recursion.
 
+A secret's value has no upper length. Its key name may follow anything (client_secret, DB_PASSWORD, authToken); the span
+starts at the key name itself, so what stands before it stays.
+
 Cases: a null or empty text has no spans; rows stay as they are, repeated or not; a text of any length is one row; no
 row is shuffled.
 """
@@ -34,7 +37,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){12,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[^\s\"',;]{6,200}",
+    "secret": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[^\s\"',;]{6,}+",
     "number": r"(?<![0-9A-Za-z.-])(?:\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[ ]?(?:[A-Z0-9]{4}[ ]?){3,7})(?![0-9A-Za-z])",
 }
 #: What a text must hold for a pattern to be worth a search; a match always holds it.

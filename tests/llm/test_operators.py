@@ -358,6 +358,16 @@ def test_pii_features_agree(spark):
         assert list(row)[:-1] == pytest.approx(own) and row["m"] == pytest.approx(pii.model()[0].margin(np.array([own]))[0])
 
 
+def test_pii_secrets(spark):
+    rng = random.Random(12)
+    value = "".join(rng.choice("ABCDEFGHabcdefgh0123456789-_.") for _ in range(400))
+    names = ["token=", "client_secret=", "access_token: ", "DB_PASSWORD=", "authToken=", '"refresh_token": "', "x-api-key: "]
+    rows = [(i, f"a {name}{v} b") for i, (name, v) in enumerate(itertools.product(names, [value, value[:24], value * 50]))]
+    for r in pii.redact(frame(spark, rows)).collect():
+        name = names[r["doc_id"] // 3]
+        assert r["text"] == f"a {name[: re.search('(?i)token|secret|password|api-key', name).start()]}[SECRET] b"
+
+
 # --- the pipeline ------------------------------------------------------------------------------------------------------
 
 
