@@ -11,7 +11,8 @@ match starts, in code points. The patterns are the base ones with possessive qua
 only keeps a search from starting inside a run where it started before: same matches, linear time, no deep recursion.
 
 A secret's value has no upper length. Its key name may follow anything (client_secret, DB_PASSWORD, authToken); the span
-starts at the key name itself, so what stands before it stays.
+starts at the key name itself, so what stands before it stays. An IBAN has any of its lengths, in one run or in groups of
+4; a capital word of up to 4 characters that follows the groups may be taken along.
 
 Cases: a null or empty text has no spans; rows stay as they are, repeated or not; a text of any length is one row; no
 row is shuffled.
@@ -32,17 +33,25 @@ from . import boosting
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
 BASE_KINDS = KINDS[:4]
 _LOCAL = "A-Za-z0-9._%+-"
+# The 11 to 30 characters after an IBAN's check digits: groups of 4 and a shorter last one after spaces (29 or 30, 13 to
+# 27, 11), groups of 4 with or without spaces, or any number in a run.
+_BBAN = "|".join((
+    "(?:[ ]?[A-Z0-9]{4}){6}[ ][A-Z0-9]{4}[ ][A-Z0-9]{1,2}", "(?:[ ]?[A-Z0-9]{4}){2,5}[ ][A-Z0-9]{4}[ ][A-Z0-9]{1,3}",
+    "[ ]?[A-Z0-9]{4}[ ][A-Z0-9]{4}[ ][A-Z0-9]{3}", "(?:[ ]?[A-Z0-9]{4}){3,7}", "[ ]?[A-Z0-9]{11,30}",
+))
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){12,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "secret": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[^\s\"',;]{6,}+",
-    "number": r"(?<![0-9A-Za-z.-])(?:\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[ ]?(?:[A-Z0-9]{4}[ ]?){3,7})(?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z.-])(?:\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:" + _BBAN + r"))(?![0-9A-Za-z])",
 }
 #: What a text must hold for a pattern to be worth a search; a match always holds it.
 HOLDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None, "number": None}
 CONTEXT = 32
+# Fixed values, for examples: IBANs as they are after the check digits; d is a digit, a a capital, c either.
+IBANS = ("GB:aaaa" + "d" * 14, "DE:" + "d" * 18, "FR:" + "d" * 10 + "c" * 11 + "dd", "ES:" + "d" * 20, "NL:aaaa" + "d" * 10, "IT:a" + "d" * 10 + "c" * 12, "NO:" + "d" * 11, "PL:" + "d" * 24, "CH:" + "d" * 5 + "c" * 12, "MT:aaaa" + "d" * 5 + "c" * 18, "RU:" + "d" * 14 + "c" * 15)
 # Words that announce personal data.
 CUES = "(?i)(?:tel|phone|call|fax|mobile|ssn|social|security|iban|account|konto|card|karte|carte|password|token|secret|key|login|contact)[^0-9A-Za-z]{0,12}$"
 FEATURES = ("kind", "length", "digits", "letters", "upper", "separators", "distinct", "cue", "luhn")
@@ -113,6 +122,12 @@ def examples(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """n candidates drawn from format rules, with their labels: personal numbers and secrets against look-alikes."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def iban() -> str:
+        country, form = rng.choice(IBANS).split(":")
+        every = country + digits(2) + "".join(rng.choice({"d": "0123456789", "a": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "c": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}[f]) for f in form)
+        return rng.choice(("", " ")).join(every[i : i + 4] for i in range(0, len(every), 4))
+
     x, y = [], []
     for _ in range(n):
         kind, good = rng.choice((2, 3, 4, 4, 5, 5)), rng.random() < 0.5
@@ -132,7 +147,7 @@ def examples(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
             match = (rng.choice((f"{key}={value}", f'{key} = "{value}', "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))))) if good else f"{key}{rng.choice((': ', '='))}{plain}"
         else:
             a, b, c = digits(3), digits(3), digits(4)
-            match = rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}-{digits(2)}-{c}", f"GB{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}")) if good else a + b + c
+            match = rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}-{digits(2)}-{c}", iban())) if good else a + b + c
             good = good or bool(re.search(CUES, before)) and rng.random() < 0.9
         x.append(features(kind, match, before))
         y.append(float(good))

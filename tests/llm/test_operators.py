@@ -368,6 +368,13 @@ def test_pii_secrets(spark):
         assert r["text"] == f"a {name[: re.search('(?i)token|secret|password|api-key', name).start()]}[SECRET] b"
 
 
+def test_pii_account_lengths(spark):
+    runs = ["NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "CH9300762011623852957", "DE89370400440532013000", "GB82WEST12345698765432", "ES9121000418450200051332", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S", "LC55HEMM000100010012001200023015", "RU0304452522540817810538091310419"]
+    texts = [t for r in runs for t in (r, " ".join(r[i : i + 4] for i in range(0, len(r), 4)), f"{r[:4]} {r[4:]}")]
+    for r in pii.redact(frame(spark, [(i, f"{x} {t}, is it") for i, t in enumerate(texts) for x in ("IBAN", "to")])).collect():
+        assert r["text"] in ("IBAN [NUMBER], is it", "to [NUMBER], is it"), texts[r["doc_id"]]
+
+
 # --- the pipeline ------------------------------------------------------------------------------------------------------
 
 
