@@ -16,8 +16,9 @@
 4. What is connected in each pair of tiles (stars around the smallest id) gives the components.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; fewer than five words are one shingle;
-repeated rows are equal sets; rows that share an id but not their text are one vertex, and linked; a null id takes the
-smallest id of its component. Copies, however many, are one row after a partial aggregate.
+repeated rows are equal sets; a row without an id is compared like any
+other and takes the smallest id of its component, null if none has one. Copies, however many, are one row after a partial
+aggregate.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, components, packed, stored, unpack, unpacked
@@ -41,18 +42,20 @@ def least_overlap(a, b):
     return -(-3 * (a + b) // 7)
 
 
-def _bytes(column) -> list[bytes]:
-    return [(t.as_py() or "").encode().lower() for t in column]
+def numbered(documents: DataFrame) -> DataFrame:
+    """documents with packed texts, a number __row that no other row has, and a hash of the text; stored, so that the
+    numbers stay."""
+    return stored(packed(documents.select("*", F.monotonically_increasing_id().alias("__row"), F.xxhash64("text").alias("__hash"))), "numbered")
 
 
-def sets_of(documents: DataFrame) -> DataFrame:
-    """doc_id, n, k1, k2 (both null without shingles), prefix (the smallest hashes, ascending as unsigned), its size p
-    and its last hash most."""
+def sets_of(rows: DataFrame) -> DataFrame:
+    """What numbered() gives -> __row, __hash, doc_id, n, k1, k2 (both null without shingles), prefix (the smallest hashes,
+    ascending as unsigned), its size p and its last hash most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k1, k2, most, prefix = [], [], [], [], []
-            for s in shingle_sets(_bytes(batch.column(1))):
+            for s in shingle_sets([unpack(z.as_py()).lower() for z in batch.column(3)]):
                 n.append(len(s))
                 key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 k1.append(int(key[0]) if len(s) else None)
@@ -62,9 +65,9 @@ def sets_of(documents: DataFrame) -> DataFrame:
             p = [len(x) for x in prefix]
             ends = np.concatenate([[0], np.cumsum(p)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(p, pa.int64()), pa.array(most, pa.int64()), lists], names=["doc_id", "n", "k1", "k2", "p", "most", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(p, pa.int64()), pa.array(most, pa.int64()), lists], names=["__row", "__hash", "doc_id", "n", "k1", "k2", "p", "most", "prefix"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, p long, most long, prefix array<long>")
+    return rows.select("__row", "__hash", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "__row long, __hash long, doc_id long, n long, k1 long, k2 long, p long, most long, prefix array<long>")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,55 +272,61 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made()
 
 
-def join(documents: DataFrame) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, n_shingles, component_id; one row a row."""
-    d = stored(sets_of(documents), "sets")
-    reps = d.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("v"), *[F.min(c).alias(c) for c in ("n", "p", "most")])
-    vertices = stored(reps.where("v is not null"), "vertices")
-    # No bound holds for a vertex that stands for several sets (an id with several texts): its pairs all stay.
-    ends = vertices.groupBy("v").agg(F.max("n").alias("n"), F.min("p").alias("p"), F.min("most").alias("most"), F.count("*").alias("kinds"))
-    own = d.where("k1 is not null").select(F.col("doc_id").alias("v"), "n", "prefix").join(ends.select("v"), "v", "left_semi")
+def linked_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What numbered() gives -> its sets; vertices, one for each set (v, the lowest __row that has it; first, the row to
+    keep: that with the smallest id, null last); links as components() has them."""
+    d = stored(sets_of(rows), "sets")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__row")
+    vertices = stored(d.where("k1 is not null").groupBy("k1", "k2").agg(F.min("__row").alias("v"), F.min(first).alias("first"), *[F.min(c).alias(c) for c in ("n", "p", "most")]), "vertices")
+    ends = vertices.select("v", "n", "p", "most")
+    own = d.where("k1 is not null").select(F.col("__row").alias("v"), "n", "prefix").join(ends.select("v"), "v", "left_semi")
     spread = own.select(F.explode("prefix").alias("s"), "n", "v")
-    spark = documents.sparkSession
-    with batches_of(spark, ENTRIES):
-        rows = stored(spread.repartition(F.col("s")).sortWithinPartitions("s", "n", "v").mapInArrow(_rows, "a long, b long, s long, n long"), "rows")
-        in_long = stored(rows.where("s is not null").groupBy(F.col("a").alias("v")).agg(F.count("*").alias("many")), "long")
-        full = in_long.join(ends, "v").where((F.col("many") >= least_shared(F.col("n"), F.col("p"))) | (F.col("kinds") > 1))
-        entries = rows.where("s is not null").select("s", "n", F.col("a").alias("v")).join(full.select("v"), "v", "left_semi").select("s", "n", "v")
-        ties = stored(entries.repartition(F.col("s")).sortWithinPartitions("s", "n", "v").mapInArrow(_ties, "a long, b long"), "ties")
-    counted = rows.where("s is null").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    with batches_of(rows.sparkSession, ENTRIES):
+        entries = stored(spread.repartition(F.col("s")).sortWithinPartitions("s", "n", "v").mapInArrow(_rows, "a long, b long, s long, n long"), "rows")
+        in_long = stored(entries.where("s is not null").groupBy(F.col("a").alias("v")).agg(F.count("*").alias("many")), "long")
+        full = in_long.join(ends, "v").where(F.col("many") >= least_shared(F.col("n"), F.col("p")))
+        long = entries.where("s is not null").select("s", "n", F.col("a").alias("v")).join(full.select("v"), "v", "left_semi").select("s", "n", "v")
+        ties = stored(long.repartition(F.col("s")).sortWithinPartitions("s", "n", "v").mapInArrow(_ties, "a long, b long"), "ties")
+    counted = entries.where("s is null").groupBy("a", "b").agg(F.count("*").alias("shared"))
     ends = ends.join(in_long, "v", "left").fillna(0, "many")
     for side in "ab":
-        counted = counted.join(ends.select(*[F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "p", "most", "kinds", "many")]).withColumnRenamed(f"v_{side}", side), side)
+        counted = counted.join(ends.select(*[F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "p", "most", "many")]).withColumnRenamed(f"v_{side}", side), side)
     # Up to the lower of the two horizons all of both sets is known; unsigned order by flipping the sign bit.
     flip = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
     beyond = F.when(flip("most_a") <= flip("most_b"), F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
     need = F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7)
     enough = F.col("shared") + F.least("many_a", "many_b") + beyond >= need
-    candidates = counted.where(enough | (F.col("kinds_a") > 1) | (F.col("kinds_b") > 1)).select("a", "b").union(ties)
+    candidates = counted.where(enough).select("a", "b").union(ties)
     blocks = stored(components(candidates), "blocks")
     sizes = blocks.groupBy("component").agg(F.count("*").alias("size"))
-    dealt = blocks.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("block"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    dealt = blocks.join(sizes, "component").select(F.col("id").alias("v"), F.col("component").alias("block"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int"))
     # Merge joins at every size: neither side has a bound that would let it be broadcast.
-    texts = packed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).join(dealt.hint("merge"), "doc_id")
+    texts = rows.select(F.col("__row").alias("v"), "text").join(dealt.hint("merge"), "v")
     texts = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    met = texts.select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", F.col("doc_id").alias("v"), "text")
+    met = texts.select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "v", "text")
     found = stored(met.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_verify, "a long, b long"), "links")
-    linked = components(found)
-    named = vertices.join(linked.withColumnRenamed("id", "v"), "v", "left").select("k1", "k2", F.coalesce("component", "v").alias("c"))
+    return d, vertices, components(found)
+
+
+def join(documents: DataFrame) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, n_shingles, component_id; one row a row."""
+    d, vertices, linked = linked_sets(numbered(documents))
+    least = linked.join(vertices.select(F.col("v").alias("id"), "first.doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    linked = linked.join(least, "component").select(F.col("id").alias("v"), "least")
+    named = vertices.join(linked, "v", "left").select("k1", "k2", F.coalesce("least", "first.doc_id").alias("c"))
     out = d.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """documents with one document of each component, that with the smallest id; same columns.
+    """documents with one row of each group of near copies, that with the smallest id; same columns.
 
-    Documents without shingles all stay, and so do rows without an id, which no id can tell apart. Of rows that repeat
-    an id one stays.
+    Groups are of texts alone: rows with one id and unrelated texts all stay, and rows without an id are copies like any
+    other, kept only where no row of the group has an id. Rows without shingles all stay.
     """
-    firsts = join(documents).where("doc_id = component_id").select("doc_id", (F.col("n_shingles") > 0).alias("__full")).distinct()
-    named = packed(documents.where("doc_id is not null").withColumn("__hash", F.xxhash64("text"))).join(firsts.hint("merge"), "doc_id")
-    w = Window.partitionBy("doc_id").orderBy(F.desc("__full"), "__hash")
-    one = named.withColumn("__row", F.row_number().over(w)).where("__row = 1 or not __full")
-    return unpacked(one.select(*documents.columns)).unionByName(documents.where("doc_id is null"))
+    rows = numbered(documents)
+    d, vertices, linked = linked_sets(rows)
+    groups = vertices.select("v", "first").join(linked.withColumnRenamed("id", "v"), "v", "left").groupBy(F.coalesce("component", "v").alias("c")).agg(F.min("first").alias("first"))
+    kept = groups.select("first.__row").union(d.where("k1 is null").select("__row"))
+    return unpacked(rows.join(kept.hint("merge"), "__row", "left_semi").select(*[f"`{c}`" for c in documents.columns]))

@@ -297,6 +297,17 @@ def test_jaccard_tiles(spark, monkeypatch):
     assert got == jaccard_brute(rows)
 
 
+def test_jaccard_without_ids(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = [" ".join(w), " ".join([*w[:-1], "y", "z"]), " ".join([*w[5:-1], "y", "z"])]  # the first and the last only by the second
+    assert [c for _, _, c in sorted(jaccard_brute([(0, near[0]), (1, near[1]), (2, near[2])]))] == [0, 0, 0]
+    rows = [(7, near[0]), (None, near[1]), (3, near[2]), (None, "a b c d e f"), (None, "A b c d e f"), (None, None), (None, "q"), (9, "Q")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, rows)).collect()}
+    assert got == {(7, 56, 3), (None, 57, 3), (3, 52, 3), (None, 2, None), (None, 0, None), (None, 1, 9), (9, 1, 9)}
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(frame(spark, rows)).collect()]
+    assert len(kept) == 4 and {(3, near[2]), (9, "Q"), (None, None)} <= set(kept) and {t.lower() for i, t in kept if i is None and t} == {"a b c d e f"}
+
+
 def test_components(spark):
     rng = random.Random(10)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(70)]
