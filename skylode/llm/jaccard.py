@@ -16,7 +16,7 @@
 4. What is connected in each pair of tiles (stars around the smallest id) gives the components.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; fewer than five words are one shingle;
-repeated rows are equal sets; a row without an id is compared like any
+repeated rows are equal sets; rows with shingles that share an id are linked; a row without an id is compared like any
 other and takes the smallest id of its component, null if none has one. Copies, however many, are one row after a partial
 aggregate.
 """
@@ -272,9 +272,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made()
 
 
-def linked_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked_sets(rows: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What numbered() gives -> its sets; vertices, one for each set (v, the lowest __row that has it; first, the row to
-    keep: that with the smallest id, null last); links as components() has them."""
+    keep: that with the smallest id, null last); links as components() has them. by_id: sets that share an id are linked."""
     d = stored(sets_of(rows), "sets")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__row")
     vertices = stored(d.where("k1 is not null").groupBy("k1", "k2").agg(F.min("__row").alias("v"), F.min(first).alias("first"), *[F.min(c).alias(c) for c in ("n", "p", "most")]), "vertices")
@@ -306,12 +306,16 @@ def linked_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     met = texts.select("block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "v", "text")
     found = stored(met.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_verify, "a long, b long"), "links")
+    if by_id:
+        several = d.where("k1 is not null and doc_id is not null").groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("k1", "k2") for f in (F.min, F.max)]).where("min_k1 <> max_k1 or min_k2 <> max_k2")
+        named = stored(d.where("k1 is not null").select("doc_id", "k1", "k2").join(several.select("doc_id"), "doc_id", "left_semi").distinct().join(vertices.select("k1", "k2", "v"), ["k1", "k2"]).select("doc_id", "v"), "named")
+        found = found.union(named.join(named.groupBy("doc_id").agg(F.min("v").alias("b")), "doc_id").select(F.col("v").alias("a"), "b"))
     return d, vertices, components(found)
 
 
 def join(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id; one row a row."""
-    d, vertices, linked = linked_sets(numbered(documents))
+    d, vertices, linked = linked_sets(numbered(documents), by_id=True)
     least = linked.join(vertices.select(F.col("v").alias("id"), "first.doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
     linked = linked.join(least, "component").select(F.col("id").alias("v"), "least")
     named = vertices.join(linked, "v", "left").select("k1", "k2", F.coalesce("least", "first.doc_id").alias("c"))
@@ -326,7 +330,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     other, kept only where no row of the group has an id. Rows without shingles all stay.
     """
     rows = numbered(documents)
-    d, vertices, linked = linked_sets(rows)
+    d, vertices, linked = linked_sets(rows, by_id=False)
     groups = vertices.select("v", "first").join(linked.withColumnRenamed("id", "v"), "v", "left").groupBy(F.coalesce("component", "v").alias("c")).agg(F.min("first").alias("first"))
     kept = groups.select("first.__row").union(d.where("k1 is null").select("__row"))
     return unpacked(rows.join(kept.hint("merge"), "__row", "left_semi").select(*[f"`{c}`" for c in documents.columns]))

@@ -308,6 +308,15 @@ def test_jaccard_without_ids(spark):
     assert len(kept) == 4 and {(3, near[2]), (9, "Q"), (None, None)} <= set(kept) and {t.lower() for i, t in kept if i is None and t} == {"a b c d e f"}
 
 
+def test_jaccard_shared_ids(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(1, a), (5, a), (5, b), (8, b), (6, c), (6, c), (6, "")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, rows)).collect())
+    assert got == [(1, 3, 1), (5, 3, 1), (5, 3, 1), (6, 0, 6), (6, 3, 6), (6, 3, 6), (8, 3, 1)]
+    kept = sorted((r["doc_id"], r["text"]) for r in jaccard.keep_one(frame(spark, rows)).collect())
+    assert kept == [(1, a), (5, b), (6, ""), (6, c)]
+
+
 def test_components(spark):
     rng = random.Random(10)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(70)]
