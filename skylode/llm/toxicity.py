@@ -61,7 +61,7 @@ class Lexicon:
         if second:
             own = np.array(second)
             near = sum(int(np.abs(own - i).min() <= NEAR) for i in hits)
-        parted = OBFUSCATED.findall(low) if any(c in low for c in "@#$%&*^~_|.0") else []
+        parted = OBFUSCATED.findall(low)
         hidden = 0
         if parted:
             hidden = sum(1 for w in set(re.findall(r"\S+", low)) if not w.isalpha() and get(re.sub(r"[\W\d_]", "", w)) and w.strip(".,;:!?\"'()$%&*#") not in self.words)

@@ -243,6 +243,13 @@ def test_toxicity_cases(spark):
     assert toxicity.reject(docs, toxicity.train(docs, labels.limit(0))).count() == 7
 
 
+def test_obfuscated_without_symbols():
+    lexicon = toxicity.Lexicon({"stpid": 1.0}, {})
+    for text in ("you 1d1ot st3pid f-ck", "you 1d1ot st3pid f-ck."):
+        f = dict(zip(toxicity.FEATURES, lexicon.features(text), strict=True))
+        assert f["obfuscated"] == pytest.approx(3 / 7) and f["hidden"] == pytest.approx(math.log(2))
+
+
 # --- Jaccard join ------------------------------------------------------------------------------------------------------
 
 
