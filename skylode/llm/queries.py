@@ -11,7 +11,7 @@ from .common import small_batches, table
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return licences.scan(table(spark, sf_dir, "documents")).drop("places")
+    return licences.scan(table(spark, sf_dir, "documents")).drop("places").withColumn("score", F.round("score", 6))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_format, op3_additive_ann, op4_byte_bpe, op5_suffix_dedup, op6_curriculum_mix, op7_kd_topk, op8_toxicity, op9_jaccard_join, op10_pii)}
 
+
+
+def _licence_sql() -> str:
+    """The templates as a table; places by comparing key phrases at every word, scores from the words in place."""
+    rows = []
+    for words, keys, label, base in licences.Templates().items:
+        listed = ", ".join(f"'{w.decode()}'" for w in words)
+        phrases = ", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in keys)
+        rows.append(f"([{listed}], [{phrases}], '{label}', {str(base).lower()})")
+    return r"""
+WITH w AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+tpl(words, keys, label, base) AS (VALUES """ + ",\n".join(rows) + r"""),
+known AS (SELECT DISTINCT unnest(words) AS word FROM tpl),
+own AS (SELECT DISTINCT id, unnest(w) AS word FROM w),
+df AS (SELECT word, count(own.id) AS df FROM known LEFT JOIN own USING (word) GROUP BY word),
+weights AS (SELECT word, ln(1 + (SELECT count(*) FROM documents)::DOUBLE / (1 + df)) + 1e-9 AS idf FROM df),
+m AS (SELECT map_from_entries(list((word, idf))) AS idf FROM weights),
+spots AS (
+  SELECT id, w, words, keys, label, base, unnest(list_filter(range(1 - keys[1].a, len(w) + 1), lambda s: len(list_filter(keys, lambda k: s + k.a < 1 OR w[s + k.a : s + k.b - 1] <> words[k.a + 1 : k.b])) = 0)) AS s
+  FROM w, tpl WHERE list_has_all(w, list_distinct(flatten(list_transform(keys, lambda k: words[k.a + 1 : k.b]))))),
+places AS (
+  SELECT id, label, base, s - 1 + keys[1].a AS spot,
+         least(1.0::DOUBLE, list_sum(list_transform(range(1, len(words) + 1), lambda j: CASE WHEN s + j - 1 >= 1 AND w[s + j - 1] = words[j] THEN idf[words[j]] ELSE 0.0 END))
+                            / list_sum(list_transform(words, lambda x: idf[x]))) AS score
+  FROM spots, m),
+told AS (
+  SELECT id, count(*) FILTER (base) AS n_base, min(spot) FILTER (base) AS first_word, max(spot) FILTER (base) AS last_word, max(score) AS score,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6) AS score
+FROM w LEFT JOIN told USING (id)
+"""
+
+
 ORACLES = {
+    "op1_license_scan": _licence_sql(),
     "op2_chat_format": r"""
 WITH every AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
