@@ -96,6 +96,20 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+HUBS = 500
+SALTS = 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hub, by: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how), where right has one row a key and the condition hub holds for fewer than HUBS of them:
+    those that have a large share of left's rows. These are dealt into SALTS parts by the columns ``by`` of left."""
+    hubs = F.broadcast(right.where(hub).select(*keys, F.lit(True).alias("__hub")))
+    salt = F.when(F.col("__hub"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int").alias("__salt")
+    dealt = left.join(hubs, keys, "left").select(*left.columns, salt)
+    every = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(hub, SALTS - 1).otherwise(0))))
+    return dealt.join(every, [*keys, "__salt"], how).drop("__salt")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a long, b long), by alternating large-star and small-star steps.
 

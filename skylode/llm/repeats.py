@@ -10,16 +10,20 @@ or another; matches never cross documents, overlaps count, and all is judged on
 3. Different contexts with one anchor hash may share windows. One of each goes, with its bytes, to the task that its
    anchor hash names, where contexts are joined into buffers and suffix-sorted: only suffixes smaller than their
    successors are sorted directly, all others are induced by scanning the buckets in order. Neighbours among the
-   windows with a common prefix of ``length`` bytes repeat. An anchor with more than ``hot`` different contexts is first
-   cut into pieces of ``STEP`` windows by their distance from the anchor, which go by the hash of what these windows have
-   in common; equal windows still meet, and no task gets them all.
+   windows with a common prefix of ``length`` bytes repeat. The contexts of an anchor with more than ``hot`` different
+   ones are first cut into pieces of ``STEP`` windows (of one, beyond ``hottest``) by their distance from the anchor, which
+   go by the hash of what these windows have in common; equal windows still meet, and no task gets them all. Equal pieces
+   repeat throughout: a task sends one of them, and one is sorted.
 4. The ranges go back to every occurrence of their context, and are merged in each document.
 
+No key has more than a small share of the rows of a task: anchors and contexts that many texts share are spread.
+
 Hashes: an anchor and a context have 64 bits each and are only compared together (128 bits); bytes decide in 3.
 
 Cases: a null or empty text has no bytes and loses none; texts shorter than a window lose none; rows that repeat an id
 and its text repeat each other; the same id with other texts is another document; a text of any length is cut into
-overlapping pieces of ``PIECE`` bytes for hashing. Removed runs may cut a character, so kept parts are bytes.
+overlapping pieces of ``PIECE`` bytes for hashing. Removed runs may cut a character, so kept parts are bytes. An empty
+table gives an empty result; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import stored
+from .common import HUBS, spread_join, stored
 
-LENGTH, GRAM, HOT, STEP = 200, 48, 256, 8
+LENGTH, GRAM, HOT, HOTTEST, STEP = 200, 48, 256, 1 << 16, 8
 PIECE, BUFFER, SORTED = 1 << 22, 1 << 22, 1 << 20
 _POS = 24  # bits of a position within a buffer; the other 40 are the hash's
 U = np.uint64
@@ -207,67 +211,97 @@ def _unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z) if len(z) else b""
 
 
-def find(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def find(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, hottest: int = HOTTEST) -> DataFrame:
     """documents (doc_id, text) -> doc, th and ranges: array<struct<s, e>> of window starts that repeat."""
     every = anchors(documents, length, gram)
-    twice = every.groupBy("h").count().where("count > 1").select("h")
-    known = stored(every.join(twice, "h", "left_semi"), "anchors")
+    twice = stored(every.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "twice")
+    share = max(1, (twice.agg(F.sum("m")).first()[0] or 0) // HUBS)
+    known = stored(spread_join(every, twice.select("h", "m"), ["h"], F.col("m") > share, ["doc", "th", "at"], "left_semi"), "anchors")
     groups = stored(known.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("doc", "th", "at", "n", "off")).alias("one")), "contexts")
     mixed = groups.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    one = groups.join(mixed, "h").select("h", "c", "one.*", (F.col("kinds") > hot).alias("hot"))
-    wanted = one.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "c", "at", "n", "off", "hot")).alias("wanted"))
+    kinds = max(1, groups.count() // HUBS)
+    step = F.when(F.col("kinds") > hottest, 1).when(F.col("kinds") > hot, STEP).otherwise(0)
+    one = spread_join(groups, mixed, ["h"], F.col("kinds") > kinds, ["c"]).select("h", "c", "one.*", step.alias("step"))
+    wanted = one.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "c", "at", "n", "off", "step")).alias("wanted"))
+    kind = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = ["key", "d", "h", "c", "shift", "n", "data"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(packed text, wanted) -> pieces; a piece without data repeats throughout."""
+        seen: dict[bytes, tuple | None] = {}  # of pieces of hot anchors: the first, until a second one comes
         for batch in batches:
-            key, h, c, shift, data = [], [], [], [], []
+            out: list[tuple] = []
             for z, rows in zip(batch.column(0), batch.column(1), strict=True):
                 text = _unpack(z.as_py())
                 for r in rows.as_py():
-                    a, n = r["at"], r["n"]
-                    bounds = [0, n]
-                    if r["hot"]:  # window w is off - w bytes before the anchor; STEP distances make a piece
-                        bounds = sorted({0, n, *(w for w in range(1, n) if (r["off"] - w) % STEP == STEP - 1)})
+                    a, n, step = r["at"], r["n"], r["step"]
+                    if not step:
+                        out.append((r["h"], 0, r["h"], r["c"], 0, n, text[a : a + n - 1 + length]))
+                        continue
+                    # Window w is off - w bytes before the anchor; step distances make a piece.
+                    bounds = sorted({0, n, *(w for w in range(1, n) if (r["off"] - w) % step == step - 1)})
                     for lo, hi in zip(bounds, bounds[1:]):
                         own = text[a + lo : a + hi - 1 + length]
-                        if r["hot"]:
-                            side = (r["off"] - lo) // STEP
-                            start = a + r["off"] - side * STEP  # from here on all windows of such a piece agree
-                            core = hashlib.blake2b(text[start : start + length - STEP + 1], digest_size=8, salt=side.to_bytes(4, "little"), key=r["h"].to_bytes(8, "little", signed=True))
-                            key.append(int.from_bytes(core.digest(), "little", signed=True))
-                        else:
-                            key.append(r["h"])
-                        h.append(r["h"])
-                        c.append(r["c"])
-                        shift.append(lo)
-                        data.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(shift, pa.int32()), pa.array(data, pa.binary())], names=["key", "h", "c", "shift", "data"])
+                        side = (r["off"] - lo) // step
+                        start = a + r["off"] - side * step  # from here on all windows of such a piece agree
+                        core = hashlib.blake2b(text[start : start + length - step + 1], digest_size=8, salt=side.to_bytes(4, "little"), key=r["h"].to_bytes(8, "little", signed=True)).digest()
+                        whole = hashlib.blake2b(own, digest_size=16, key=core).digest()
+                        key, d = int.from_bytes(core, "little", signed=True), int.from_bytes(whole[:8], "little", signed=True)
+                        told = (r["h"], r["c"], lo, hi - lo, None)
+                        if whole not in seen:
+                            if len(seen) >= 1 << 20:
+                                seen.clear()  # equal pieces then meet where they are sorted
+                            seen[whole] = told
+                            out.append((key, d, *told[:-1], own))
+                            continue
+                        first, seen[whole] = seen[whole], None
+                        out += [(key, d, *x) for x in (first, told) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kind)], names=names)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces, sorted by key and d -> ranges of windows that repeat."""
         rows: list[tuple] = []
-        size, last = 0, None
+        ready: list[tuple] = []  # ranges of pieces that equal another one
+        size, last, twin = 0, None, False
 
         def work() -> pa.RecordBatch:
-            found = [(h, c, s + shift, e + shift) for (_, h, c, shift, _), ranges in zip(rows, repeated([r[4] for r in rows], length), strict=True) for s, e in ranges]
+            found = [(h, c, s + shift, e + shift) for (_, _, h, c, shift, _, _), ranges in zip(rows, repeated([r[6] for r in rows], length), strict=True) for s, e in ranges] if rows else []
+            found += ready
             rows.clear()
+            ready.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["h", "c", "s", "e"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if row[0] != last and size >= SORTED:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                _, _, h, c, shift, n, data = row
+                if data is None:
+                    ready.append((h, c, shift, shift + n))
+                elif rows and row[:2] == rows[-1][:2] and data == rows[-1][6]:
+                    ready.append((h, c, shift, shift + n))
+                    if not twin:
+                        ready.append((rows[-1][2], rows[-1][3], rows[-1][4], rows[-1][4] + n))
+                    twin = True
+                else:
+                    if row[0] != last and size >= SORTED:
+                        yield work()
+                        size = 0
+                    rows.append(row)
+                    size, last, twin = size + len(data), row[0], False
+                if len(ready) >= 1 << 16:
+                    held, rows[:] = rows[:], []
                     yield work()
-                    size = 0
-                rows.append(row)
-                size, last = size + len(row[4]), row[0]
-        if rows:
+                    rows[:] = held
+        if rows or ready:
             yield work()
 
     pieces = packed(documents).select("doc", "th", "z").join(wanted, ["doc", "th"])
-    pieces = pieces.select("z", "wanted").mapInArrow(cut, "key long, h long, c long, shift int, data binary")
-    ranges = pieces.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(sort, "h long, c long, s int, e int")
+    pieces = pieces.select("z", "wanted").mapInArrow(cut, "key long, d long, h long, c long, shift int, n int, data binary")
+    dealt = pieces.repartition(F.when(F.col("data").isNull(), F.xxhash64("h", "c", "shift")).otherwise(F.col("key"))).sortWithinPartitions("key", "d")
+    ranges = dealt.mapInArrow(sort, "h long, c long, s int, e int")
     shared = ranges.groupBy("h", "c").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
     whole = F.array(F.struct(F.lit(0).alias("s"), F.col("one.n").alias("e")))
-    table = groups.join(shared, ["h", "c"], "left").select("h", "c", F.when(F.col("m") > 1, whole).otherwise(F.col("ranges")).alias("ranges")).where("ranges is not null")
-    hits = known.select("h", "c", "doc", "th", "at").join(table, ["h", "c"])
+    table = groups.join(shared, ["h", "c"], "left").select("h", "c", "m", F.when(F.col("m") > 1, whole).otherwise(F.col("ranges")).alias("ranges")).where("ranges is not null")
+    hits = spread_join(known.select("h", "c", "doc", "th", "at"), stored(table, "ranges"), ["h", "c"], F.col("m") > share, ["doc", "th", "at"])
     moved = F.transform("ranges", lambda r: F.struct((F.col("at") + r["s"]).alias("s"), (F.col("at") + r["e"]).alias("e")))
     return hits.select("doc", "th", moved.alias("r")).groupBy("doc", "th").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
@@ -283,10 +317,10 @@ def merged(ranges: Iterable[tuple[int, int]], length: int) -> list[tuple[int, in
     return [(a, b) for a, b in out]
 
 
-def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, form: str = "digest") -> DataFrame:
+def remove(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, hottest: int = HOTTEST, form: str = "digest") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (form 'digest'), or doc_id, removed (array<struct<s, e>>, in
     bytes) and kept (binary) (form 'bytes'); one row a row."""
-    ranges = find(documents, length, gram, hot)
+    ranges = find(documents, length, gram, hot, hottest)
     joined = packed(documents).join(ranges, ["doc", "th"], "left").select("doc_id", "z", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
