@@ -1,32 +1,73 @@
 """An index as plain Parquet tables under one folder, with versions.
 
-Each committed batch is a segment with docs, postings (field, term, doc_id, freq, positions; partitioned by a hash of
-the term, so a term query opens one partition) and lengths. A version is a folder of the manifest table, written last:
-a reader sees a version whole or not at all. Deletes are tombstones by version; compact() drops them for good.
+Each batch is a segment with docs, postings (field, term, doc_id, len, freq, positions) and term statistics. Postings
+and statistics lie in buckets by a checksum of the term, sorted by term, so a term query opens the files of one bucket
+and the row groups of its term. A version is one small JSON file that names segments and tombstones with their counts;
+it is written under another name and renamed, so a reader sees a version whole or not at all, and a writer that dies
+leaves nothing in the way. Deletes are tombstones (segment, doc_id) with the term statistics of what they delete; merges
+drop them for good.
+
+A batch's postings are made where its rows are: a document's terms are cut, sorted and grouped within its Arrow batch,
+so the only shuffle is the one that brings terms to their bucket.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, replace
+import zlib
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.analysis import index_terms
 from ..functions.scoring import norm
 from ..plans.compile import Modes, Stats, over_postings
 from ..plans.query import Phrase, Query, Term, leaves
+from ..scratch import spread
 from .search import finite, ranked
 
-BUCKETS = 16
+POSTINGS = "field string, term string, doc_id long, len int, freq int, positions array<int>"
+TERMS = "field string, term string, df long, ttf long"
+#: Bytes of stored documents for each bucket and for each file of a bucket; buckets at most.
+BUCKET_BYTES, FILE_BYTES, MOST_BUCKETS = 32 << 20, 256 << 20, 4096
 
 
 def postings_of(df: DataFrame, key: str, field: str, terms=index_terms) -> DataFrame:
-    """(doc_id, field, term, freq, positions) of one text column; rows meet in their own task before the shuffle."""
-    words = df.select(F.col(key).alias("doc_id"), F.posexplode(terms(F.col(field))).alias("position", "term"))
-    return words.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("freq"), F.array_sort(F.collect_list("position")).alias("positions")).select("doc_id", F.lit(field).alias("field"), "term", "freq", "positions")
+    """(doc_id, field, term, len, freq, positions) of one text column, without a shuffle; len is the field's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            words = lists.flatten().dictionary_encode()  # null lists have no words
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(doc * max(1, len(words.dictionary)) + code, kind="stable")
+            doc, code, at = doc[order], code[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])) if len(doc) else np.zeros(0, np.int64)
+            ends = np.append(first, len(doc)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(doc[first])),
+                    pa.array([field], pa.string()).take(pa.array(np.zeros(len(first), np.int64))),
+                    words.dictionary.take(pa.array(code[first])),
+                    pa.array(sizes[doc[first]].astype(np.int32)),
+                    pa.array(np.diff(ends)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32))),
+                ],
+                names=["doc_id", "field", "term", "len", "freq", "positions"],
+            )
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("doc_id"), terms(F.col(field)).alias("t")).mapInArrow(run, f"doc_id {kind}, field string, term string, len int, freq int, positions array<int>")
 
 
 def lengths_of(df: DataFrame, key: str, field: str, terms=index_terms) -> DataFrame:
@@ -50,11 +91,107 @@ def seek_ceil(stats: DataFrame, field: str, term: str) -> DataFrame:
     return stats.where((F.col("field") == field) & (F.col("term") >= term)).orderBy("term").limit(1)
 
 
+def seek_exact(stats: DataFrame, field: str, term: str) -> DataFrame:
+    """The row of a term, none if the field does not have it."""
+    return stats.where((F.col("field") == field) & (F.col("term") == term))
+
+
+def terms_after(stats: DataFrame, field: str, term: str | None, n: int) -> DataFrame:
+    """The next n terms of a field after ``term`` (from the first on, if None), in order."""
+    own = stats.where(F.col("field") == field)
+    return (own if term is None else own.where(F.col("term") > term)).orderBy("term").limit(n)
+
+
+def bucket_of(term: str, buckets: int) -> int:
+    return zlib.crc32(term.encode()) % buckets
+
+
+# --- versions --------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Part:
+    """A segment, or a tombstone (with the segments it is about): its rows, its bytes and, by field, docs with it and tokens."""
+
+    name: str
+    docs: int
+    size: int = 0
+    buckets: int = 1
+    fields: dict = field(default_factory=dict, hash=False, compare=False)
+    schema: str = ""
+    about: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class Version:
     number: int
-    segments: tuple[str, ...] = ()
-    tombstones: tuple[str, ...] = ()
+    segments: tuple[Part, ...] = ()
+    tombstones: tuple[Part, ...] = ()
+    batches: tuple[tuple[str, int], ...] = ()  # the last batch of each source that is in
+
+    def text(self) -> str:
+        part = lambda p: {**vars(p), "about": list(p.about)}
+        return json.dumps({"number": self.number, "segments": [part(p) for p in self.segments], "tombstones": [part(p) for p in self.tombstones], "batches": dict(self.batches)})
+
+    @classmethod
+    def read(cls, text: str) -> Version:
+        d = json.loads(text)
+        part = lambda p: Part(**{**p, "about": tuple(p["about"])})
+        return cls(d["number"], tuple(map(part, d["segments"])), tuple(map(part, d["tombstones"])), tuple(d["batches"].items()))
+
+
+class Overtaken(RuntimeError):
+    """Another writer committed what this commit cannot be joined with."""
+
+
+class Folder:
+    """The files of an index, through Hadoop's file systems, so the folder may be in any store that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.jvm = spark, path.rstrip("/"), spark._jvm
+
+    def at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    @property
+    def fs(self):
+        return self.at("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def names(self, folder: str) -> list[str]:
+        fs = self.fs
+        return [s.getPath().getName() for s in fs.listStatus(self.at(folder))] if fs.exists(self.at(folder)) else []
+
+    def size(self, name: str) -> int:
+        return self.fs.getContentSummary(self.at(name)).getLength()
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def publish(self, name: str, text: str) -> bool:
+        """Whether the file is new: it is written elsewhere and renamed, which fails if another writer was first."""
+        draft = self.at(f"drafts/{uuid.uuid4().hex}")
+        stream = self.fs.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        fs, goal = self.fs, self.at(name)
+        fs.mkdirs(goal.getParent())
+        files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(draft, goal, none)
+        except Exception:
+            if fs.exists(goal):
+                fs.delete(draft, False)
+                return False
+            raise
+        return True
+
+
+# --- reading ---------------------------------------------------------------------------------------------------------
 
 
 class Snapshot:
@@ -62,15 +199,15 @@ class Snapshot:
 
     def __init__(self, spark: SparkSession, path: str, version: Version, text: tuple[str, ...], modes: Modes, deletes: str):
         self.spark, self.path, self.version, self.text, self.modes, self.deletes = spark, path, version, text, modes, deletes
+        self.folder = Folder(spark, path)
 
-    def _read(self, table: str) -> DataFrame | None:
-        tables = [self.spark.read.parquet(f"{self.path}/segments/{s}/{table}").withColumn("segment", F.lit(s)) for s in self.version.segments]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else None
+    def _empty(self, schema: str) -> DataFrame:
+        return self.spark.createDataFrame([], schema)
 
     @property
     def dead(self) -> DataFrame | None:
-        parts = [f"{self.path}/tombstones/{t}" for t in self.version.tombstones]
-        return self.spark.read.parquet(*parts).distinct() if parts else None
+        parts = [f"{self.path}/tombstones/{t.name}/ids" for t in self.version.tombstones if t.docs]
+        return self.spark.read.schema("segment string, doc_id long").parquet(*parts) if parts else None
 
     def _live(self, df: DataFrame) -> DataFrame:
         return df.join(self.dead, ["segment", "doc_id"], "left_anti") if self.dead is not None and self.deletes == "immediate" else df
@@ -78,39 +215,65 @@ class Snapshot:
     @property
     def stored(self) -> DataFrame:
         """All rows with the segment they are in, deleted ones too."""
-        return self._read("docs")
+        tables = [self.spark.read.schema(T.StructType.fromJson(json.loads(s.schema))).parquet(f"{self.path}/segments/{s.name}/docs").withColumn("segment", F.lit(s.name)) for s in self.version.segments]
+        if not tables:
+            return self._empty(", ".join(["doc_id long", *(f"`{c}` string" for c in self.text), "segment string"]))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
     @property
     def docs(self) -> DataFrame:
         return self._live(self.stored).drop("segment")
 
-    def postings(self, field: str, terms: list[str]) -> DataFrame:
-        wanted = self._read("postings").where(F.col("bucket").isin([int(x) for x in self._buckets(terms)]) & (F.col("field") == field) & F.col("term").isin(terms))
-        return self._live(wanted).drop("segment", "bucket")
-
-    def _buckets(self, terms: list[str]) -> set[int]:
-        rows = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).collect()
-        return {r[0] for r in rows}
-
-    def lengths(self, field: str) -> DataFrame:
-        return self._live(self._read("lengths").where(F.col("field") == field)).select("doc_id", "len", "norm")
+    def _buckets(self, parts: Iterable[Part], kind: str, table: str, terms: list[str] | None) -> list[tuple[str, list[str]]]:
+        """For each part the folders of a table that hold these terms (all of its buckets, if None)."""
+        out = []
+        for p in parts:
+            there = set(self.folder.names(f"{kind}/{p.name}/{table}"))
+            wanted = there if terms is None else there & {f"bucket={bucket_of(t, p.buckets)}" for t in terms}
+            out.append((p.name, sorted(f"{self.path}/{kind}/{p.name}/{table}/{b}" for b in wanted if b.startswith("bucket="))))
+        return [(n, x) for n, x in out if x]
+
+    def postings(self, field: str, terms: list[str] | None = None) -> DataFrame:
+        """(field, term, doc_id, len, freq, positions) of the given terms of a field, of all its terms if None."""
+        tables = [self.spark.read.schema(POSTINGS).parquet(*paths).withColumn("segment", F.lit(name)) for name, paths in self._buckets(self.version.segments, "segments", "postings", terms)]
+        every = reduce(DataFrame.unionByName, tables) if tables else self._empty(f"{POSTINGS}, segment string")
+        every = every.where(F.col("field") == field)
+        return self._live(every if terms is None else every.where(F.col("term").isin(terms))).drop("segment")
+
+    def terms(self, field: str, terms: list[str] | None = None) -> DataFrame:
+        """(field, term, df, ttf) of the live documents, from the statistics of segments and tombstones; nothing is counted."""
+        tables = [self.spark.read.schema(TERMS).parquet(*paths) for _, paths in self._buckets(self.version.segments, "segments", "terms", terms)]
+        if self.deletes == "immediate":
+            gone = [self.spark.read.schema(TERMS).parquet(*paths) for _, paths in self._buckets(self.version.tombstones, "tombstones", "terms", terms)]
+            tables += [t.select("field", "term", (-F.col("df")).alias("df"), (-F.col("ttf")).alias("ttf")) for t in gone]
+        every = reduce(DataFrame.unionByName, tables) if tables else self._empty(TERMS)
+        every = every.where(F.col("field") == field)
+        every = every if terms is None else every.where(F.col("term").isin(terms))
+        return every.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf")).where("df > 0")
 
     def max_doc(self) -> int:
-        return self.stored.count() if self.version.segments else 0
+        return sum(s.docs for s in self.version.segments)
 
     def num_docs(self) -> int:
-        if not self.version.segments:
-            return 0
-        return self.stored.join(self.dead, ["segment", "doc_id"], "left_anti").count() if self.dead is not None else self.max_doc()
+        return self.max_doc() - sum(t.docs for t in self.version.tombstones)
+
+    def _seen(self) -> int:
+        return self.num_docs() if self.deletes == "immediate" else self.max_doc()
+
+    def field_stats(self, field: str) -> dict[str, int]:
+        """Documents with the field and its tokens, of the live documents."""
+        gone = self.version.tombstones if self.deletes == "immediate" else ()
+        return {k: sum(p.fields.get(field, {}).get(k, 0) for p in self.version.segments) - sum(p.fields.get(field, {}).get(k, 0) for p in gone) for k in ("doc_count", "sum_ttf")}
 
     def statistics(self, query: Query) -> Stats:
+        """What scores need: numbers of the version, and one small read of the query's terms."""
         wanted = [(q.field, t) for q in leaves(query) if isinstance(q, (Term, Phrase)) for t in ([q.text] if isinstance(q, Term) else q.terms)]
-        stats = Stats(self.docs.count())
+        stats = Stats(self._seen())
         for f in {f for f, _ in wanted}:
-            terms = [t for g, t in wanted if g == f]
+            terms = sorted({t for g, t in wanted if g == f})
             if f in self.text:
-                stats.tokens[f] = self.lengths(f).agg(F.sum("len")).first()[0] or 0
-                stats.df |= {(f, r["term"]): r["n"] for r in self.postings(f, terms).groupBy("term").agg(F.count("*").alias("n")).collect()}
+                stats.tokens[f] = self.field_stats(f)["sum_ttf"]
+                stats.df |= {(f, r["term"]): r["df"] for r in self.terms(f, terms).collect()}
             else:
                 stats.df |= {(f, r["v"]): r["n"] for r in self.docs.select(F.col(f).cast("string").alias("v")).where(F.col("v").isin(terms)).groupBy("v").agg(F.count("*").alias("n")).collect()}
         return stats
@@ -126,109 +289,195 @@ class Snapshot:
         return ranked(self.hits(query), k, start, after, after_mode)
 
     def count(self, query: Query) -> int:
-        """Of one term, without deletes, the postings' number; else a count of the matches."""
-        return over_postings(query.normalise(), self, None, self.modes).count()
+        """Of one term of a text field, its kept statistics; else a count of the matches."""
+        query = query.normalise()
+        if isinstance(query, Term) and query.field in self.text:
+            row = self.terms(query.field, [query.text]).first()
+            return row["df"] if row else 0
+        return over_postings(query, self, None, self.modes).count()
 
     def fetch(self, hits: DataFrame) -> DataFrame:
         """The stored columns of hits."""
         return hits.join(self.docs, "doc_id")
 
 
+# --- writing ---------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Change:
+    """What a writer has not committed yet, as a change to whatever version is the latest when it does."""
+
+    added: tuple[Part, ...] = ()
+    tombstones: tuple[Part, ...] = ()
+    removed: tuple[str, ...] = ()
+    known: tuple[str, ...] = ()  # the tombstones that what replaces the removed segments has taken in
+    batches: tuple[tuple[str, int], ...] = ()
+
+    def on(self, v: Version) -> Version:
+        names, gone = {s.name for s in v.segments}, set(self.removed)
+        late = [t.name for t in v.tombstones if t.name not in self.known and gone & set(t.about)]
+        about = {a for t in self.tombstones for a in t.about}
+        if not gone <= names or late or not about - {a.name for a in self.added} <= names - gone:
+            raise Overtaken("a segment that this commit replaces or deletes from was changed by another one")
+        segments = (*(s for s in v.segments if s.name not in gone), *self.added)
+        left = {s.name for s in segments}
+        tombstones = tuple(t for t in (*v.tombstones, *self.tombstones) if left & set(t.about))
+        return Version(v.number + 1, segments, tombstones, tuple((dict(v.batches) | dict(self.batches)).items()))
+
+
 class Index:
     """A folder to write to. key names the id column; text the columns that are cut into terms."""
 
     def __init__(self, spark: SparkSession, path: str, text: tuple[str, ...] = ("text",), key: str = "doc_id", mode: str = "create_or_append", modes: Modes = Modes(), deletes: str = "immediate", terms=index_terms, codec: str = "zstd"):
         self.spark, self.path, self.text, self.key, self.modes, self.deletes, self.terms, self.codec = spark, path.rstrip("/"), tuple(text), key, modes, deletes, terms, codec
+        self.folder, self.pending = Folder(spark, path), Change()
+        if mode not in ("create", "append", "create_or_append"):
+            raise ValueError(f"no such mode: {mode!r}")
         there = self._latest() is not None
-        if mode == "create" and there:
-            self._fs().delete(self._path(self.path), True)
         if mode == "append" and not there:
             raise FileNotFoundError(f"no index at {path}")
-        if mode not in ("create", "append", "create_or_append"):
-            raise ValueError(f"no such mode: {mode!r}")
+        if mode == "create" and there:
+            self.folder.fs.delete(self.folder.at(""), True)
         if self._latest() is None:
-            self._publish(Version(0))
-        self.pending = self.current()
+            self.folder.publish(self._file(0), Version(0).text())
 
-    # Files go through Hadoop's file systems, so the folder may be in any store that Spark reads.
-    def _path(self, p: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(p)
+    def writer(self) -> Index:
+        """Another writer of this index, without what is pending here."""
+        return Index(self.spark, self.path, self.text, self.key, "append", self.modes, self.deletes, self.terms, self.codec)
 
-    def _fs(self):
-        return self._path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+    @staticmethod
+    def _file(number: int) -> str:
+        return f"versions/{number:08d}.json"
 
     def _latest(self) -> int | None:
-        fs, folder = self._fs(), self._path(f"{self.path}/manifest")
-        if not fs.exists(folder):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(self._path(f"{self.path}/manifest/{s.getPath().getName()}/_SUCCESS"))]
-        return max((int(n[1:]) for n in names if n.startswith("v")), default=None)
-
-    def _publish(self, v: Version) -> None:
-        rows = [("segment", s) for s in v.segments] + [("tombstone", t) for t in v.tombstones]
-        self.spark.createDataFrame(rows, "kind string, name string").coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/manifest/v{v.number:08d}")
-
-    def current(self) -> Version:
-        number = self._latest()
-        rows = self.spark.read.schema("kind string, name string").parquet(f"{self.path}/manifest/v{number:08d}").collect()
-        return Version(number, tuple(r["name"] for r in rows if r["kind"] == "segment"), tuple(r["name"] for r in rows if r["kind"] == "tombstone"))
-
-    def _segment(self, df: DataFrame, files: int | None = None) -> str:
+        return max((int(n[:-5]) for n in self.folder.names("versions") if n.endswith(".json") and n[:-5].isdigit()), default=None)
+
+    def version(self, number: int | None = None) -> Version:
+        return Version.read(self.folder.read(self._file(self._latest() if number is None else number)))
+
+    def _tables(self, docs: DataFrame, place: str, size: int, buckets: int) -> dict:
+        """Writes postings and term statistics of stored documents; returns, by field, the documents that have it and its tokens."""
+        told, bucket = {}, F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(buckets)).cast("int")
+        files = max(1, -(-size // (FILE_BYTES * buckets)))  # of a bucket; a frequent term is in all of them
+        for i, f in enumerate(self.text):
+            p = postings_of(docs, "doc_id", f, self.terms).withColumn("bucket", bucket)
+            p = p.repartition(buckets * files, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).sortWithinPartitions("bucket", "field", "term", "doc_id")
+            mode = "append" if i else "errorifexists"
+            p.select("field", "term", F.col("doc_id").cast("long").alias("doc_id"), "len", "freq", "positions", "bucket").write.option("compression", self.codec).mode(mode).partitionBy("bucket").parquet(f"{self.path}/{place}/postings")
+            there = self.spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{self.path}/{place}/postings").where(F.col("field") == f)
+            stats = there.groupBy("bucket", "field", "term").agg(F.count("*").alias("df"), F.sum("freq").alias("ttf"))
+            stats.repartition(buckets, "bucket").sortWithinPartitions("bucket", "field", "term").write.option("compression", self.codec).mode(mode).partitionBy("bucket").parquet(f"{self.path}/{place}/terms")
+            one = there.agg(F.sum("freq").alias("sum_ttf"), F.sum(F.lit(1.0) * F.col("freq") / F.col("len")).alias("docs")).first()
+            # The shares freq / len of a document add up to 1.
+            told[f] = {"doc_count": round(one["docs"] or 0), "sum_ttf": one["sum_ttf"] or 0}
+        return told
+
+    def _segment(self, df: DataFrame) -> Part:
         name = uuid.uuid4().hex
+        place = f"segments/{name}"
         docs = df.withColumnRenamed(self.key, "doc_id") if self.key != "doc_id" else df
-        write = lambda d: d.write.option("compression", self.codec)
-        write(docs.coalesce(files) if files else docs).parquet(f"{self.path}/segments/{name}/docs")
-        docs = self.spark.read.schema(docs.schema).parquet(f"{self.path}/segments/{name}/docs")
-        for i, f in enumerate(self.text):
-            p = postings_of(docs, "doc_id", f, self.terms).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-            write(p.repartition("bucket").sortWithinPartitions("field", "term", "doc_id")).mode("append" if i else "errorifexists").partitionBy("bucket").parquet(f"{self.path}/segments/{name}/postings")
-            write(lengths_of(docs, "doc_id", f, self.terms)).mode("append" if i else "errorifexists").parquet(f"{self.path}/segments/{name}/lengths")
-        return name
-
-    def add(self, df: DataFrame) -> Index:
-        """Writes a batch as a segment; commit() makes it seen."""
-        self.pending = replace(self.pending, segments=(*self.pending.segments, self._segment(df)))
+        spread(docs, "doc_id").write.option("compression", self.codec).parquet(f"{self.path}/{place}/docs")
+        docs = self.spark.read.schema(docs.schema).parquet(f"{self.path}/{place}/docs")
+        size = self.folder.size(f"{place}/docs")
+        buckets = min(MOST_BUCKETS, max(8, -(-size // BUCKET_BYTES)))
+        told = self._tables(docs, place, size, buckets)
+        return Part(name, docs.count(), self.folder.size(place), buckets, told, docs.schema.json())
+
+    def add(self, df: DataFrame, source: str | None = None, batch: int = 0) -> Index:
+        """Writes a batch as a segment; commit() makes it seen. A batch of a source that was committed before is not
+        added again, so a retry changes nothing."""
+        if source is not None:
+            if dict(self.version().batches).get(source, -1) >= batch:
+                return self
+            self.pending = replace(self.pending, batches=(*self.pending.batches, (source, batch)))
+        self.pending = replace(self.pending, added=(*self.pending.added, self._segment(df)))
         return self
 
+    def _snapshot(self, version: Version, deletes: str) -> Snapshot:
+        return Snapshot(self.spark, self.path, version, self.text, self.modes, deletes)
+
     def delete(self, query: Query) -> Index:
         """Deletes what matches in the committed segments; batches that are still pending are not touched."""
-        seen = self.open()
-        if seen.version.segments:
-            every = Snapshot(self.spark, self.path, seen.version, self.text, self.modes, "immediate")
-            keys = over_postings(query.normalise(), every, None, self.modes).select("doc_id")
-            rows = every._live(every.stored).join(keys, "doc_id", "left_semi").select("segment", "doc_id")
-            name = uuid.uuid4().hex
-            rows.write.parquet(f"{self.path}/tombstones/{name}")
-            self.pending = replace(self.pending, tombstones=(*self.pending.tombstones, name))
+        v = self.version()
+        every = self._snapshot(replace(v, tombstones=(*v.tombstones, *self.pending.tombstones)), "immediate")
+        if not v.segments:
+            return self
+        keys = over_postings(query.normalise(), every, None, self.modes).select("doc_id").distinct()
+        name = uuid.uuid4().hex
+        place = f"tombstones/{name}"
+        rows = every._live(every.stored).join(keys, "doc_id", "left_semi").select("segment", "doc_id", *self.text)
+        rows.write.parquet(f"{self.path}/{place}/rows")
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{place}/rows")
+        counts = {r["segment"]: r["count"] for r in rows.groupBy("segment").count().collect()}  # a row a segment
+        if counts:
+            rows.select("segment", "doc_id").write.parquet(f"{self.path}/{place}/ids")
+            told = self._tables(rows, place, self.folder.size(f"{place}/rows"), 8)
+            self.pending = replace(self.pending, tombstones=(*self.pending.tombstones, Part(name, sum(counts.values()), 0, 8, told, "", tuple(sorted(counts)))))
+        self.folder.fs.delete(self.folder.at(f"{place}/rows"), True)
         return self
 
     def update(self, query: Query, df: DataFrame) -> Index:
         return self.delete(query).add(df)
 
     def commit(self) -> int:
-        """Makes all pending batches and deletes one new version. A writer that was overtaken fails."""
-        v = replace(self.pending, number=self.current().number + 1)
-        self._publish(v)
-        self.pending = v
-        return v.number
+        """Makes all pending batches, deletes and merges one new version, on top of what others committed meanwhile;
+        raises Overtaken if these took away what this one builds on. Returns the version's number."""
+        while True:
+            v = self.version()
+            if self.pending == Change():
+                return v.number
+            new = self.pending.on(v)
+            if self.folder.publish(self._file(new.number), new.text()):
+                self.pending = Change()
+                return new.number
 
     def rollback(self) -> Index:
-        self.pending = self.current()
+        self.pending = Change()
         return self
 
-    def compact(self, files: int = 1) -> int:
-        """One segment of ``files`` files from all live rows."""
-        now = self.open()
-        live = Snapshot(self.spark, self.path, now.version, self.text, self.modes, "immediate").docs
-        self.pending = Version(now.version.number, (self._segment(live, files),))
+    def merge(self, groups: Iterable[Iterable[str]]) -> int:
+        """Each group of segments becomes one, without its deleted rows; one commit. Pending batches are committed first."""
+        self.commit()
+        v = self.version()
+        change = Change(known=tuple(t.name for t in v.tombstones))
+        for names in map(set, groups):
+            own = tuple(s for s in v.segments if s.name in names)
+            if len(own) != len(names):
+                raise Overtaken(f"no such segments: {sorted(names - {s.name for s in own})}")
+            live = self._snapshot(replace(v, segments=own), "immediate").docs
+            made = self._segment(live)
+            change = replace(change, removed=(*change.removed, *sorted(names)), added=(*change.added, *((made,) if made.docs else ())))
+        self.pending = change
         return self.commit()
 
+    def compact(self, most: int = 1) -> int:
+        """Merges until ``most`` segments or fewer are left and no deleted row is; pending batches are committed first.
+
+        The largest segments stay as they are, if nothing was deleted from them; the smallest are merged into one. Without
+        a need for it nothing is written.
+        """
+        if most < 1:
+            raise ValueError("most must be above 0")
+        self.commit()
+        v = self.version()
+        holed = {a for t in v.tombstones for a in t.about}
+        order = sorted(v.segments, key=lambda s: (s.size, s.name))
+        surplus = len(order) - most
+        small = [s.name for s in order[: surplus + 1]] if surplus > 0 else []
+        groups = ([small] if small else []) + [[s.name] for s in order if s.name in holed and s.name not in small]
+        return self.merge(groups) if groups else v.number
+
+    def merge_tiers(self, planner) -> list[list[str]]:
+        """Merges what a planner (sizes by name -> groups of names) asks for; returns the groups."""
+        self.commit()
+        groups = planner.plan({s.name: s.size for s in self.version().segments})
+        if groups:
+            self.merge(groups)
+        return groups
+
     def open(self, number: int | None = None) -> Snapshot:
-        v = self.current()
-        if number is not None and number != v.number:
-            rows = self.spark.read.schema("kind string, name string").parquet(f"{self.path}/manifest/v{number:08d}").collect()
-            v = Version(number, tuple(r["name"] for r in rows if r["kind"] == "segment"), tuple(r["name"] for r in rows if r["kind"] == "tombstone"))
-        return Snapshot(self.spark, self.path, v, self.text, self.modes, self.deletes)
+        return self._snapshot(self.version(number), self.deletes)
 
     def reopen(self, old: Snapshot) -> Snapshot:
         """old itself if nothing was committed since."""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.analysis import index_terms
-from ..plans.compile import Modes, Stats, over_rows
+from ..plans.compile import Modes, Stats, frequency, over_rows
 from ..plans.query import Bool, Phrase, Query, Range, Term, leaves
+from ..scratch import spread, stored
 
 
 @dataclass(frozen=True)
@@ -52,16 +53,6 @@ class Corpus:
             df = df.withColumn(f"__terms_{c}", F.when(F.monotonically_increasing_id() >= 0, terms))
         return df, {c: F.col(f"__terms_{c}") for c in used}
 
-    def statistics(self, query: Query) -> Stats:
-        """One row of counts over all documents; the only thing a search brings to the driver."""
-        wanted = [(q.field, t) for q in leaves(query) if isinstance(q, (Term, Phrase)) for t in ([q.text] if isinstance(q, Term) else q.terms)]
-        wanted = list(dict.fromkeys(wanted))
-        used = {f for f, _ in wanted if f in self.text}
-        df, tokens = self._prepared(used)
-        has = [F.count_if(over_rows(Term(f, t), df, tokens, None, self.modes)[0]) for f, t in wanted]
-        row = df.agg(F.count("*").alias("n"), *[F.sum(F.size(tokens[c])).alias(f"n_{c}") for c in sorted(used)], *[h.alias(f"df_{i}") for i, h in enumerate(has)]).first()
-        return Stats(row["n"], {c: row[f"n_{c}"] or 0 for c in used}, {ft: row[f"df_{i}"] for i, ft in enumerate(wanted)})
-
     def match(self, query: Query) -> DataFrame:
         """The rows that match, with all their columns and no score."""
         query = query.normalise()
@@ -69,14 +60,44 @@ class Corpus:
         df, tokens = self._prepared(used, query)
         return df.where(over_rows(query, df, tokens, None, self.modes)[0]).select(*self.docs.columns)
 
+    def _measured(self, query: Query) -> tuple[DataFrame, Stats, dict[Query, tuple[Column, Column]]]:
+        """The rows that match a query with terms, as key and what each leaf counts in them, and the statistics of all rows.
+
+        One pass over the texts: the counts of a row decide whether it is kept, and the numbers that scores need of all
+        rows (documents, tokens, documents of each term) are observed as the rows go by. What is kept, a few numbers a
+        hit, is stored, so nothing is cut or counted again.
+        """
+        own = list(dict.fromkeys(leaves(query)))
+        wanted = list(dict.fromkeys(Term(q.field, t) for q in own if isinstance(q, (Term, Phrase)) for t in ([q.text] if isinstance(q, Term) else q.terms)))
+        fields = sorted({q.field for q in wanted if q.field in self.text})
+        plain = sorted({q.field for q in own if hasattr(q, "field")} - set(fields) - {self.key})
+        df = spread(self.docs.select(*[f"`{c}`" for c in (self.key, *fields, *plain)]), self.key)
+        tokens = {c: F.col(f"__terms_{c}") for c in fields}
+        for c in fields:  # cut once a row: the optimizer never copies what counts as non-deterministic, as a row number does
+            terms = F.coalesce(self.tokens[c], F.array().cast("array<string>"))
+            df = df.withColumn(f"__terms_{c}", F.when(F.monotonically_increasing_id() >= 0, terms))
+        counted = [q for q in dict.fromkeys([*own, *wanted]) if isinstance(q, (Term, Phrase))]
+        ranges = [q for q in own if isinstance(q, Range)]
+        columns = [frequency(q, df, tokens)[0] for q in counted] + [over_rows(q, df, tokens, None, self.modes)[0].cast("int") for q in ranges]
+        known = {q: (F.col(f"__f{i}"), F.col(f"__n_{q.field}") if q.field in tokens else F.lit(1)) for i, q in enumerate([*counted, *ranges])}
+        df = df.select(self.key, *[F.size(tokens[c]).alias(f"__n_{c}") for c in fields], *[c.alias(f"__f{i}") for i, c in enumerate(columns)])
+        seen = Observation()
+        sums = [F.coalesce(F.sum(f"__n_{c}"), F.lit(0)).alias(f"n_{c}") for c in fields]
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"), *sums, *[F.count_if(known[q][0] > 0).alias(f"df_{i}") for i, q in enumerate(wanted)])
+        # Not a constant, even where no row can match: an empty plan would observe nothing.
+        keep = F.when(F.monotonically_increasing_id() >= 0, over_rows(query, df, {}, None, self.modes, known)[0])
+        kept = stored(df.where(keep), "hits")
+        got = seen.get
+        return kept, Stats(got["n"], {c: got[f"n_{c}"] for c in fields}, {(q.field, q.text): got[f"df_{i}"] for i, q in enumerate(wanted)}), known
+
     def hits(self, query: Query) -> DataFrame:
         """(key, score) of every row that matches. These scores are finite; for others there is finite()."""
         query = query.normalise()
-        scored = any(not isinstance(q, Range) for q in leaves(query))
-        stats = self.statistics(query) if scored else Stats(0)
-        used = {q.field for q in leaves(query) if isinstance(q, (Term, Phrase)) and q.field in self.text}
-        df, tokens = self._prepared(used, query)
-        matches, score = over_rows(query, df, tokens, stats, self.modes)
+        if any(isinstance(q, (Term, Phrase)) for q in leaves(query)):
+            df, stats, known = self._measured(query)
+            return df.select(self.key, over_rows(query, df, {}, stats, self.modes, known)[1].cast("double").alias("score"))
+        df, _ = self._prepared(set(), query)
+        matches, score = over_rows(query, df, {}, Stats(0), self.modes)
         return df.where(matches).select(self.key, score.cast("double").alias("score"))
 
     def search(self, query: Query, k: int, start: int = 0, after: After | None = None, after_mode: str = "keyset") -> DataFrame:
@@ -128,7 +149,7 @@ def histogram(df: DataFrame, column: str, lower: float, interval: float, buckets
 
 
 def date_histogram(df: DataFrame, column: str, lower: float, upper: float, interval: float, most: int) -> DataFrame:
-    """The first ``most`` non-empty buckets of [lower, upper), with the number of all rows beside."""
+    """The first ``most`` non-empty buckets of [lower, upper): key and n. date_histogram_with_total also tells the rows."""
     if interval <= 0:
         raise ValueError("interval must be above 0")
     v = F.col(column).cast("double")
@@ -137,13 +158,24 @@ def date_histogram(df: DataFrame, column: str, lower: float, upper: float, inter
     return df.where(inside).groupBy(key.alias("key")).agg(F.count("*").alias("n")).orderBy("key").limit(most)
 
 
+def date_histogram_with_total(df: DataFrame, column: str, lower: float, upper: float, interval: float, most: int) -> DataFrame:
+    """date_histogram with the number of all rows beside each bucket, those without a value too; one row with a null key
+    where no bucket has any. One pass: a row outside the buckets counts under no key."""
+    if interval <= 0:
+        raise ValueError("interval must be above 0")
+    v = F.col(column).cast("double")
+    key = F.when(v.isNotNull() & ~F.isnan(v) & (v >= lower) & (v < upper), F.floor((v - lower) / interval) * interval + lower)
+    every = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"))  # a row a bucket
+    total = every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_hits"))
+    shown = every.where("key is not null").orderBy("key").limit(most)
+    return total.join(shown, F.lit(True), "left").select("key", F.coalesce("n", F.lit(0)).alias("n"), "total_hits")
+
+
 def facets(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
 def observed(df: DataFrame, name: str, **measures: Column):
     """df and an Observation of measures that is filled as a side effect of the next action on df."""
-    from pyspark.sql import Observation
-
     seen = Observation(name)
     return df.observe(seen, *[c.alias(k) for k, c in measures.items()]), seen

@@ -76,47 +76,55 @@ def _bool(q: Bool, must, should, must_not, filters, modes: Modes) -> tuple[Colum
     return ok, score
 
 
-def over_rows(q: Query, df: DataFrame, tokens: dict[str, Column], stats: Stats | None, modes: Modes) -> tuple[Column, Column]:
-    """(matches, score) of a query for each row. tokens: the terms of each text field; stats: None if scores do not matter."""
+def frequency(q: Term | Phrase, df: DataFrame, tokens: dict[str, Column]) -> tuple[Column, Column]:
+    """How often a leaf stands in each row's field, and the field's length."""
+    if isinstance(q, Phrase):
+        if q.field not in tokens:
+            raise TypeError(f"no text field: {q.field!r}")
+        spots = [positions(tokens[q.field], t, p) for t, p in zip(q.terms, q.positions, strict=True)]
+        return F.coalesce(F.size(reduce(F.array_intersect, spots)), F.lit(0)) if spots else F.lit(0), F.size(tokens[q.field])
+    if q.field in tokens:
+        # Built-in array functions stay in generated code, unlike a lambda a token.
+        return F.size(tokens[q.field]) - F.size(F.array_remove(tokens[q.field], q.text)), F.size(tokens[q.field])
+    c = F.col(q.field)
+    many = dict(df.dtypes)[q.field].startswith("array")
+    freq = F.size(F.filter(c, lambda t: t.cast("string") == q.text)) if many else (c.cast("string") == q.text).cast("int")
+    return F.coalesce(freq, F.lit(0)), F.lit(1)
+
+
+def over_rows(q: Query, df: DataFrame, tokens: dict[str, Column], stats: Stats | None, modes: Modes, known: dict[Query, tuple[Column, Column]] | None = None) -> tuple[Column, Column]:
+    """(matches, score) of a query for each row. tokens: the terms of each text field; stats: None if scores do not matter;
+    known: leaves whose frequency and length df has as columns already."""
+    known = known or {}
     if isinstance(q, Boost):
-        m, s = over_rows(q.query, df, tokens, stats, modes)
+        m, s = over_rows(q.query, df, tokens, stats, modes, known)
         return m, s * F.lit(float(q.factor))
     if isinstance(q, MatchAll):
         return F.lit(True), F.lit(1.0)
     if isinstance(q, Range):
+        if q in known:
+            return known[q][0] > 0, F.lit(1.0)
         kind = dict(df.dtypes)[q.field]
         c = F.col(q.field)
         if kind.startswith("array"):
             return F.coalesce(F.exists(c, lambda x: range_matches(x, q, "double" in kind or "float" in kind)), F.lit(False)), F.lit(1.0)
         return F.coalesce(range_matches(c, q, kind in ("double", "float")), F.lit(False)), F.lit(1.0)
     if isinstance(q, Bool):
-        sides = [[over_rows(x, df, tokens, stats, modes) for x in side] for side in (q.must, q.should, q.must_not, q.filter)]
+        sides = [[over_rows(x, df, tokens, stats, modes, known) for x in side] for side in (q.must, q.should, q.must_not, q.filter)]
         return _bool(q, *sides, modes)
-    if isinstance(q, Phrase) and q.field in tokens:
-        spots = [positions(tokens[q.field], t, p) for t, p in zip(q.terms, q.positions, strict=True)]
-        freq = F.coalesce(F.size(reduce(F.array_intersect, spots)), F.lit(0)) if spots else F.lit(0)
-        df_ = min((stats.df.get((q.field, t), 0) for t in q.terms), default=0) if stats else 0
-        length = F.size(tokens[q.field])
-    elif isinstance(q, Term) and q.field in tokens:
-        if stats is None:
-            return F.coalesce(F.array_contains(tokens[q.field], F.lit(q.text)), F.lit(False)), F.lit(0.0)
-        # Built-in array functions stay in generated code, unlike a lambda a token.
-        freq = F.size(tokens[q.field]) - F.size(F.array_remove(tokens[q.field], q.text))
-        df_, length = (stats.df.get((q.field, q.text), 0) if stats else 0), F.size(tokens[q.field])
-    elif isinstance(q, Term):
-        c = F.col(q.field)
-        freq = (F.size(F.filter(c, lambda t: t.cast("string") == q.text)) if dict(df.dtypes)[q.field].startswith("array") else (c.cast("string") == q.text).cast("int"))
-        if stats is None and not dict(df.dtypes)[q.field].startswith("array"):
-            return F.coalesce(c.cast("string") == q.text, F.lit(False)), F.lit(0.0)
-        freq = F.coalesce(freq, F.lit(0))
-        df_, length = (stats.df.get((q.field, q.text), 0) if stats else 0), F.lit(1)
-    else:
+    if not isinstance(q, (Term, Phrase)):
         raise TypeError(f"cannot compile {q!r}")
-    matches = freq > 0
+    if stats is None and isinstance(q, Term) and q not in known:  # a search ends at the first match
+        if q.field in tokens:
+            return F.coalesce(F.array_contains(tokens[q.field], F.lit(q.text)), F.lit(False)), F.lit(0.0)
+        if not dict(df.dtypes)[q.field].startswith("array"):
+            return F.coalesce(F.col(q.field).cast("string") == q.text, F.lit(False)), F.lit(0.0)
+    freq, length = known[q] if q in known else frequency(q, df, tokens)
     if stats is None:
-        return matches, F.lit(0.0)
-    average = stats.average(q.field) if q.field in tokens else 1.0
-    return matches, scoring.bm25(freq, length, F.lit(df_), F.lit(stats.n), F.lit(average), modes.k1, modes.b, modes.norms)
+        return freq > 0, F.lit(0.0)
+    df_ = min((stats.df.get((q.field, t), 0) for t in ([q.text] if isinstance(q, Term) else q.terms)), default=0)
+    average = stats.average(q.field) if q.field in stats.tokens else 1.0
+    return freq > 0, scoring.bm25(freq, length, F.lit(df_), F.lit(stats.n), F.lit(average), modes.k1, modes.b, modes.norms)
 
 
 def positions(tokens: Column, term: str, offset: int) -> Column:
@@ -129,7 +137,7 @@ def _moved(places: Column, offset: int) -> Column:
 
 
 def over_postings(q: Query, index, stats: Stats | None, modes: Modes) -> DataFrame:
-    """(doc_id, score) of the documents that match. index has docs, postings(field, terms) and lengths."""
+    """(doc_id, score) of the documents that match. index has docs and postings(field, terms), which bring their field's length."""
     if isinstance(q, Boost):
         return over_postings(q.query, index, stats, modes).withColumn("score", F.col("score") * float(q.factor))
     if isinstance(q, MatchAll):
@@ -141,15 +149,14 @@ def over_postings(q: Query, index, stats: Stats | None, modes: Modes) -> DataFra
         terms = [q.text] if isinstance(q, Term) else list(dict.fromkeys(q.terms))
         rows = index.postings(q.field, terms)
         if isinstance(q, Term):
-            hits = rows.select("doc_id", F.col("freq"))
-        else:
-            at = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")).where(F.size("at") == len(terms))
-            spots = [_moved(F.element_at("at", t), o) for t, o in zip(q.terms, q.positions, strict=True)]
-            hits = at.select("doc_id", F.size(reduce(F.array_intersect, spots)).alias("freq")).where("freq > 0")
+            hits = rows.select("doc_id", "freq", "len")
+        else:  # one group a document, of at most one row a term
+            at = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.max("len").alias("len")).where(F.size("at") == len(terms))
+            spots = [_moved(F.element_at("at", F.lit(t)), o) for t, o in zip(q.terms, q.positions, strict=True)]
+            hits = at.select("doc_id", F.size(reduce(F.array_intersect, spots)).alias("freq"), "len").where("freq > 0")
         if stats is None:
             return hits.select("doc_id", F.lit(0.0).alias("score"))
         df_ = min((stats.df.get((q.field, t), 0) for t in terms), default=0)
-        hits = hits.join(index.lengths(q.field), "doc_id")
         return hits.select("doc_id", scoring.bm25(F.col("freq"), F.col("len"), F.lit(df_), F.lit(stats.n), F.lit(stats.average(q.field)), modes.k1, modes.b, modes.norms).alias("score"))
     if not isinstance(q, Bool):
         raise TypeError(f"cannot compile {q!r}")

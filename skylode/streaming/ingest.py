@@ -9,12 +9,15 @@ from ..operators.index import Index
 
 
 def into_index(stream: DataFrame, index: Index, checkpoint: str, once: bool = True):
-    """Each micro-batch becomes a segment and a version; readers see it when they reopen."""
+    """Each micro-batch becomes a segment and a version; readers see it when they reopen.
+
+    The version keeps the batch's number under the checkpoint's name, so a batch that is tried again after its commit is
+    not added twice. What the caller has pending in ``index`` stays pending.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
         if not df.isEmpty():
-            index.rollback().add(df)
-            index.commit()
+            index.writer().add(df, source=checkpoint, batch=number).commit()
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

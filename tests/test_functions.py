@@ -111,9 +111,24 @@ def test_columns(spark):
 def test_lifecycle(spark):
     s = spark.createDataFrame([("a", "HOT", 8 * 86400, 1, 0), ("b", "HOT", 0, 1, 0), ("c", "WARM", 0, 1, 5), ("d", "COLD", 400 * 86400, 1, 0), ("e", "FROZEN", 10**9, 1, 0)], "segment string, tier string, age long, bytes long, accesses int")
     assert {r["segment"]: r["target"] for r in lifecycle.migrations(s).collect()} == {"a": "WARM", "c": "COLD", "d": "FROZEN"}
-    m = lifecycle.TieredMerges()
-    assert m.plan({f"s{i}": 2**20 for i in range(5)}) == []
-    assert len(m.plan({f"s{i:02d}": 4 * 2**20 for i in range(30)})[0]) == 10
+    m = lifecycle.SizeClasses()
+    assert m.plan({f"s{i}": 2**20 for i in range(5)}) == [] and m.plan({}) == []
+    groups = m.plan({f"s{i:02d}": 4 * 2**20 for i in range(30)})
+    assert [len(g) for g in groups] == [10, 10] and groups[0] == [f"s{i:02d}" for i in range(10)]
+    assert m.plan({f"s{i:02d}": 6 * 2**30 for i in range(30)}) == []
+    big = m.plan({f"s{i:02d}": 2 * 2**30 for i in range(12)})
+    assert big == [["s00", "s01"]]  # three would be above the largest size
+
+
+def test_service():
+    done = []
+    service = lifecycle.Service(lambda: done.append(1), 0.01).start()
+    while len(done) < 3:
+        pass
+    assert service.stop() >= 3
+    broken = lifecycle.Service(lambda: 1 // 0, 0.01).start()
+    with pytest.raises(ZeroDivisionError):
+        broken.stop()
 
 
 def test_schema(spark):
@@ -133,3 +148,9 @@ def test_streaming(spark, tmp_path):
     ix = Index(spark, str(tmp_path / "ix"))
     ingest.into_index(spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in")), ix, str(tmp_path / "cp")).awaitTermination()
     assert ix.open().count(Term("text", "words")) == 2
+    again = spark.createDataFrame([(1, "stream of words")], "doc_id long, text string")
+    ix.add(spark.createDataFrame([(9, "pending words")], "doc_id long, text string"))
+    ix.writer().add(again, source=str(tmp_path / "cp"), batch=0).commit()  # a batch that is tried again
+    assert ix.open().num_docs() == 2
+    ix.commit()
+    assert ix.open().count(Term("text", "words")) == 3

@@ -158,6 +158,125 @@ def test_index_life(spark, tmp_path):
         Index(spark, str(tmp_path / "none"), mode="append")
 
 
+DOCS = "doc_id long, text string"
+
+
+def batch(spark, *rows):
+    return spark.createDataFrame(list(rows), DOCS)
+
+
+def test_merge_to_one_takes_pending_batches(spark, tmp_path):
+    ix = Index(spark, str(tmp_path / "ix"))
+    ix.add(batch(spark, (1, "a b"))).commit()
+    ix.add(batch(spark, (2, "a c")))
+    ix.compact()
+    assert len(ix.version().segments) == 1 and ids(ix.open().hits(t("a"))) == [1, 2]
+    number = ix.version().number
+    assert ix.compact() == number and ix.compact(3) == number  # nothing to do, nothing written
+
+
+def test_merge_to_n(spark, tmp_path):
+    ix = Index(spark, str(tmp_path / "ix"))
+    for i in range(4):
+        ix.add(batch(spark, *((10 * i + j, f"w{i} common x{j}") for j in range(i + 1)))).commit()
+    ix.delete(t("w3")).commit()
+    ix.compact(2)
+    seen = ix.open()
+    assert len(seen.version.segments) == 1 and seen.version.tombstones == ()  # the largest lost all its rows
+    assert (seen.num_docs(), seen.max_doc()) == (6, 6) and ids(seen.hits(t("common"))) == [0, 10, 11, 20, 21, 22]
+    ix.add(batch(spark, (99, "w9 common"))).commit()
+    ix.delete(t("x0")).commit()
+    ix.compact(2)
+    assert len(ix.version().segments) == 2 and ix.open().num_docs() == 4 == ix.open().max_doc()
+
+
+def test_merge_of_nothing(spark, tmp_path):
+    ix = Index(spark, str(tmp_path / "ix"))
+    seen = ix.open()
+    assert (seen.num_docs(), seen.max_doc(), seen.count(t("a")), seen.docs.count()) == (0, 0, 0, 0)
+    assert seen.search(t("a"), 5).collect() == [] and seen.match(Bool(must=(t("a"),), must_not=(t("b"),))).collect() == []
+    assert ix.compact() == 0 and ix.delete(t("a")).commit() == 0 and seen.search(Phrase("text", ("a", "b")), 5).collect() == []
+
+
+def test_writer_that_died(spark, tmp_path):
+    path = tmp_path / "ix"
+    ix = Index(spark, str(path))
+    ix.add(batch(spark, (1, "a"))).commit()
+    (path / "drafts").mkdir(exist_ok=True)
+    (path / "drafts" / "half").write_text('{"number": 2, "segm')
+    (path / "versions" / "00000002.json.tmp").write_text("{")
+    assert ix.add(batch(spark, (2, "a"))).commit() == 2 and ix.open().count(t("a")) == 2
+
+
+def test_writers_meet(spark, tmp_path):
+    one = Index(spark, str(tmp_path / "ix"))
+    one.add(batch(spark, (1, "a"), (2, "a b"))).commit()
+    two = one.writer()
+    one.add(batch(spark, (3, "a")))
+    two.add(batch(spark, (4, "a"))).commit()
+    one.commit()
+    assert ids(one.open().hits(t("a"))) == [1, 2, 3, 4]
+    one.delete(t("b"))
+    two.compact()
+    with pytest.raises(RuntimeError):
+        one.commit()
+    one.rollback().delete(t("b")).commit()
+    assert ids(one.open().hits(t("a"))) == [1, 3, 4]
+
+
+def test_deletions(spark, tmp_path):
+    ix = Index(spark, str(tmp_path / "ix"), text=("type", "text"))
+    rows = spark.createDataFrame([(i, "even" if i % 2 == 0 else "odd", f"document {i}") for i in range(10)], "doc_id long, type string, text string")
+    for k in range(3):
+        ix.add(rows.where(f"doc_id % 3 = {k}"))
+    ix.commit()
+    for i in range(0, 10, 2):
+        ix.delete(t(str(i)))
+    ix.delete(t("0"))  # deleted before in the same commit
+    ix.commit()
+    seen = ix.open()
+    assert (seen.num_docs(), seen.max_doc()) == (5, 10) and ids(seen.hits(t("document"))) == [1, 3, 5, 7, 9]
+    assert seen.count(t("document")) == 5 and seen.count(Term("type", "even")) == 0 and seen.field_stats("text") == {"doc_count": 5, "sum_ttf": 10}
+    ix.delete(t("document")).commit()
+    assert ix.open().num_docs() == 0 and ix.open().search(t("document"), 3).collect() == []
+    late = Index(spark, str(tmp_path / "ix"), text=("type", "text"), deletes="on_compact")
+    assert late.open().count(t("document")) == 10
+    late.compact()
+    assert late.open().max_doc() == 0 and late.version().segments == ()
+
+
+def test_statistics_are_kept(spark, tmp_path):
+    from skylode.operators import index
+
+    texts = ["oil price oil", "the price", None, "", "oil é x1", "price"]
+    df = batch(spark, *enumerate(texts))
+    ix = Index(spark, str(tmp_path / "ix"))
+    ix.add(df.where("doc_id < 3")).add(df.where("doc_id >= 3")).commit()
+    ix.delete(t("the")).commit()
+    left = df.where("doc_id <> 1")
+    want = {(r["term"], r["df"], r["ttf"]) for r in index.term_stats(index.postings_of(left, "doc_id", "text")).collect()}
+    assert {(r["term"], r["df"], r["ttf"]) for r in ix.open().terms("text").collect()} == want == {("oil", 2, 3), ("price", 2, 2), ("é", 1, 1), ("x1", 1, 1)}
+    stats = ix.open().terms("text")
+    assert index.seek_exact(stats, "text", "oil").first()["ttf"] == 3 and index.seek_exact(stats, "text", "gas").count() == 0
+    assert [r["term"] for r in index.terms_after(stats, "text", "oil", 2).collect()] == ["price", "x1"]
+
+
+def test_create_and_merge_tiers(spark, tmp_path):
+    from skylode.operators.lifecycle import SizeClasses
+
+    ix = Index(spark, str(tmp_path / "ix"))
+    for i in range(4):
+        ix.add(batch(spark, (i, f"a w{i}")))
+    ix.commit()
+    groups = ix.merge_tiers(SizeClasses(per_class=2, at_once=3))
+    assert [len(g) for g in groups] == [3] and len(ix.version().segments) == 2 and ids(ix.open().hits(t("a"))) == [0, 1, 2, 3]
+    assert ix.merge_tiers(SizeClasses(per_class=2)) == []
+    fresh = Index(spark, str(tmp_path / "ix"), mode="create")
+    assert fresh.open().num_docs() == 0 and fresh.version().number == 0
+    with pytest.raises(ValueError):
+        Index(spark, str(tmp_path / "ix"), mode="other")
+
+
 def test_index_agrees_with_rows(spark, tmp_path):
     texts = ["oil price rises", "the price of oil", "oil price oil price", "gas and oil", "price", None, ""]
     df = spark.createDataFrame([(i, x, i * 10) for i, x in enumerate(texts)], "doc_id long, text string, v long")
