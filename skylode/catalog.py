@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .functions import vectors as sv
 from .operators import columns, index, lifecycle, search, sparse
 from .plans.compile import Modes
 from .plans.query import Bool, MatchAll, Phrase, Range, Term
+from .scratch import shared_folder
 from .sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,6 +286,12 @@ def date_histogram(spark, d):
     return search.date_histogram(hits.withColumn("at", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1e6), "at", 1704067200.0, 1705276800.0, 86400.0, 10)
 
 
+@query("SELECT floor((epoch(ts)::DOUBLE - 1704067200) / 86400) * 86400 + 1704067200 AS key, count(*) AS n, (SELECT count(*) FROM events WHERE event_type = 'error') AS total_hits FROM events WHERE event_type = 'error' AND epoch(ts) >= 1704067200 AND epoch(ts) < 1705276800 GROUP BY 1 ORDER BY 1 LIMIT 5")
+def date_histogram_total(spark, d):
+    hits = search.Corpus(table(spark, d, "events"), key="event_id", text=()).match(Term("event_type", "error"))
+    return search.date_histogram_with_total(hits.withColumn("at", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1e6), "at", 1704067200.0, 1705276800.0, 86400.0, 5)
+
+
 @query(f"WITH {TOK} SELECT lang, count(*) AS n FROM tok WHERE list_contains(t, 'the') GROUP BY lang")
 def facet_counts(spark, d):
     return search.facets(corpus(spark, d).match(THE), "lang")
@@ -566,27 +574,157 @@ def sparse_rerank(spark, d):
     return shown(sparse.reranked(_vectors(spark, d), _QUERY))
 
 
-# --- lifecycle ---------------------------------------------------------------------------------------------------------
+# --- over an index: postings, versions, deletes -----------------------------------------------------------------------
+
+_built: dict[tuple[str, str], index.Index] = {}
+
+
+def _place(spark) -> str:
+    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex[:8]}"
+
+
+def _index(spark, d) -> index.Snapshot:
+    """An index of documents in three segments, built once a session and input."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built:
+        docs, ix = _documents(spark, d), index.Index(spark, _place(spark))
+        for i in range(3):
+            ix.add(docs.where(F.pmod("doc_id", F.lit(3)) == i))
+        ix.commit()
+        _built[key] = ix
+    return _built[key].open()
+
+
+@query(bm25_sql(["license"], page_sql("f_license > 0", "s_license", 20)))
+def index_term(spark, d):
+    return shown(_index(spark, d).search(Term("text", "license"), 20))
+
+
+@query(bm25_sql(["the", "license"], page_sql("f_the > 0 AND f_license > 0", "s_the + s_license")))
+def index_and(spark, d):
+    return shown(_index(spark, d).search(Bool(must=(THE, Term("text", "license"))), 10))
+
+
+@query(bm25_sql(["the", "of", "this"], page_sql("f_the + f_of + f_this > 0", "s_the + s_of + s_this")))
+def index_or(spark, d):
+    return shown(_index(spark, d).search(Bool(should=(THE, OF, THIS)), 10))
+
+
+@query(bm25_sql(["the", "license"], page_sql("f_the > 0 AND f_license = 0", "s_the")))
+def index_not(spark, d):
+    return shown(_index(spark, d).search(Bool(must=(THE,), must_not=(Term("text", "license"),)), 10))
+
+
+@query(bm25_sql(["the"], page_sql("f_the > 0 AND n_chars BETWEEN 500 AND 3000", "s_the")))
+def index_filter(spark, d):
+    return shown(_index(spark, d).search(Bool(must=(THE,), filter=(Range("n_chars", 500, 3000),)), 10))
+
+
+@query(bm25_sql(["the", "of", "with", "this"], page_sql("(f_the > 0)::INT + (f_of > 0)::INT + (f_with > 0)::INT + (f_this > 0)::INT >= 3", "s_the + s_of + s_with + s_this")))
+def index_min_should(spark, d):
+    return shown(_index(spark, d).search(Bool(should=(THE, OF, WITH, THIS), min_should=3), 10))
+
+
+@query(bm25_sql([], page_sql("f_gpl > 0", "s_gpl"), phrases={"gpl": (["general", "public", "license"], [0, 1, 2])}))
+def index_phrase(spark, d):
+    return shown(_index(spark, d).search(Phrase("text", ("general", "public", "license")), 10))
+
+
+@query(bm25_sql([], page_sql("f_gap > 0", "s_gap"), phrases={"gap": (["the", "of"], [0, 2])}))
+def index_phrase_gap(spark, d):
+    return shown(_index(spark, d).search(Phrase("text", ("the", "of"), (0, 2)), 10))
+
+
+@query(bm25_sql(["the"], page_sql("f_the > 0", "s_the", 10, 10)))
+def index_page2(spark, d):
+    return shown(_index(spark, d).search(THE, 10, start=10))
+
+
+@query(f"WITH {TOK} SELECT 'license' AS term, count(*) AS hits FROM tok WHERE list_contains(t, 'license')")
+def index_count(spark, d):
+    return spark.createDataFrame([("license", _index(spark, d).count(Term("text", "license")))], "term string, hits long")
+
+
+@query(f"WITH {TOK} SELECT doc_id, lang, source, n_chars FROM tok WHERE list_contains(t, 'of') AND list_contains(t, 'license')")
+def index_fetch(spark, d):
+    seen = _index(spark, d)
+    return seen.match(Bool(must=(OF, Term("text", "license")))).select("doc_id", "lang", "source", "n_chars")
+
+
+@query(_POST + " SELECT term, count(*) AS df, sum(freq)::BIGINT AS ttf FROM po GROUP BY term")
+def index_terms(spark, d):
+    return _index(spark, d).terms("text").drop("field")
+
+
+@query(_POST + " SELECT term, count(*) AS df, sum(freq)::BIGINT AS ttf FROM po WHERE term > 'theory' GROUP BY term ORDER BY term LIMIT 12")
+def terms_next(spark, d):
+    return index.terms_after(_index(spark, d).terms("text"), "text", "theory", 12).drop("field")
+
+
+@query(_POST + " SELECT term, count(*) AS df, sum(freq)::BIGINT AS ttf FROM po WHERE term = 'license' GROUP BY term")
+def terms_seek_exact(spark, d):
+    return index.seek_exact(_index(spark, d).terms("text", ["license"]), "text", "license").drop("field")
+
+
+def _without(name: str, word: str) -> str:
+    return f"documents_{name} AS (SELECT * FROM documents WHERE NOT list_contains(coalesce(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}'']*'), []::VARCHAR[]), '{word}'))"
+
+
+@query(bm25_sql(["the"], page_sql("f_the > 0", "s_the", 15)).replace(TOK, _without("left", "license") + ", " + TOK.replace("FROM documents", "FROM documents_left")))
+def index_after_delete(spark, d):
+    """Scores after a delete are those of the documents that are left."""
+    ix = index.Index(spark, _place(spark))
+    ix.add(_documents(spark, d)).commit()
+    ix.delete(Term("text", "license")).commit()
+    return shown(ix.open().search(THE, 15))
+
+
+def _order_index(spark, d, parts: int = 3):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    ix = index.Index(spark, _place(spark), text=(), key="o_orderkey")
+    for i in range(parts):
+        ix.add(orders.where(F.pmod("o_orderkey", F.lit(parts)) == i))
+    ix.commit()
+    return ix
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
 def delete_by_term(spark, d):
-    orders = _orders(spark, d)
-    gone = orders.match(Term("o_orderstatus", "P")).select("o_orderkey")
-    return orders.docs.join(gone, "o_orderkey", "left_anti").select("o_orderkey", "o_orderstatus")
+    ix = _order_index(spark, d)
+    ix.delete(Term("o_orderstatus", "P")).commit()
+    return ix.open().docs.select(F.col("doc_id").alias("o_orderkey"), "o_orderstatus")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def update_by_term(spark, d):
-    orders = _orders(spark, d)
-    old = orders.match(Term("o_orderstatus", "P")).select("o_orderkey")
-    rest = orders.docs.join(old, "o_orderkey", "left_anti").select("o_orderkey", "o_orderstatus")
-    return rest.unionByName(old.withColumn("o_orderstatus", F.lit("X")))
+    ix = _order_index(spark, d)
+    new = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.lit("X").alias("o_orderstatus"), "o_totalprice")
+    ix.update(Term("o_orderstatus", "P"), new).commit()
+    return ix.open().docs.select(F.col("doc_id").alias("o_orderkey"), "o_orderstatus")
 
 
-@query("SELECT count(*) AS max_doc, count(*) FILTER (o_orderstatus <> 'P') AS num_docs FROM orders")
+@query("""SELECT 'deleted' AS state, 3::BIGINT AS segments, count(*) AS max_doc, count(*) FILTER (o_orderstatus <> 'P') AS num_docs FROM orders
+UNION ALL SELECT 'merged', 1, count(*), count(*) FROM orders WHERE o_orderstatus <> 'P'""")
 def compact_stats(spark, d):
-    return table(spark, d, "orders").agg(F.count("*").alias("max_doc"), F.count_if(F.col("o_orderstatus") != "P").alias("num_docs"))
+    ix = _order_index(spark, d)
+    ix.delete(Term("o_orderstatus", "P")).commit()
+    told = []
+    for state in ("deleted", "merged"):
+        seen = ix.open()
+        told.append((state, len(seen.version.segments), seen.max_doc(), seen.num_docs()))
+        ix.compact()
+    return spark.createDataFrame(told, "state string, segments long, max_doc long, num_docs long")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+def merge_to_two(spark, d):
+    ix = _order_index(spark, d, 4)
+    ix.delete(Term("o_orderstatus", "P")).commit()
+    ix.compact(2)
+    return ix.open().stored.select(F.col("doc_id").alias("o_orderkey"), "o_orderstatus")
+
+
+# --- lifecycle ---------------------------------------------------------------------------------------------------------
 
 
 @query("""WITH s AS (SELECT o_orderkey AS segment, ['HOT', 'WARM', 'COLD', 'FROZEN'][o_custkey % 4 + 1] AS tier, (o_orderkey % 500) * 86400 AS age, (o_totalprice * 400000)::BIGINT AS bytes, o_custkey % 20 AS accesses FROM orders)
