@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import analysis, scoring
+from .functions import analysis, bits, scoring
 from .functions import vectors as sv
 from .operators import columns, index, lifecycle, search, sparse
 from .plans.compile import Modes
-from .plans.query import Bool, MatchAll, Phrase, Range, Term
+from .plans.query import Bool, Fuzzy, MatchAll, Phrase, Range, Term, Wildcard
 from .scratch import shared_folder
 from .sources import readers
 
@@ -119,9 +119,12 @@ def bool_not_match(spark, d):
     return corpus(spark, d).match(Bool(must=(THE,), must_not=(THIS,))).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE false")
+@query(f"WITH {TOK} SELECT 'only must_not' AS query, 0::BIGINT AS hits UNION ALL SELECT 'with match all', count(*) FROM tok WHERE NOT list_contains(t, 'this')")
 def bool_only_must_not(spark, d):
-    return corpus(spark, d).match(Bool(must_not=(THIS,))).select("doc_id")
+    """Without a positive clause nothing matches."""
+    docs, none = corpus(spark, d), Bool(must_not=(THIS,))
+    counts = [docs.count(q).select(F.lit(name).alias("query"), "hits") for name, q in (("only must_not", none), ("with match all", Bool(must=(MatchAll(),), must_not=(THIS,))))]
+    return counts[0].union(counts[1])
 
 
 @query(bm25_sql(["the"], page_sql("f_the > 0 AND n_chars BETWEEN 500 AND 3000", "s_the")))
@@ -144,9 +147,35 @@ def bool_min_should_all(spark, d):
     return corpus(spark, d).match(Bool(should=(THE, OF), min_should=2)).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE false")
+@query(f"WITH {TOK} SELECT 3 AS least, 0::BIGINT AS hits UNION ALL SELECT 2, count(*) FROM tok WHERE list_contains(t, 'the') AND list_contains(t, 'of')")
 def bool_min_should_above(spark, d):
-    return corpus(spark, d).match(Bool(should=(THE, OF), min_should=3)).select("doc_id")
+    """More clauses asked for than there are: nothing matches."""
+    docs = corpus(spark, d)
+    counts = [docs.count(Bool(should=(THE, OF), min_should=n)).select(F.lit(n).alias("least"), "hits") for n in (3, 2)]
+    return counts[0].union(counts[1])
+
+
+@query(f"WITH {TOK} SELECT doc_id FROM tok WHERE len(list_filter(t, lambda x: regexp_full_match(x, 'licen.e.*'))) > 0")
+def wildcard(spark, d):
+    return corpus(spark, d).match(Wildcard("text", "licen?e*")).select("doc_id")
+
+
+@query(f"WITH {TOK} SELECT doc_id FROM tok WHERE len(list_filter(t, lambda x: levenshtein(x, 'public') <= 1)) > 0")
+def fuzzy(spark, d):
+    return corpus(spark, d).match(Fuzzy("text", "public", 1)).select("doc_id")
+
+
+@query(f"WITH {TOK} SELECT doc_id FROM tok WHERE list_contains(t, 'the') AND n_chars BETWEEN 200 AND 900")
+def cached_filter(spark, d):
+    cache = search.FilterCache(corpus(spark, d))
+    cache.keys(Bool(must=(THE, Range("n_chars", 200, 900))))
+    return cache.match(Bool(must=(THE, Range("n_chars", 200, 900)))).select("doc_id")
+
+
+@query("SELECT c_custkey, round(2.0 * greatest(c_acctbal, 0)::DOUBLE / (greatest(c_acctbal, 0)::DOUBLE + 1000.0) + 0.5 * c_nationkey / (c_nationkey + 1000.0), 6) AS score FROM customer")
+def rank_features(spark, d):
+    score = scoring.rank_features({"balance": (F.col("c_acctbal"), 2.0), "nation": (F.col("c_nationkey"), 0.5)}, pivot=1000.0)
+    return table(spark, d, "customer").select("c_custkey", F.round(score, 6).alias("score"))
 
 
 @query(bm25_sql(["the", "of", "this"], page_sql("f_the > 0", "s_the + s_of + s_this")))
@@ -347,51 +376,69 @@ def tf_idf(spark, d):
 # --- analysis ----------------------------------------------------------------------------------------------------------
 
 
+def _said(spark, d):
+    return table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("item_id"), "text")
+
+
 def _analyzed(spark, d, name):
-    tokens = table(spark, d, "benchmark").select("item_id", F.posexplode(analysis.ANALYZERS[name](F.col("text"))).alias("n", "t"))
+    tokens = _said(spark, d).select("item_id", F.posexplode(analysis.ANALYZERS[name](F.col("text"))).alias("n", "t"))
     return tokens.select("item_id", "t.position", F.col("t.text").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
 
 
-@query(r"""WITH b AS (SELECT item_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS t FROM benchmark),
-u AS (SELECT item_id, unnest(t) AS term, (generate_subscripts(t, 1) - 1)::INTEGER AS position FROM b) SELECT item_id, position, term FROM u""")
+def _tokens_sql(pattern: str, word: str = "") -> str:
+    """CTE u: every match of pattern with its byte offsets, and its position among those that hold ``word``."""
+    held = f"WHERE regexp_matches(raw, '{word}')" if word else ""
+    return f"""WITH b AS (SELECT conv_id || '-' || turn AS item_id, regexp_extract_all(text, '{pattern}') AS t, list_transform(string_split_regex(text, '{pattern}'), lambda x: strlen(x)) AS g FROM conversations WHERE text <> ''),
+n AS (SELECT item_id, unnest(t) AS raw, generate_subscripts(t, 1) AS i, g, list_transform(t, lambda x: strlen(x)) AS s FROM b),
+o AS (SELECT item_id, raw, i, (list_sum(g[1:i]) + coalesce(list_sum(s[1:i - 1]), 0))::INTEGER AS start FROM n),
+u AS (SELECT item_id, raw, (row_number() OVER (PARTITION BY item_id ORDER BY i) - 1)::INTEGER AS position, start, (start + strlen(raw))::INTEGER AS "end" FROM o {held})"""
+
+
+_SPACED = _tokens_sql(r"[^ \t\n\x0B\f\r]+")
+# Words: ' . : join letters, ' . , ; join digits.
+_WORDS = _tokens_sql(r"(?:[\p{L}\p{M}](?:[''’.:·]\p{L})+|\p{N}(?:[''’.,;]\p{N})+|[\p{L}\p{N}\p{M}_])+", r"[\p{L}\p{N}]")
+_FOLDED = "replace(strip_accents(lower(raw)), 'ß', 'ss')"
+_STOP = ", ".join(f"'{w}'" for w in analysis.ENGLISH_STOP_WORDS)
+
+
+@query(_SPACED + ' SELECT item_id, position, raw AS term, start, "end" FROM u')
 def analyze_whitespace(spark, d):
-    return _analyzed(spark, d, "whitespace").drop("start", "end")
+    return _analyzed(spark, d, "whitespace")
 
 
-@query("SELECT item_id, 0 AS position, text AS term, 0 AS start, strlen(text)::INTEGER AS \"end\" FROM benchmark WHERE text <> ''")
+@query("SELECT conv_id || '-' || turn AS item_id, 0 AS position, text AS term, 0 AS start, strlen(text)::INTEGER AS \"end\" FROM conversations WHERE text <> ''")
 def analyze_keyword(spark, d):
     return _analyzed(spark, d, "keyword")
 
 
-@query(r"""WITH b AS (SELECT item_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS t FROM benchmark),
-u AS (SELECT item_id, unnest(t) AS term, (generate_subscripts(t, 1) - 1)::INTEGER AS position FROM b) SELECT item_id, position, lower(term) AS term FROM u""")
+@query(_SPACED + ' SELECT item_id, position, lower(raw) AS term, start, "end" FROM u')
 def analyze_simple(spark, d):
-    return _analyzed(spark, d, "simple").drop("start", "end")
-
-
-_STOP = ", ".join(f"'{w}'" for w in analysis.ENGLISH_STOP_WORDS)
-_WORDS = r"""WITH b AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+') AS t FROM benchmark),
-u AS (SELECT item_id, unnest(t) AS raw, (generate_subscripts(t, 1) - 1)::INTEGER AS position FROM b)"""
+    return _analyzed(spark, d, "simple")
 
 
-@query(_WORDS + f" SELECT item_id, position, lower(raw) AS term FROM u WHERE lower(raw) NOT IN ({_STOP})")
+@query(_WORDS + f' SELECT item_id, position, lower(raw) AS term, start, "end" FROM u WHERE lower(raw) NOT IN ({_STOP})')
 def analyze_standard(spark, d):
-    return _analyzed(spark, d, "standard").drop("start", "end")
+    return _analyzed(spark, d, "standard")
 
 
-@query(_WORDS + f" SELECT item_id, position, replace(strip_accents(lower(raw)), 'ß', 'ss') AS term FROM u WHERE replace(strip_accents(lower(raw)), 'ß', 'ss') NOT IN ({_STOP})")
+@query(_WORDS + f' SELECT item_id, position, {_FOLDED} AS term, start, "end" FROM u WHERE {_FOLDED} NOT IN ({_STOP})')
 def analyze_english(spark, d):
-    return _analyzed(spark, d, "english").drop("start", "end")
+    return _analyzed(spark, d, "english")
 
 
-@query(_WORDS + " SELECT item_id, position, replace(strip_accents(lower(raw)), 'ß', 'ss') AS term FROM u")
+@query(_WORDS + f' SELECT item_id, position, {_FOLDED} AS term, start, "end" FROM u')
 def analyze_multilingual(spark, d):
-    return _analyzed(spark, d, "multilingual").drop("start", "end")
+    return _analyzed(spark, d, "multilingual")
 
 
-@query(_WORDS + f" SELECT item_id, position, replace(strip_accents(lower(raw)), 'ß', 'ss') AS term FROM u WHERE replace(strip_accents(lower(raw)), 'ß', 'ss') NOT IN ({_STOP})")
+@query(_WORDS + f' SELECT item_id, position, {_FOLDED} AS term, start, "end" FROM u WHERE {_FOLDED} NOT IN ({_STOP})')
 def analyze_search(spark, d):
-    return _analyzed(spark, d, "search").drop("start", "end")
+    return _analyzed(spark, d, "search")
+
+
+@query(r"SELECT conv_id || '-' || turn AS item_id, array_to_string(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), '|') AS words FROM conversations")
+def analyze_fast(spark, d):
+    return _said(spark, d).select("item_id", F.array_join(analysis.fast(F.col("text")), "|").alias("words"))
 
 
 @query("SELECT doc_id, replace(strip_accents(text), 'ß', 'ss') AS folded FROM documents")
@@ -399,14 +446,12 @@ def ascii_fold(spark, d):
     return _documents(spark, d).select("doc_id", analysis.fold(F.col("text")).alias("folded"))
 
 
-@query(r"""WITH b AS (SELECT item_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS t FROM benchmark),
-u AS (SELECT item_id, lower(unnest(t)) AS w, (generate_subscripts(t, 1) - 1)::INTEGER AS p FROM b),
-s(w, term, i) AS (VALUES ('the', 'the', 0), ('the', 'that', 0), ('of', 'out', 0), ('of', 'of', 1))
-SELECT item_id, p + coalesce(i, 0) AS position, coalesce(term, u.w) AS term FROM u LEFT JOIN s ON u.w = s.w""")
+@query(_SPACED + """, s(w, term, i) AS (VALUES ('the', 'the', 0), ('the', 'that', 0), ('of', 'out', 0), ('of', 'of', 1))
+SELECT item_id, position + coalesce(s.i, 0) AS position, coalesce(term, lower(raw)) AS term, start FROM u LEFT JOIN s ON lower(raw) = s.w""")
 def synonyms(spark, d):
     names = analysis.read_synonyms(["# words", "the => the, that", "of, out of"])
     tokens = analysis.synonyms(analysis.ANALYZERS["simple"](F.col("text")), names)
-    return table(spark, d, "benchmark").select("item_id", F.explode(tokens).alias("t")).select("item_id", "t.position", F.col("t.text").alias("term"))
+    return _said(spark, d).select("item_id", F.explode(tokens).alias("t")).select("item_id", "t.position", F.col("t.text").alias("term"), F.col("t.start").alias("start"))
 
 
 # --- JSON and column values --------------------------------------------------------------------------------------------
@@ -440,9 +485,10 @@ def sorted_numeric(spark, d):
     return rows.select("l_orderkey", F.array_join(v.cast("array<string>"), " ").alias("parts"), F.size(v).alias("n"))
 
 
-@query("SELECT i.id AS p_partkey, p_size::DOUBLE AS value FROM range(0, 400, 7) i(id) LEFT JOIN part ON p_partkey = i.id")
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS p_partkey, p_size::DOUBLE AS value FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
 def bulk_get(spark, d):
-    return columns.bulk_get(table(spark, d, "part"), "p_partkey", "p_size", spark.range(0, 400, 7).withColumnRenamed("id", "p_partkey"))
+    ids = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    return columns.bulk_get(table(spark, d, "part"), "p_partkey", "p_size", ids).select("l_orderkey", "l_linenumber", "p_partkey", "value")
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_size % 3 <> 0")
@@ -483,11 +529,82 @@ def adaptive_marks(spark, d):
     return columns.adaptive_marks(table(spark, d, "part"), "p_partkey", F.octet_length("p_name"), 4096)
 
 
-@query("SELECT p_brand, true AS held FROM (SELECT DISTINCT p_brand FROM part)")
+def _spots(value: str, n: int, hashes: int) -> str:
+    return ", ".join(f"('0x' || substr(md5({value} || ':{i}'), 1, 8))::BIGINT % {n}" for i in range(hashes))
+
+
+_BLOOM = f"""WITH bits AS (SELECT list_sort(list(DISTINCT b)) AS bits FROM (SELECT unnest([{_spots('p_brand', 256, 4)}]) AS b FROM part)),
+probe AS (SELECT DISTINCT p_brand AS value, true AS there FROM part UNION ALL SELECT 'absent' || p_partkey, false FROM part)"""
+
+
+@query(_BLOOM + f" SELECT there, count(*) AS n, count(*) FILTER (list_has_all(bits, [{_spots('value', 256, 4)}])) AS held FROM probe, bits GROUP BY there")
 def bloom_members(spark, d):
+    """All values that are there, and of others exactly those whose bits happen to be set."""
+    part = table(spark, d, "part")
+    probe = part.select(F.col("p_brand").alias("value"), F.lit(True).alias("there")).distinct().union(part.select(F.concat(F.lit("absent"), "p_partkey"), F.lit(False)))
+    held = columns.bloom_may_hold(F.col("bits"), F.col("value"), 256, 4)
+    return probe.crossJoin(F.broadcast(columns.bloom(part, "p_brand", 256, 4))).groupBy("there").agg(F.count("*").alias("n"), F.count_if(held).alias("held"))  # one row of bits
+
+
+@query(f"""WITH one AS (SELECT DISTINCT unnest([{_spots('p_brand', 1024, 4)}]) AS b FROM part), other AS (SELECT DISTINCT unnest([{_spots('p_type', 1024, 4)}]) AS b FROM part)
+SELECT (SELECT count(*) FROM (FROM one UNION FROM other))::INTEGER AS merged, round(pow((SELECT count(*) FROM one) / 1024.0::DOUBLE, 4), 9) AS false_positives""")
+def bloom_merge(spark, d):
+    part = table(spark, d, "part")
+    a, b = (columns.bloom(part, c, 1024, 4).withColumnRenamed("bits", x) for c, x in (("p_brand", "a"), ("p_type", "b")))
+    return a.crossJoin(b).select(F.size(columns.bloom_merge(F.col("a"), F.col("b"))).alias("merged"), F.round(columns.bloom_false_positives(F.col("a"), 1024, 4), 9).alias("false_positives"))  # one row each
+
+
+@query(_GRAN.replace("1024", "256") + f""", k AS (SELECT granule, list(DISTINCT b) AS bits FROM (SELECT granule, unnest([{_spots('o_custkey', 4096, 4)}]) AS b FROM g) GROUP BY granule),
+p AS (SELECT granule, list(DISTINCT b) AS bits FROM (SELECT granule, unnest([{_spots('o_orderpriority', 4096, 4)}]) AS b FROM g) GROUP BY granule)
+SELECT granule FROM k JOIN p USING (granule) WHERE list_has_all(p.bits, [{_spots("'1-URGENT'", 4096, 4)}])
+AND ({' OR '.join(f"list_has_all(k.bits, [{_spots(repr(str(v)), 4096, 4)}])" for v in (7, 77, 777, 100001))})""")
+def granule_bloom(spark, d):
+    """Granules in which o_custkey may be one of four and o_orderpriority may be one value."""
+    g = columns.with_granule(table(spark, d, "orders"), "o_orderkey", 256)
+    return columns.bloom_granules(g, {"o_custkey": [7, 77, 777, 100001], "o_orderpriority": ["1-URGENT"]}, 4096, 4)
+
+
+@query(_GRAN + """, m AS (SELECT granule AS mark, min(o_custkey) AS low, max(o_custkey) AS high, count(*) AS rows FROM g GROUP BY granule),
+w AS (SELECT mark, mark - row_number() OVER (ORDER BY mark) AS i FROM m WHERE mark % 5 <> 2), r AS (SELECT min(mark) AS first, max(mark) + 1 AS "end" FROM w GROUP BY i)
+SELECT first, "end", (SELECT count(*) FROM g WHERE granule >= first AND granule < "end") AS rows FROM r""")
+def mark_ranges(spark, d):
+    orders = table(spark, d, "orders")
+    g = columns.with_granule(orders, "o_orderkey", 1024)
+    ranges = columns.mark_ranges(columns.min_max(g, "o_custkey").where("granule % 5 <> 2").select(F.col("granule").alias("mark")))
+    return ranges.select("first", "end", columns.rows_of_marks(F.col("first"), F.col("end"), F.lit(orders.count()), 1024).alias("rows"))
+
+
+@query("WITH u AS (SELECT p_partkey, coalesce(sum(strlen(p_name)) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part) SELECT (b // 4096)::BIGINT AS mark, min(r)::BIGINT AS start, (max(r) + 1)::BIGINT AS \"end\" FROM u GROUP BY 1")
+def adaptive_mark_rows(spark, d):
+    return columns.mark_starts(columns.adaptive_marks(table(spark, d, "part"), "p_partkey", F.octet_length("p_name"), 4096)).select("mark", "start", "end")
+
+
+@query("""WITH o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS ord FROM (SELECT DISTINCT l_returnflag AS v FROM lineitem))
+SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT ord)), ' ') AS ords FROM lineitem JOIN o ON l_returnflag = v GROUP BY l_orderkey""")
+def sorted_set_ordinals(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("v"))
+    return columns.set_ordinals(rows, "l_orderkey", "v")[0].select("l_orderkey", F.array_join(F.col("ords").cast("array<string>"), " ").alias("ords"))
+
+
+@query("""WITH s AS (SELECT p_brand, list(DISTINCT p_size ORDER BY p_size) AS a FROM part GROUP BY p_brand), o AS (SELECT list(DISTINCT p_size) AS b FROM part WHERE p_partkey % 10 = 0)
+SELECT p_brand, len(a)::INTEGER AS own, len(list_distinct(a || b))::INTEGER AS "union", len(list_intersect(a, b))::INTEGER AS common, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INTEGER AS rest,
+list_min(list_filter(a, lambda x: x >= 33))::BIGINT AS next, list_max(list_filter(a, lambda x: x <= 20))::BIGINT AS previous, NOT list_contains(a, 5) AS flipped FROM s, o""")
+def bit_sets(spark, d):
     part = table(spark, d, "part")
-    bits = columns.bloom(part, "p_brand", 4096, 4)
-    return part.select("p_brand").distinct().crossJoin(F.broadcast(bits)).select("p_brand", columns.bloom_may_hold(F.col("bits"), F.col("p_brand"), 4096, 4).alias("held"))
+    own = part.groupBy("p_brand").agg(bits.of(F.collect_set("p_size")).alias("a"))
+    other = part.where("p_partkey % 10 = 0").agg(bits.of(F.collect_set("p_size")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return own.crossJoin(F.broadcast(other)).select(  # one row
+        "p_brand", bits.cardinality(a).alias("own"), bits.cardinality(bits.union(a, b)).alias("union"), bits.cardinality(bits.intersection(a, b)).alias("common"), bits.cardinality(bits.difference(a, b)).alias("rest"),
+        bits.next_set(a, F.lit(33)).alias("next"), bits.previous_set(a, F.lit(20)).alias("previous"), bits.get(bits.flip(a, F.lit(5)), F.lit(5)).alias("flipped"),
+    )
+
+
+@query("SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT (SELECT count(*) - 30 FROM part)) UNION ALL SELECT 1000000 + s_suppkey, s_name FROM supplier WHERE s_suppkey <= (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 1 OFFSET 4)")
+def column_changes(spark, d):
+    """A column without its last 30 rows, then with 5 rows of another."""
+    part, more = table(spark, d, "part").select("p_partkey", "p_name"), table(spark, d, "supplier").select((F.lit(1000000) + F.col("s_suppkey")).alias("p_partkey"), F.col("s_name").alias("p_name"))
+    return columns.insert_range(columns.pop_back(part, "p_partkey", 30), more, "p_partkey", 0, 5)
 
 
 # --- sparse vectors ----------------------------------------------------------------------------------------------------
@@ -574,6 +691,32 @@ def sparse_rerank(spark, d):
     return shown(sparse.reranked(_vectors(spark, d), _QUERY))
 
 
+_MADE = "made AS (SELECT i, bin, any_value(value) AS value, floor(any_value(value) * any_value(x) * {scale})::BIGINT AS gain, any_value(value) * any_value(x) AS mass FROM own GROUP BY i, bin)"
+_LEVELS = _SPARSE + f""", q(i, x) AS (VALUES {_VALUES}), o AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS r, count(*) OVER () AS every FROM v WHERE w > 0),
+b AS (SELECT least(r // greatest(every // 16, 1), 15)::INTEGER AS bin, avg(w) AS value, max(w) AS high FROM o GROUP BY 1),
+e2 AS (SELECT bin, value, coalesce(lag(high) OVER (ORDER BY bin), 0.0) AS lo, CASE WHEN lead(high) OVER (ORDER BY bin) IS NULL THEN high * 1.001 ELSE high END AS hi, max(high) OVER () AS largest FROM b),
+lv AS (SELECT level, coalesce((SELECT min(bin) FROM e2 WHERE level / 255.0::DOUBLE * largest >= lo AND level / 255.0::DOUBLE * largest < hi), 0) AS bin FROM range(256) g(level)),
+own AS (SELECT v.doc_id, v.i, lv.bin, b.value, q.x FROM v JOIN q USING (i) JOIN lv ON lv.level = floor(least(255.0, w / 3.0::DOUBLE * 255.0)) JOIN b ON b.bin = lv.bin WHERE w > 0),
+{_MADE.format(scale='1000.0::DOUBLE')}, ch AS (SELECT *, coalesce(sum(mass) OVER (ORDER BY gain DESC, i, bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(mass) OVER () AS every FROM made)"""
+
+
+@query(_LEVELS + " SELECT doc_id, sum(gain)::BIGINT AS score FROM own JOIN ch USING (i, bin) WHERE before < every * 0.6 GROUP BY doc_id HAVING sum(gain) > 0 ORDER BY 2 DESC, 1 LIMIT 15")
+def sparse_levels(spark, d):
+    return sparse.quantised_levels(_vectors(spark, d), _QUERY, 15, n=16, alpha=0.6)
+
+
+_HEAVY = {i: 40.0 * w for i, w in _QUERY.items()}
+
+
+@query(_SPARSE + f""", q(i, x) AS (VALUES {', '.join(f"({i}, {w}::DOUBLE)" for i, w in _HEAVY.items())}),
+own AS (SELECT doc_id, i, floor(least(greatest(w, 0), 3.0::DOUBLE) / 3.0::DOUBLE * 255)::INTEGER AS bin, floor(least(greatest(w, 0), 3.0::DOUBLE) / 3.0::DOUBLE * 255) / 255.0::DOUBLE * 3.0::DOUBLE AS value, x FROM v JOIN q USING (i)),
+{_MADE.format(scale='1.0::DOUBLE')}, ch AS (SELECT *, coalesce(sum(gain) OVER (ORDER BY gain DESC, i, bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(gain) OVER () AS every FROM made),
+n AS (SELECT doc_id, sum(gain) AS rough FROM own JOIN ch USING (i, bin) WHERE before < every * 0.5 GROUP BY doc_id HAVING sum(gain) > 0 ORDER BY 2 DESC, 1 LIMIT 50)
+SELECT doc_id, round(sum(w * x), 4) AS score FROM n JOIN v USING (doc_id) JOIN q USING (i) GROUP BY doc_id HAVING sum(w * x) > 0 ORDER BY round(sum(w * x), 6) DESC, doc_id LIMIT 10""")
+def sparse_block_max(spark, d):
+    return shown(sparse.block_max(_vectors(spark, d), _HEAVY, 10, alpha=0.5))
+
+
 # --- over an index: postings, versions, deletes -----------------------------------------------------------------------
 
 _built: dict[tuple[str, str], index.Index] = {}
@@ -651,6 +794,11 @@ def index_fetch(spark, d):
     return seen.match(Bool(must=(OF, Term("text", "license")))).select("doc_id", "lang", "source", "n_chars")
 
 
+@query(f"WITH {TOK} SELECT doc_id FROM tok WHERE len(list_filter(t, lambda x: regexp_full_match(x, 'licen.e.*'))) > 0 UNION SELECT doc_id FROM tok WHERE len(list_filter(t, lambda x: levenshtein(x, 'public') <= 1)) > 0")
+def index_wildcard_fuzzy(spark, d):
+    return _index(spark, d).match(Bool(should=(Wildcard("text", "licen?e*"), Fuzzy("text", "public", 1)))).select("doc_id")
+
+
 @query(_POST + " SELECT term, count(*) AS df, sum(freq)::BIGINT AS ttf FROM po GROUP BY term")
 def index_terms(spark, d):
     return _index(spark, d).terms("text").drop("field")

@@ -26,11 +26,13 @@ ENGLISH_STOP_WORDS = (
     "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "were", "will", "with",
 )
 # The Chinese stop words.
-CHINESE_STOP_WORDS = tuple(
-    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 或 而 但 因 为 与 及 等 之 于 以 由 从 向 对 把 "
-    "他 她 它 我们 你们 他们 那 哪 谁 什么 怎么 怎样 时 年 月 日 时候 这里 那里 里 中 下 前 后 间 个 些 每 各 某 任 "
-    "就是 只是 所以 因为 虽然 但是 如果 那么 可以 能够 应该".split()
-)
+CHINESE_STOP_WORDS = (
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会",
+    "着", "没有", "看", "好", "自己", "这", "或", "而", "但", "因", "为", "与", "及", "等", "之", "于", "以", "由", "从", "向", "对", "把",
+    "他", "她", "它", "我们", "你们", "他们", "那", "哪", "谁", "什么", "怎么", "怎样", "时", "年", "月", "日", "时候", "这里", "那里", "里", "中",
+    "下", "前", "后", "间", "个", "些", "每", "各", "某", "任", "就是", "只是", "所以", "因为", "虽然", "但是", "如果", "那么", "可以", "能够",
+    "应该",
+)
 
 
 def index_terms(text: Column) -> Column:
@@ -82,27 +84,41 @@ def fast(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
 
 
-def jieba(text: Column) -> Column:
-    """Chinese words by the jieba module, where it is installed; one Arrow batch at a time."""
+JIEBA_MODES = ("mp", "hmm", "mix", "full", "search")
+
+
+def jieba(text: Column, mode: str = "mix") -> Column:
+    """Chinese words by the jieba module, where it is installed; one Arrow batch at a time.
+
+    mode: mp (dictionary words only), hmm and mix (with a model for unknown words; the same), full (all words that the
+    text can hold, overlapping) or search (as mix, and the words within long words before them).
+    """
+    if mode not in JIEBA_MODES:
+        raise ValueError(f"no such mode: {mode!r}")
     try:
         import jieba as _jieba
     except ImportError as e:
         raise NotImplementedError("the jieba module is not installed") from e
     import pandas as pd
 
+    def placed(t: str):
+        if mode != "full":
+            yield from _jieba.tokenize(t, mode="search" if mode == "search" else "default", HMM=mode != "mp")
+            return
+        at = 0
+        for w in _jieba.cut(t, cut_all=True):  # in the order of their starts
+            at = max(t.find(w, at), at)
+            yield w, at, at + len(w)
+
     @F.pandas_udf(f"array<{TOKEN}>")
-    def cut(texts: pd.Series) -> pd.Series:
+    def words(texts: pd.Series) -> pd.Series:
         def one(t):
-            out, at = [], 0
-            for i, w in enumerate(_jieba.cut(t or "")):
-                size = len(w.encode())
-                out.append({"text": w, "position": i, "start": at, "end": at + size})
-                at += size
-            return out
+            t = t or ""
+            return [{"text": w, "position": i, "start": len(t[:a].encode()), "end": len(t[:b].encode())} for i, (w, a, b) in enumerate(placed(t))]
 
         return texts.map(one)
 
-    return cut(text)
+    return words(text)
 
 
 def with_text(token: Column, text: Column, position: Column | None = None) -> Column:

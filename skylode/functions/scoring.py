@@ -31,3 +31,15 @@ def bm25(freq: Column, length: Column, df: Column, n: Column, average: Column, k
 def tf_idf(freq: Column, df: Column, n: Column) -> Column:
     """Extension: tf times idf."""
     return freq * idf(df, n)
+
+
+def rank_features(values: dict[str, tuple[Column, float]], pivot: float | None = None) -> Column:
+    """Extension: the sum of weight times feature over features (name -> column, weight); a missing or negative one adds 0.
+
+    pivot: features saturate, x / (x + pivot).
+    """
+    out = F.lit(0.0)
+    for x, weight in values.values():
+        x = F.greatest(F.coalesce(x.cast("double"), F.lit(0.0)), F.lit(0.0))
+        out = out + F.lit(float(weight)) * (x / (x + F.lit(float(pivot))) if pivot else x)
+    return out

@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 GRANULE = 8192
 
 
 def ordinals(df: DataFrame, column: str) -> DataFrame:
-    """The dictionary of a column: each distinct value with its ordinal from 0, in code point order."""
-    return df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("ord", (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+    """The dictionary of a column: each distinct value with its ordinal from 0, in code point order.
+
+    Values are sorted over ranges; each range numbers its own, and the sizes of the ranges before, one row each, are
+    broadcast, so no task gets all values.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    dealt = stored(values.repartitionByRange("value").withColumn("range", F.spark_partition_id()), "ordinals")
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("value")) - 1
+    numbered = dealt.withColumn("own", own).join(F.broadcast(sizes.select("range", ahead.alias("ahead"))), "range")
+    return numbered.select(F.col("value").alias(column), (F.col("own") + F.col("ahead")).cast("long").alias("ord"))
+
+
+def set_ordinals(df: DataFrame, key: str, values: str) -> tuple[DataFrame, DataFrame]:
+    """A column of arrays as sorted sets of ordinals: (key, ords), empty for rows without values, and the dictionary."""
+    each = df.select(key, F.explode_outer(F.array_distinct(values)).alias("value"))
+    known = ordinals(each, "value")
+    return each.join(known, "value", "left").groupBy(key).agg(F.array_sort(F.collect_list("ord")).alias("ords")), known
+
+
+def lookup_ord(dictionary: DataFrame, ord: int) -> DataFrame:
+    """The value of an ordinal, no row if there is none."""
+    return dictionary.where(F.col("ord") == ord).drop("ord")
 
 
 def sorted_set(values: Column) -> Column:
@@ -88,6 +115,28 @@ def adaptive_marks(df: DataFrame, order: str, bytes_of: Column, limit: int) -> D
     return rows.groupBy("mark").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
 
 
+def mark_of_row(row: Column, size: int = GRANULE) -> Column:
+    """The mark that a row, by its place from 0, lies behind, with granules of equal size."""
+    return F.floor(row / size).cast("long")
+
+
+def rows_of_marks(first: Column, end: Column, rows: Column, size: int = GRANULE) -> Column:
+    """How many rows lie in the marks from first to before end, of so many rows in all."""
+    return (F.least(end * size, rows) - F.least(first * size, rows)).cast("long")
+
+
+def mark_starts(marks: DataFrame) -> DataFrame:
+    """What adaptive_marks gives, with the place of each mark's first row and the one past its last."""
+    upto = F.sum("rows").over(Window.orderBy("mark"))  # a row a mark
+    return marks.withColumn("end", upto).withColumn("start", F.col("end") - F.col("rows"))
+
+
+def mark_ranges(marks: DataFrame) -> DataFrame:
+    """Marks to read, joined to ranges of neighbours: first, and end, one past the last."""
+    group = F.col("mark") - F.row_number().over(Window.orderBy("mark"))  # a row a mark
+    return marks.select("mark").distinct().withColumn("g", group).groupBy("g").agg(F.min("mark").alias("first"), (F.max("mark") + 1).alias("end")).drop("g")
+
+
 def bloom(df: DataFrame, column: str, bits: int = 1 << 16, hashes: int = 4, by: str | None = None) -> DataFrame:
     """A bloom filter of a column (for each value of ``by``): the sorted bits that are set. At most ``bits`` entries."""
     keys = [F.col(by)] if by else []
@@ -96,7 +145,9 @@ def bloom(df: DataFrame, column: str, bits: int = 1 << 16, hashes: int = 4, by:
 
 
 def _spot(value: Column, i: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(value, F.lit(i)), F.lit(bits)).cast("int")
+    """The ith bit of a value: the first 32 bits of the md5 of its text and i."""
+    text = F.concat(value.cast("string"), F.lit(f":{i}"))
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % bits).cast("int")
 
 
 def bloom_may_hold(bits: Column, value: Column, size: int = 1 << 16, hashes: int = 4) -> Column:
@@ -106,6 +157,20 @@ def bloom_may_hold(bits: Column, value: Column, size: int = 1 << 16, hashes: int
     return out
 
 
+def bloom_granules(granules: DataFrame, conditions: dict[str, Iterable], size: int = 1 << 16, hashes: int = 4) -> DataFrame:
+    """The granules in which all conditions may hold: column -> the values that it may equal (one, or several).
+
+    granules: rows with their granule. Each column has one filter a granule; a granule stays if the filter of each column
+    may hold one of its values. No condition leaves all granules, one without values none.
+    """
+    left = granules.select("granule").distinct()
+    for column, values in conditions.items():
+        filters = bloom(granules, column, size, hashes, by="granule")
+        may = reduce(lambda a, b: a | b, [bloom_may_hold(F.col("bits"), F.lit(v), size, hashes) for v in values], F.lit(False))
+        left = left.join(filters.where(may).select("granule"), "granule", "left_semi")
+    return left
+
+
 def bloom_merge(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
@@ -113,3 +178,31 @@ def bloom_merge(a: Column, b: Column) -> Column:
 def bloom_false_positives(bits: Column, size: int = 1 << 16, hashes: int = 4) -> Column:
     """The estimated rate: the share of set bits to the power of the number of hashes."""
     return F.pow(F.size(bits) / F.lit(float(size)), F.lit(float(hashes)))
+
+
+# --- columns that change: each gives a new DataFrame ------------------------------------------------------------------
+
+
+def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """df and more rows, by column name; columns that these lack are null."""
+    return df.unionByName(rows, allowMissingColumns=True).select(*[f"`{c}`" for c in df.columns])
+
+
+def insert_range(df: DataFrame, rows: DataFrame, order: str, start: int, n: int) -> DataFrame:
+    """df and n rows of others from place ``start`` in their order."""
+    return insert(df, cut(rows, order, start, n))
+
+
+def pop_back(df: DataFrame, order: str, n: int) -> DataFrame:
+    """df without its last n rows in the order of a column of distinct values."""
+    last = df.orderBy(F.col(order).desc()).limit(n).select(order)
+    return df.join(last, order, "left_anti").select(*[f"`{c}`" for c in df.columns])
+
+
+def resize(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in the order of a numeric column; rows that are missing follow it and are null elsewhere."""
+    have = df.agg(F.count("*").alias("n"), F.max(order).alias("last")).first()
+    if have["n"] >= n:
+        return df.orderBy(order).limit(n)
+    more = df.sparkSession.range(1, n - have["n"] + 1).select((F.col("id") + (have["last"] if have["last"] is not None else -1)).cast(df.schema[order].dataType).alias(order))
+    return insert(df, more)

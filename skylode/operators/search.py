@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import index_terms
 from ..plans.compile import Modes, Stats, frequency, over_rows
-from ..plans.query import Bool, Phrase, Query, Range, Term, leaves
+from ..plans.query import Bool, Fuzzy, Phrase, Query, Range, Term, Wildcard, leaves
 from ..scratch import spread, stored
 
 
+#: Leaves that look at the terms of a text.
+CUT = (Term, Phrase, Wildcard, Fuzzy)
+
+
 @dataclass(frozen=True)
 class After:
     """The last hit of the page before."""
@@ -56,7 +60,7 @@ class Corpus:
     def match(self, query: Query) -> DataFrame:
         """The rows that match, with all their columns and no score."""
         query = query.normalise()
-        used = {q.field for q in leaves(query) if isinstance(q, (Term, Phrase)) and q.field in self.text}
+        used = {q.field for q in leaves(query) if isinstance(q, CUT) and q.field in self.text}
         df, tokens = self._prepared(used, query)
         return df.where(over_rows(query, df, tokens, None, self.modes)[0]).select(*self.docs.columns)
 
@@ -69,7 +73,7 @@ class Corpus:
         """
         own = list(dict.fromkeys(leaves(query)))
         wanted = list(dict.fromkeys(Term(q.field, t) for q in own if isinstance(q, (Term, Phrase)) for t in ([q.text] if isinstance(q, Term) else q.terms)))
-        fields = sorted({q.field for q in wanted if q.field in self.text})
+        fields = sorted({q.field for q in own if isinstance(q, CUT) and q.field in self.text})
         plain = sorted({q.field for q in own if hasattr(q, "field")} - set(fields) - {self.key})
         df = spread(self.docs.select(*[f"`{c}`" for c in (self.key, *fields, *plain)]), self.key)
         tokens = {c: F.col(f"__terms_{c}") for c in fields}
@@ -77,7 +81,7 @@ class Corpus:
             terms = F.coalesce(self.tokens[c], F.array().cast("array<string>"))
             df = df.withColumn(f"__terms_{c}", F.when(F.monotonically_increasing_id() >= 0, terms))
         counted = [q for q in dict.fromkeys([*own, *wanted]) if isinstance(q, (Term, Phrase))]
-        ranges = [q for q in own if isinstance(q, Range)]
+        ranges = [q for q in own if isinstance(q, (Range, Wildcard, Fuzzy))]
         columns = [frequency(q, df, tokens)[0] for q in counted] + [over_rows(q, df, tokens, None, self.modes)[0].cast("int") for q in ranges]
         known = {q: (F.col(f"__f{i}"), F.col(f"__n_{q.field}") if q.field in tokens else F.lit(1)) for i, q in enumerate([*counted, *ranges])}
         df = df.select(self.key, *[F.size(tokens[c]).alias(f"__n_{c}") for c in fields], *[c.alias(f"__f{i}") for i, c in enumerate(columns)])
@@ -93,7 +97,7 @@ class Corpus:
     def hits(self, query: Query) -> DataFrame:
         """(key, score) of every row that matches. These scores are finite; for others there is finite()."""
         query = query.normalise()
-        if any(isinstance(q, (Term, Phrase)) for q in leaves(query)):
+        if any(isinstance(q, CUT) for q in leaves(query)):
             df, stats, known = self._measured(query)
             return df.select(self.key, over_rows(query, df, {}, stats, self.modes, known)[1].cast("double").alias("score"))
         df, _ = self._prepared(set(), query)
@@ -111,6 +115,28 @@ class Corpus:
         return self.search(query, k).agg(F.coalesce(F.max("score"), F.lit(float("nan"))).alias("max_score"))
 
 
+class FilterCache:
+    """Extension: the keys that match a filter, stored when it is first asked for; the ``most`` last used ones are kept."""
+
+    def __init__(self, corpus: Corpus, most: int = 32):
+        self.corpus, self.most, self.kept, self.hits, self.misses = corpus, most, {}, 0, 0
+
+    def keys(self, query: Query) -> DataFrame:
+        query = query.normalise()
+        self.hits, self.misses = self.hits + (query in self.kept), self.misses + (query not in self.kept)
+        own = self.kept.pop(query, None)
+        self.kept[query] = stored(self.corpus.match(query).select(self.corpus.key), "filter") if own is None else own
+        while len(self.kept) > self.most:
+            del self.kept[next(iter(self.kept))]
+        return self.kept[query]
+
+    def match(self, query: Query) -> DataFrame:
+        return self.corpus.docs.join(self.keys(query), self.corpus.key, "left_semi")
+
+    def clear(self) -> None:
+        self.kept.clear()
+
+
 def finite(hits: DataFrame) -> DataFrame:
     return hits.where(~F.isnan("score") & (F.abs("score") < float("inf")))
 

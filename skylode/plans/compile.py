@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from .query import Bool, Boost, MatchAll, Phrase, Query, Range, Term
+from .query import Bool, Boost, Fuzzy, MatchAll, Phrase, Query, Range, Term, Wildcard
 
 
 @dataclass(frozen=True)
@@ -76,6 +76,10 @@ def _bool(q: Bool, must, should, must_not, filters, modes: Modes) -> tuple[Colum
     return ok, score
 
 
+def term_matches(q: Wildcard | Fuzzy, term: Column) -> Column:
+    return F.regexp_like(term, F.lit(q.regex())) if isinstance(q, Wildcard) else F.levenshtein(term, F.lit(q.text)) <= q.edits
+
+
 def frequency(q: Term | Phrase, df: DataFrame, tokens: dict[str, Column]) -> tuple[Column, Column]:
     """How often a leaf stands in each row's field, and the field's length."""
     if isinstance(q, Phrase):
@@ -101,9 +105,12 @@ def over_rows(q: Query, df: DataFrame, tokens: dict[str, Column], stats: Stats |
         return m, s * F.lit(float(q.factor))
     if isinstance(q, MatchAll):
         return F.lit(True), F.lit(1.0)
+    if isinstance(q, (Range, Wildcard, Fuzzy)) and q in known:
+        return known[q][0] > 0, F.lit(1.0)
+    if isinstance(q, (Wildcard, Fuzzy)):
+        one = F.coalesce(term_matches(q, F.col(q.field).cast("string")), F.lit(False)) if q.field not in tokens else F.exists(tokens[q.field], lambda t: term_matches(q, t))
+        return one, F.lit(1.0)
     if isinstance(q, Range):
-        if q in known:
-            return known[q][0] > 0, F.lit(1.0)
         kind = dict(df.dtypes)[q.field]
         c = F.col(q.field)
         if kind.startswith("array"):
@@ -142,7 +149,11 @@ def over_postings(q: Query, index, stats: Stats | None, modes: Modes) -> DataFra
         return over_postings(q.query, index, stats, modes).withColumn("score", F.col("score") * float(q.factor))
     if isinstance(q, MatchAll):
         return index.docs.select("doc_id", F.lit(1.0).alias("score"))
-    if isinstance(q, Range) or isinstance(q, Term) and q.field not in index.text:
+    if isinstance(q, (Wildcard, Fuzzy)) and q.field in index.text:
+        # The few terms that match are found among the statistics, then their postings are read.
+        terms = index.terms(q.field).where(term_matches(q, F.col("term"))).select("term")
+        return index.postings(q.field).join(terms, "term", "left_semi").select("doc_id", F.lit(1.0).alias("score")).distinct()
+    if isinstance(q, (Range, Wildcard, Fuzzy)) or isinstance(q, Term) and q.field not in index.text:
         m, s = over_rows(q, index.docs, {}, stats, modes)
         return index.docs.where(m).select("doc_id", s.alias("score"))
     if isinstance(q, (Term, Phrase)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -78,6 +79,36 @@ class Range(Query):
         return f"{self.field}:{'[' if self.include_lower else '{'}{low} TO {high}{']' if self.include_upper else '}'}"
 
 
+@dataclass(frozen=True)
+class Wildcard(Query):
+    """Extension: a field with a term that a pattern matches whole; * stands for any characters, ? for one. Score 1."""
+
+    field: str
+    pattern: str
+
+    def regex(self) -> str:
+        return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in self.pattern) + "$"
+
+    def __str__(self) -> str:
+        return f"{self.field}:{self.pattern}"
+
+
+@dataclass(frozen=True)
+class Fuzzy(Query):
+    """Extension: a field with a term that at most ``edits`` insertions, deletions and substitutions make of a word. Score 1."""
+
+    field: str
+    text: str
+    edits: int = 1
+
+    def __post_init__(self):
+        if self.edits < 0:
+            raise ValueError("edits is below 0")
+
+    def __str__(self) -> str:
+        return f"{self.field}:{self.text}~{self.edits}"
+
+
 @dataclass(frozen=True)
 class Boost(Query):
     query: Query

@@ -27,6 +27,17 @@ def test_tokenizers(spark):
     assert tokens(spark, "whitespace", None) == []
 
 
+def test_jieba_without_its_module(spark):
+    with pytest.raises(ValueError, match="mode"):
+        analysis.jieba(F.lit("x"), mode="other")
+    with pytest.raises(NotImplementedError):
+        analysis.jieba(F.lit("x"), mode="search")
+
+
+def test_fast(spark):
+    assert spark.range(1).select(analysis.fast(F.lit(" a  b\tc "))).first()[0] == ["a", "b", "c"]
+
+
 def test_index_terms(spark):
     row = spark.createDataFrame([("It's 3.14", "It's 3.14 é")], "a string, b string").select(analysis.index_terms(F.col("a")), analysis.index_terms_strict(F.col("a")), analysis.index_terms_strict(F.col("b"))).first()
     assert row[0] == ["it's", "3", "14"] and row[1] == row[0] and row[2] == ["it's", "3.14", "é"]
@@ -92,6 +103,12 @@ def test_sparse_search(spark):
     assert [tuple(r) for r in sparse.search(df, {0: 1.0}, 5).collect()] == [(1, 3.0), (0, 1.0)]
     assert sparse.search(df, {}, 5).count() == 0 and sparse.search(df, {0: 1.0}, 0).count() == 0
     assert [r[0] for r in sparse.reranked(df, {0: 1.0, 1: 1.0}, 2, first=2).collect()] == [1, 0]
+    assert [r[0] for r in sparse.block_max(df, {0: 1.0, 1: 1.0}, 2, alpha=1.0).collect()] == [1, 0]
+    assert sparse.block_max(df, {0: 0.1}, 2).count() == 0  # gains below 1 are 0
+    assert [r[0] for r in sparse.quantised_levels(df, {0: 1.0, 1: 1.0}, 2, n=2, alpha=1.0).collect()] == [1, 0]
+    assert sparse.forward(df, 1).first()["v"][1]["w"] == 4.0
+    with pytest.raises(IndexError):
+        sparse.forward(df, 77)
     for mode in ("alpha_mass", "max_ratio", "top_k"):
         assert sparse.quantised(df, {0: 1.0, 1: 1.0}, 2, n=2, mode=mode).count() > 0
 
@@ -108,6 +125,42 @@ def test_columns(spark):
     assert [r["c"] for r in x] == [-1, 0, 1]
 
 
+def test_bits(spark):
+    from skylode.functions import bits
+
+    rows = [([0, 63, 64, 200], [64, 5]), ([], [1]), ([None, 7], [7])]
+    df = spark.createDataFrame(rows, "p array<int>, q array<int>").select(bits.of(F.col("p")).alias("a"), bits.of(F.col("q")).alias("b"))
+    a, b, at = F.col("a"), F.col("b"), F.lit(70)
+    got = df.select(
+        bits.positions(a), bits.positions(bits.union(a, b)), bits.positions(bits.intersection(a, b)), bits.positions(bits.difference(a, b)), bits.positions(bits.symmetric_difference(a, b)),
+        bits.cardinality(a), bits.intersects(a, b), bits.positions(bits.put(a, at)), bits.positions(bits.clear(bits.put(a, at), at)), bits.positions(bits.flip(a, F.lit(7))), bits.next_set(a, F.lit(64)), bits.previous_set(a, F.lit(62)), bits.get(a, F.lit(500)),
+    ).collect()
+    for (p, q), r in zip(rows, got, strict=True):
+        x, y = {i for i in p if i is not None}, set(q)
+        assert list(map(list, r[:5])) == [sorted(z) for z in (x, x | y, x & y, x - y, x ^ y)]
+        assert (r[5], r[6]) == (len(x), bool(x & y)) and list(map(list, r[7:10])) == [sorted(z) for z in (x | {70}, x, x ^ {7})]
+        assert r[10:] == (min((i for i in x if i >= 64), default=None), max((i for i in x if i <= 62), default=None), False)
+
+
+def test_marks_and_changes(spark):
+    df = spark.range(20).withColumn("v", F.col("id") * 2)
+    marks = columns.adaptive_marks(df, "id", F.lit(3), 12)
+    rows = [tuple(r) for r in columns.mark_starts(marks).select("mark", "start", "end").orderBy("mark").collect()]
+    assert rows == [(m, 4 * m, 4 * m + 4) for m in range(5)]
+    wanted = spark.createDataFrame([(0,), (1,), (3,), (3,)], "mark long")
+    assert sorted(tuple(r) for r in columns.mark_ranges(wanted).collect()) == [(0, 2), (3, 4)]
+    r = spark.range(1).select(columns.mark_of_row(F.lit(17), 8), columns.rows_of_marks(F.lit(1), F.lit(3), F.lit(20), 8)).first()
+    assert tuple(r) == (2, 12)
+    assert columns.pop_back(df, "id", 3).count() == 17 and columns.resize(df, "id", 5).count() == 5
+    grown = columns.resize(df, "id", 23).orderBy("id").collect()
+    assert len(grown) == 23 and grown[-1]["id"] == 22 and grown[-1]["v"] is None
+    assert columns.insert_range(df, df.select((F.col("id") + 100).alias("id"), "v"), "id", 2, 3).where("id >= 100").count() == 3
+    sets = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["c", None])], "k long, v array<string>")
+    ords, known = columns.set_ordinals(sets, "k", "v")
+    assert {r["k"]: r["ords"] for r in ords.collect()} == {1: [0, 1], 2: [], 3: [2]}
+    assert columns.lookup_ord(known, 2).first()[0] == "c" and columns.lookup_ord(known, 9).count() == 0
+
+
 def test_lifecycle(spark):
     s = spark.createDataFrame([("a", "HOT", 8 * 86400, 1, 0), ("b", "HOT", 0, 1, 0), ("c", "WARM", 0, 1, 5), ("d", "COLD", 400 * 86400, 1, 0), ("e", "FROZEN", 10**9, 1, 0)], "segment string, tier string, age long, bytes long, accesses int")
     assert {r["segment"]: r["target"] for r in lifecycle.migrations(s).collect()} == {"a": "WARM", "c": "COLD", "d": "FROZEN"}

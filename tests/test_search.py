@@ -9,7 +9,7 @@ from skylode.functions import scoring
 from skylode.operators import search
 from skylode.operators.index import Index
 from skylode.plans.compile import Modes
-from skylode.plans.query import Bool, Boost, MatchAll, Phrase, Range, Term
+from skylode.plans.query import Bool, Boost, Fuzzy, MatchAll, Phrase, Range, Term, Wildcard
 
 
 def corpus(spark, texts, **modes):
@@ -88,6 +88,19 @@ def test_term_and_point_range(spark):
     assert c.count(Bool(must=(a,), filter=(r,))).first()[0] == 16
 
 
+def test_wildcard_fuzzy_and_cache(spark, tmp_path):
+    texts = ["licence to be", "license", "licensed lice", "a.c", None, "public"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    c, ix = search.Corpus(df), Index(spark, str(tmp_path / "ix"))
+    ix.add(df).commit()
+    for q, expected in ((Wildcard("text", "licen?e"), [0, 1]), (Wildcard("text", "lic*"), [0, 1, 2]), (Wildcard("text", "*"), [0, 1, 2, 3, 5]), (Fuzzy("text", "licence", 1), [0, 1]), (Fuzzy("text", "pblic"), [5]), (Fuzzy("text", "public", 0), [5])):
+        assert ids(c.match(q)) == expected == ids(c.hits(q)) == ids(ix.open().match(q)), str(q)
+        assert ids(c.match(Bool(must=(MatchAll(),), must_not=(q,)))) == [i for i in range(6) if i not in expected]
+    assert {r["score"] for r in c.hits(Bool(must=(Wildcard("text", "lic*"),), should=(MatchAll(),))).collect()} == {2.0}
+    cache = search.FilterCache(c, most=1)
+    assert [ids(cache.match(q)) for q in (t("license"), t("license"), t("public"), t("license"))] == [[1], [1], [5], [1]] and (cache.hits, cache.misses) == (1, 3)
+
+
 def test_bm25_by_hand(spark):
     c = corpus(spark, ["a a b", "a", "c c c c"])
     got = {r["doc_id"]: r["score"] for r in c.hits(t("a")).collect()}
@@ -131,6 +144,8 @@ def test_histograms(spark):
     df = spark.createDataFrame([(0.0,), (4.9,), (5.0,), (20.0,), (None,), (float("nan"),)], "v double")
     assert [r["n"] for r in search.histogram(df, "v", 0, 5, 3).orderBy("bucket").collect()] == [2, 1, 0]
     assert [(r["key"], r["n"]) for r in search.date_histogram(df, "v", 0, 25, 5, 2).collect()] == [(0.0, 2), (5.0, 1)]
+    assert sorted((r["key"], r["n"], r["total_hits"]) for r in search.date_histogram_with_total(df, "v", 0, 25, 5, 2).collect()) == [(0.0, 2, 6), (5.0, 1, 6)]
+    assert [tuple(r) for r in search.date_histogram_with_total(df.limit(0), "v", 0, 25, 5, 2).collect()] == [(None, 0, 0)]
 
 
 def test_index_life(spark, tmp_path):
