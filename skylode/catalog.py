@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from .functions import analysis, bits, scoring
 from .functions import vectors as sv
 from .operators import columns, index, lifecycle, search, sparse
 from .plans.compile import Modes
-from .plans.query import Bool, Fuzzy, MatchAll, Phrase, Range, Term, Wildcard
+from .plans.query import Bool, Boost, Fuzzy, MatchAll, Phrase, Range, Term, Wildcard
 from .scratch import shared_folder
 from .sources import readers
 
@@ -872,6 +873,96 @@ def merge_to_two(spark, d):
     return ix.open().stored.select(F.col("doc_id").alias("o_orderkey"), "o_orderstatus")
 
 
+# --- readers, writers and small values --------------------------------------------------------------------------------
+
+
+def _written(spark, df, codec):
+    path = f"{shared_folder(spark)}/codec-{uuid.uuid4().hex[:8]}"
+    readers.write(df, path, codec)
+    return spark.read.parquet(path)
+
+
+@query("SELECT codec, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders, (VALUES ('none'), ('lz4'), ('zstd'), ('snappy')) c(codec) GROUP BY codec")
+def codec_round_trip(spark, d):
+    """Columns written with each codec, by name or number, and read again."""
+    orders = table(spark, d, "orders")
+    every = [_written(spark, orders, code).select("*", F.lit(name).alias("codec")) for name, code in (("none", 0x02), ("lz4", 0x82), ("zstd", 0x90), ("snappy", "snappy"))]
+    return reduce(DataFrame.union, every).groupBy("codec").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def log_round_trip(spark, d):
+    """Tab-separated rows of 62 columns, three of them wanted."""
+    events, path = table(spark, d, "events"), f"{shared_folder(spark)}/log-{uuid.uuid4().hex[:8]}"
+    known = {3: "event_id", 17: "user_id", 60: "event_type"}
+    events.select(F.concat_ws("\t", *[F.col(known[i]).cast("string") if i in known else F.lit("x") for i in range(62)])).write.text(path)
+    return readers.read_log(spark, path, {"event_id": (3, "long"), "user_id": (17, "long"), "event_type": (60, "string")})
+
+
+@query(r"SELECT item_id AS doc_id, 'item ' || item_id AS title, trim(text, ' ') AS body FROM benchmark")
+def news_round_trip(spark, d):
+    path = f"{shared_folder(spark)}/news-{uuid.uuid4().hex[:8]}"
+    one = F.concat(F.lit('<REUTERS NEWID="'), F.col("item_id").cast("string"), F.lit('">\n<TITLE>item '), F.col("item_id").cast("string"), F.lit("</TITLE>\n<BODY>"), F.col("text"), F.lit("</BODY>\n</REUTERS>"))
+    table(spark, d, "benchmark").select(one).repartition(3).write.text(path)
+    return readers.read_news(spark, path)
+
+
+@query("SELECT p_partkey, p_size, CAST(p_partkey % 2 = 0 AS VARCHAR) AS even, p_brand AS \"made.brand\" FROM part")
+def json_array(spark, d):
+    """Arrays of nested objects, one a brand, back to a row an object."""
+    part = table(spark, d, "part")
+    o = F.struct("p_partkey", "p_size", (F.col("p_partkey") % 2 == 0).alias("even"), F.struct(F.col("p_brand").alias("brand")).alias("made"))
+    arrays = part.groupBy("p_brand").agg(F.to_json(F.collect_list(o)).alias("a"))
+    return readers.parse_json_array(arrays, "a", "p_partkey: bigint, p_size: bigint, even: boolean, made: struct<brand: string>").withColumn("even", F.col("even").cast("string"))
+
+
+@query("""SELECT p_partkey AS id, field, role, value FROM part, (VALUES ('size', 'long'), ('made.brand', 'text'), ('tags', 'text'), ('flag', 'keyword')) f(field, role),
+LATERAL (SELECT unnest(CASE field WHEN 'size' THEN [p_size::VARCHAR] WHEN 'made.brand' THEN [p_brand] WHEN 'tags' THEN [p_type, p_name] ELSE [(p_size > 20)::VARCHAR] END) AS value)""")
+def json_nested(spark, d):
+    """Objects, arrays and booleans of JSON with unknown fields."""
+    o = F.struct(F.col("p_size").alias("size"), F.struct(F.col("p_brand").alias("brand")).alias("made"), F.array("p_type", "p_name").alias("tags"), (F.col("p_size") > 20).alias("flag"))
+    return readers.flatten_fields(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.to_json(o).alias("j")), "j", keep=("id",))
+
+
+@query(bm25_sql(["license"], "SELECT doc_id, round(s_license, 4) AS score, lang, source FROM s WHERE f_license > 0 ORDER BY round(s_license, 6) DESC, doc_id LIMIT 20"))
+def stored_fetch(spark, d):
+    seen = _index(spark, d)
+    return seen.fetch(seen.search(Term("text", "license"), 20)).select("doc_id", F.round("score", 4).alias("score"), "lang", "source")
+
+
+@query(bm25_sql(["the", "of"], page_sql("f_the + f_of > 0", "3.0 * s_the + s_of", 15)))
+def boosted(spark, d):
+    return shown(corpus(spark, d).search(Bool(should=(Boost(THE, 3.0), OF)), 15))
+
+
+@query(_SPARSE + " SELECT doc_id, round(coalesce(max(w) FILTER (i = 3), 0), 6) AS w3, count(*) FILTER (i = 7) > 0 AS has7 FROM v GROUP BY doc_id")
+def sparse_get(spark, d):
+    v = F.col("v")
+    return _vectors(spark, d).where(F.size("v") > 0).select("doc_id", F.round(sv.get(v, F.lit(3)), 6).alias("w3"), sv.contains(v, F.lit(7)).alias("has7"))
+
+
+@query(_SPARSE + " SELECT doc_id, i, round(w, 6) AS w FROM v WHERE doc_id = 5")
+def sparse_forward(spark, d):
+    return _flat(sparse.forward(_vectors(spark, d), 5))
+
+
+@query("SELECT count(*) AS n, sum(o_totalprice) > 0 AS priced, max(o_custkey) AS high FROM orders")
+def observed_metrics(spark, d):
+    """Counters that are filled while something else runs."""
+    df, seen = search.observed(table(spark, d, "orders"), f"orders-{uuid.uuid4().hex[:8]}", n=F.count(F.lit(1)), priced=F.sum("o_totalprice") > 0, high=F.max("o_custkey"))
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["n"], seen.get["priced"], seen.get["high"])], "n long, priced boolean, high long")
+
+
+_STRICT = r"CASE WHEN strlen(text) = length(text) THEN regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}'']*') ELSE list_filter(regexp_extract_all(lower(text), '(?:[\p{L}\p{M}](?:[''’.:·]\p{L})+|\p{N}(?:[''’.,;]\p{N})+|[\p{L}\p{N}\p{M}_])+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) END"
+
+
+@query(f"SELECT doc_id, array_to_string({_STRICT}, ' ') AS terms FROM documents WHERE text IS NOT NULL")
+def strict_terms(spark, d):
+    """Index terms with the word rules for texts that are not ASCII."""
+    return _documents(spark, d).where("text is not null").select("doc_id", F.array_join(analysis.index_terms_strict(F.col("text")), " ").alias("terms"))
+
+
 # --- lifecycle ---------------------------------------------------------------------------------------------------------
 
 
