@@ -1,10 +1,8 @@
-"""What several operators share: scratch tables, connected components and reading of tables."""
+"""What several operators share: reading of tables, batches, packed texts, joins that spread hot keys, and connected
+components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,40 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import shared_folder, stored  # noqa: F401
+
 #: Rows per Arrow batch for operators that take whole texts: with texts of a megabyte a batch stays near 256 MB.
 TEXT_BATCH = 256
 
-_folders: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this session under spark.checkpoint.dir; only where that is unset (tests) a local one."""
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skylode-")
-        _folders[app] = f"{base.rstrip('/')}/skylode-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _folders[app])
-    return _folders[app]
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM may be gone; the folder is then left to the cluster's own cleaning
-        return
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends there and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(names: list[str], name: str) -> str:
+    """name, or a longer one, that none of names is."""
+    while name.lower() in (n.lower() for n in names):
+        name += "_"
+    return name
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
@@ -85,18 +63,35 @@ def unpacked(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Within it, plans that run give the Python workers Arrow batches of so many rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def batches_of(spark: SparkSession, rows: int, size: str = "8m"):
+    """Within it, plans that run give the Python workers Arrow batches of up to so many rows and bytes."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 HUBS = 500
+
+
+def to_least(e: DataFrame, n: int) -> DataFrame:
+    """e (a, b, ...) with m, the smallest b of each a. n: the rows of e.
+
+    An a with more than n / HUBS rows is a hub. There are fewer than HUBS of them, so they are broadcast and their rows
+    stay where they are; all others meet their m in a join by a, in which no key has more rows than that.
+    """
+    m = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("__n"))
+    hub = F.col("__n") > max(1, n // HUBS)
+    hubs = F.broadcast(m.where(hub).select("a", "m"))
+    rest = e.join(F.broadcast(m.where(hub).select("a")), "a", "left_anti").join(m.where(~hub).select("a", "m"), "a")
+    return rest.unionByName(e.join(hubs, "a"))
+
+
 SALTS = 64
 
 
@@ -110,29 +105,23 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hub, by: lis
     return dealt.join(every, [*keys, "__salt"], how).drop("__salt")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long), by alternating large-star and small-star steps.
 
     Returns (id, component) for every id in an edge, component being the smallest id that is reachable. Each step
     joins every vertex only to the smallest of its neighbours, so no step emits pairs within a group, and the minimum
-    is a partial aggregate, so a hub is combined before the shuffle. Each round is written to the shared folder.
+    is a partial aggregate, so a hub is combined before the shuffle. Each step is written to the shared folder; rounds
+    go on until one changes nothing, which takes of the order of log^2 of the ids.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = None
-    for _ in range(rounds):
+    now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+    while True:
         # Large star: every larger neighbour goes to the smallest id around.
-        u = both(e)
-        m = u.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = u.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        e = stored(to_least(both(e), 2 * now[0]).select("a", "b", F.least("a", "m").alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
         # Small star: every smaller neighbour, and the vertex, go to the smallest one.
-        m = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(m, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        e = to_least(e, now[0]).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         e = stored(e, "edges")
-        now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        last, now = now, e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components: more than {rounds} rounds")
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+            return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
