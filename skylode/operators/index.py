@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -363,26 +363,28 @@ class Index:
         for i, f in enumerate(self.text):
             p = postings_of(docs, "doc_id", f, self.terms).withColumn("bucket", bucket)
             p = p.repartition(buckets * files, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).sortWithinPartitions("bucket", "field", "term", "doc_id")
-            mode = "append" if i else "errorifexists"
+            mode, seen = "append" if i else "errorifexists", Observation()
+            # Observed in the stage that writes, where a task that runs again counts once. The shares freq / len of a
+            # document add up to 1.
+            p = p.observe(seen, F.sum("freq").alias("sum_ttf"), F.sum(F.col("freq") / F.col("len")).alias("docs"))
             p.select("field", "term", F.col("doc_id").cast("long").alias("doc_id"), "len", "freq", "positions", "bucket").write.option("compression", self.codec).mode(mode).partitionBy("bucket").parquet(f"{self.path}/{place}/postings")
             there = self.spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{self.path}/{place}/postings").where(F.col("field") == f)
             stats = there.groupBy("bucket", "field", "term").agg(F.count("*").alias("df"), F.sum("freq").alias("ttf"))
             stats.repartition(buckets, "bucket").sortWithinPartitions("bucket", "field", "term").write.option("compression", self.codec).mode(mode).partitionBy("bucket").parquet(f"{self.path}/{place}/terms")
-            one = there.agg(F.sum("freq").alias("sum_ttf"), F.sum(F.lit(1.0) * F.col("freq") / F.col("len")).alias("docs")).first()
-            # The shares freq / len of a document add up to 1.
-            told[f] = {"doc_count": round(one["docs"] or 0), "sum_ttf": one["sum_ttf"] or 0}
+            told[f] = {"doc_count": round(seen.get["docs"] or 0), "sum_ttf": seen.get["sum_ttf"] or 0}
         return told
 
     def _segment(self, df: DataFrame) -> Part:
         name = uuid.uuid4().hex
         place = f"segments/{name}"
         docs = df.withColumnRenamed(self.key, "doc_id") if self.key != "doc_id" else df
-        spread(docs, "doc_id").write.option("compression", self.codec).parquet(f"{self.path}/{place}/docs")
+        seen = Observation()
+        spread(docs, "doc_id").observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", self.codec).parquet(f"{self.path}/{place}/docs")
         docs = self.spark.read.schema(docs.schema).parquet(f"{self.path}/{place}/docs")
         size = self.folder.size(f"{place}/docs")
         buckets = min(MOST_BUCKETS, max(8, -(-size // BUCKET_BYTES)))
         told = self._tables(docs, place, size, buckets)
-        return Part(name, docs.count(), self.folder.size(place), buckets, told, docs.schema.json())
+        return Part(name, seen.get["n"], self.folder.size(place), buckets, told, docs.schema.json())
 
     def add(self, df: DataFrame, source: str | None = None, batch: int = 0) -> Index:
         """Writes a batch as a segment; commit() makes it seen. A batch of a source that was committed before is not
