@@ -565,6 +565,29 @@ def granule_bloom(spark, d):
     return columns.bloom_granules(g, {"o_custkey": [7, 77, 777, 100001], "o_orderpriority": ["1-URGENT"]}, 4096, 4)
 
 
+@query(_GRAN.replace("1024", "256") + " SELECT granule FROM g GROUP BY granule HAVING count(DISTINCT o_custkey) > 225 OR bool_or(o_custkey IN (7, 77, 777))")
+def granule_set(spark, d):
+    """Granules by their distinct values; those with more than 225 are always read."""
+    g = columns.with_granule(table(spark, d, "orders"), "o_orderkey", 256)
+    return columns.set_granules(columns.set_index(g, "o_custkey", 225), [7, 77, 777])
+
+
+_GRAMS = "WITH g AS (SELECT *, (row_number() OVER (ORDER BY p_partkey) - 1) // 16 AS granule FROM part), n AS (SELECT DISTINCT granule, unnest(list_transform(range(1, length(p_name) - 1), lambda i: p_name[i:i + 2])) AS gram FROM g)"
+
+
+@query(_GRAMS + f", k AS (SELECT granule, list(DISTINCT b) AS bits FROM (SELECT granule, unnest([{_spots('gram', 512, 2)}]) AS b FROM n) GROUP BY granule) SELECT granule FROM k WHERE " + " AND ".join(f"list_has_all(bits, [{_spots(repr(x), 512, 2)}])" for x in ("t g", "ot ", " gi", "giz")))
+def granule_ngram(spark, d):
+    """Granules in which a name may hold a needle."""
+    g = columns.with_granule(table(spark, d, "part"), "p_partkey", 16)
+    return columns.ngram_granules(g, "p_name", "ot giz", 3, 512, 2)
+
+
+@query("SELECT p_partkey, hex(encode(p_name)) AS value, strlen(p_name)::INTEGER AS bytes FROM part")
+def binary_values(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("v"))
+    return _written(spark, part, "zstd").select("p_partkey", F.hex("v").alias("value"), F.octet_length("v").alias("bytes"))
+
+
 @query(_GRAN + """, m AS (SELECT granule AS mark, min(o_custkey) AS low, max(o_custkey) AS high, count(*) AS rows FROM g GROUP BY granule),
 w AS (SELECT mark, mark - row_number() OVER (ORDER BY mark) AS i FROM m WHERE mark % 5 <> 2), r AS (SELECT min(mark) AS first, max(mark) + 1 AS "end" FROM w GROUP BY i)
 SELECT first, "end", (SELECT count(*) FROM g WHERE granule >= first AND granule < "end") AS rows FROM r""")

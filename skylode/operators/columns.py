@@ -171,6 +171,35 @@ def bloom_granules(granules: DataFrame, conditions: dict[str, Iterable], size: i
     return left
 
 
+def set_index(granules: DataFrame, column: str, most: int = 100) -> DataFrame:
+    """Extension: the distinct values of each granule, null for more than ``most`` (such a granule is always read)."""
+    values = F.array_sort(F.collect_set(column))
+    return granules.groupBy("granule").agg(F.when(F.count_distinct(column) <= most, values).alias("held"))
+
+
+def set_granules(index: DataFrame, values: Iterable) -> DataFrame:
+    """The granules that may have a row with one of the values."""
+    wanted = F.array(*[F.lit(v) for v in values])
+    return index.where(F.col("held").isNull() | F.arrays_overlap("held", wanted)).select("granule")
+
+
+def ngrams(text: Column, n: int) -> Column:
+    """All runs of n characters of a text, none if it is shorter; null has none."""
+    last = F.coalesce(F.length(text), F.lit(0)) - (n - 1)
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def ngram_granules(granules: DataFrame, column: str, needle: str, n: int = 3, size: int = 1 << 16, hashes: int = 2) -> DataFrame:
+    """Extension: the granules in which a text may hold a needle, by a bloom filter of n-grams for each; all, if the needle is
+    shorter than an n-gram."""
+    grams = sorted({needle[i : i + n] for i in range(len(needle) - n + 1)})
+    every = granules.select("granule").distinct()
+    if not grams:
+        return every
+    filters = bloom(granules.select("granule", F.explode(ngrams(F.col(column), n)).alias("gram")), "gram", size, hashes, by="granule")
+    return filters.where(reduce(lambda a, b: a & b, [bloom_may_hold(F.col("bits"), F.lit(g), size, hashes) for g in grams])).select("granule")
+
+
 def bloom_merge(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 

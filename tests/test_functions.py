@@ -161,6 +161,34 @@ def test_marks_and_changes(spark):
     assert columns.lookup_ord(known, 2).first()[0] == "c" and columns.lookup_ord(known, 9).count() == 0
 
 
+def test_metrics():
+    from skylode.operators import metrics
+
+    m = metrics.Metrics()
+    for x in (1, 2, 3, 400):
+        m.record("ms", x)
+    m.count("rows", 5)
+    m.count("rows")
+    m.gauge("open", 2.5)
+    with pytest.raises(ZeroDivisionError), m.timed("work"):
+        1 // 0
+    got = m.snapshot()
+    assert got["counters"] == {"rows": 6} and got["gauges"] == {"open": 2.5} and got["histograms"]["work"]["count"] == 1
+    assert got["histograms"]["ms"] == {"count": 4, "mean": 101.5, "p50": 2.0, "p99": 400}
+    with pytest.raises(ValueError):
+        m.count("rows", -1)
+    assert metrics.health({"a": lambda: True, "b": lambda: 1 // 0, "c": lambda: False}) == {"a": "healthy", "b": "failed: integer division or modulo by zero", "c": "unhealthy", "all": "unhealthy"}
+    assert metrics.health({})["all"] == "healthy"
+
+
+def test_set_and_ngram_granules(spark):
+    df = spark.createDataFrame([(0, "abcdef", 1), (0, None, 2), (1, "xyzabc", 3), (2, "ab", 4), (2, "", 5)], "granule long, t string, v int")
+    assert sorted(r[0] for r in columns.ngram_granules(df, "t", "abc").collect()) == [0, 1] and columns.ngram_granules(df, "t", "zz").count() == 3
+    assert columns.ngram_granules(df, "t", "cde").collect()[0][0] == 0
+    index = columns.set_index(df, "v", 1)
+    assert sorted(r[0] for r in columns.set_granules(index, [3]).collect()) == [0, 1, 2] and sorted(r[0] for r in columns.set_granules(columns.set_index(df, "v"), [3, 9]).collect()) == [1]
+
+
 def test_lifecycle(spark):
     s = spark.createDataFrame([("a", "HOT", 8 * 86400, 1, 0), ("b", "HOT", 0, 1, 0), ("c", "WARM", 0, 1, 5), ("d", "COLD", 400 * 86400, 1, 0), ("e", "FROZEN", 10**9, 1, 0)], "segment string, tier string, age long, bytes long, accesses int")
     assert {r["segment"]: r["target"] for r in lifecycle.migrations(s).collect()} == {"a": "WARM", "c": "COLD", "d": "FROZEN"}
