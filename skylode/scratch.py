@@ -42,6 +42,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if shared_folder(spark).split(":", 1)[-1] in folder:  # never anything but scratch
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df dealt over all cores by its key, if it is read from fewer files than there are cores: one file may be one task."""
     cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
