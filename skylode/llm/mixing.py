@@ -11,9 +11,10 @@ target exceeds ``repeats`` times its source's size, the excess being shared agai
 the level L with sum(min(repeats * size, L * weight)) = budget * all, found from the sources sorted by size / weight.
 
 Cases: null and empty texts have size 0 and are taken 0 times; a null source is a source; repeated rows are documents
-of their own; an empty table gives an empty mix. Scale: a source's running sum goes over two levels, so a source that
-holds a third of all rows is split into hash buckets of about ``bucket`` rows; only the table of sources, and for each
-source its bucket sums, meet in one task.
+of their own, rows that share an id (or have none) come in the order of their sizes; an empty table gives an empty mix; a
+text of any length is one row; mix() does not read other columns, resample() keeps all, whatever their names. Scale: a
+source's running sum goes over two levels, so a source that holds a third of all rows is split into hash buckets of about
+``bucket`` rows; only the table of sources, and for each source its bucket sums, meet in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import HUBS, spread_join, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -39,7 +40,7 @@ def targets(sources: DataFrame, weights=(5, 2, 1), budget: float = 1.5, repeats:
     return t.withColumn("L", level).select("source", "source_size", "weight", F.when(F.col("L").isNull() | (F.col("L") * F.col("weight") > F.col("cap")), F.col("cap")).otherwise(F.col("L") * F.col("weight")).alias("target"))
 
 
-def mix(documents: DataFrame, weights=(5, 2, 1), budget: float = 1.5, repeats: float = 2.0, ramps=((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)), bucket: int = 20_000) -> DataFrame:
+def mix(documents: DataFrame, weights=(5, 2, 1), budget: float = 1.5, repeats: float = 2.0, ramps=((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)), bucket: int = 2000) -> DataFrame:
     """documents (doc_id, source, text) -> doc_id, source, size, source_size, target, taken, first_at, last_at.
 
     taken: words that the mix takes, repeats counted. first_at, last_at: when the first and the last pass over the
@@ -51,8 +52,9 @@ def mix(documents: DataFrame, weights=(5, 2, 1), budget: float = 1.5, repeats: f
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     goal = targets(by_source, weights, budget, repeats)
     n = sized.count()
-    width = max(1, len(f"{max(1, n // bucket) - 1:x}"))  # so many hex digits of the key name a bucket
-    kept = sized.withColumn("bucket", F.substring("key", 1, width)).withColumn("slot", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
+    buckets = max(1, -(-n // bucket))  # equal shares of the keys, in their order
+    place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(float(1 << 32))).cast("long")
+    kept = sized.withColumn("bucket", place).withColumn("slot", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
     sums = kept.groupBy("slot", "bucket").agg(F.sum("size").alias("own"))
     w = Window.partitionBy("slot").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("slot", "bucket", F.coalesce(F.sum("own").over(w), F.lit(0)).alias("ahead"))
@@ -82,9 +84,13 @@ def resample(documents: DataFrame, **how) -> DataFrame:
     A document comes once for each pass over it; the last pass counts if it takes half of the document or more, so each
     source comes within half a document of its target. Rows that repeat an id are taken alike.
     """
+    key = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("none"))
     m = mix(documents, **how).where("taken > 0")
     copies = F.floor(F.col("taken") / F.col("size")) + F.when(2 * (F.col("taken") % F.col("size")) >= F.col("size"), 1).otherwise(0)
-    m = m.withColumn("copies", copies.cast("int")).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"), F.min("first_at").alias("__first"), F.max("last_at").alias("__last")).withColumnRenamed("doc_id", "__id")
-    taken = documents.join(m, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    at = F.when(F.col("__copies") == 1, F.col("__first")).otherwise(F.col("__first") + (F.col("__last") - F.col("__first")) * (F.col("__pass") - 1) / (F.col("__copies") - 1))
-    return taken.withColumn("__at", at).orderBy("__at", "doc_id").select(*[f"`{c}`" for c in documents.columns])
+    m = m.withColumn("copies", copies.cast("int")).where("copies > 0").groupBy(key("doc_id").alias("key")).agg(F.max("copies").alias("copies"), F.min("first_at").alias("first"), F.max("last_at").alias("last"), F.count("*").alias("rows"))
+    m = stored(m, "taken")
+    share = max(1, (m.agg(F.sum("rows")).first()[0] or 0) // HUBS)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), key("doc_id").alias("key"), F.xxhash64("text").alias("hash"))
+    taken = spread_join(rows, m, ["key"], F.col("rows") > share, ["hash"]).withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    at = F.when(F.col("copies") == 1, F.col("first")).otherwise(F.col("first") + (F.col("last") - F.col("first")) * (F.col("pass") - 1) / (F.col("copies") - 1))
+    return taken.select("row", at.alias("at")).orderBy("at", "row.doc_id").select("row.*")
