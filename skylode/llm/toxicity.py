@@ -7,10 +7,12 @@ and signs of obfuscation (letters parted or replaced by symbols). The trees are
 calibrated by isotonic regression on the rest. Only text goes into a score.
 
 Cases: a null or empty text has all features 0 and gets a score like any other; a document with several labels counts
-as toxic if one says so; null labels do not count; without both classes in the sample every score is the base rate (0
-without labels). Rows stay as they are, repeated or not. Scale: the sample (``sample`` rows at most, the first by a
-hash of their id) and the lexicon (``entries`` at most) are bounded, and so is all that is broadcast or collected;
-scoring is one pass without a shuffle.
+as toxic if one says so; null labels do not count, nor do labels of other values than 0 and 1; of rows that repeat a
+labelled id one is learned from, the first by a hash of its text; without both classes in the sample every score is the
+base rate (0 without labels). Rows stay as they are, repeated or not; an empty table gives an empty result; a text of any
+length is one row. reject() keeps all columns, whatever their names; score() those in ``keep``, which may not hold score.
+Scale: the sample (``sample`` ids at most, the first by a hash) and the lexicon (``entries`` at most) are bounded, and so
+is all that is broadcast or collected; the sample is stored once, and scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import boosting
+from .common import stored
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -81,7 +85,7 @@ def learn_lexicon(sample: DataFrame, entries: int, least: int = 3, odds: float =
             seen: dict[tuple[str, bool], list[int]] = {}
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
                 words, y = set(WORD.findall((text.as_py() or "").lower())), int(toxic.as_py())
-                for key in [(w, False) for w in words if len(w) <= 40] + list({(w[:k], True) for w in words for k in STEMS if len(w) > k}):
+                for key in [(w, False) for w in words] + list({(w[:k], True) for w in words for k in STEMS if len(w) > k}):
                     seen.setdefault(key, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.bool_()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], names=["entry", "stem", "bad", "good"])
 
@@ -114,16 +118,17 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 16_000, entries
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(sample).withColumn("part", part)
     rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # of up to `sample` pairs of numbers
+    rows = rows.groupBy("doc_id", "toxic", "part").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    rows = stored(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", F.col("part").cast("long").alias("part"), "first.text"), "labelled")
     lexicon = learn_lexicon(rows.where("part < 2"), entries)
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [shared.value.features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "part", "x"])
+            x = [shared.value.features(t.as_py()) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "part", "x"])
 
-    # Copies of a labelled id in documents would add rows: the sample stays bounded by keeping as many as were asked for.
-    got = rows.where("part >= 2").select("text", "doc_id", "toxic", "part").mapInArrow(measure, "doc_id long, toxic int, part long, x array<double>").limit(2 * sample).collect()
+    got = rows.where("part >= 2").select("doc_id", "toxic", "part", "text").mapInArrow(measure, "doc_id long, toxic int, part long, x array<double>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y, p = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([float(r["toxic"]) for r in got]), np.array([r["part"] for r in got])
     model = boosting.fit(x[p == 2], y[p == 2]) if (p == 2).any() else boosting.Boosted(start=-30.0)
@@ -132,21 +137,28 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 16_000, entries
     return Scorer(lexicon, model)
 
 
+def _scored(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """rows (row, text) -> row, score."""
+    shared = rows.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = shared.value.scores([t.as_py() for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.float64())], names=["row", "score"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
 def reject(documents: DataFrame, scorer: Scorer, least: float = 0.7) -> DataFrame:
     """documents without those that score ``least`` or more; same columns."""
-    return score(documents, scorer, documents.columns).where(F.col("__score") < least).drop("__score")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
+    return _scored(rows, scorer).where(F.col("score") < least).select("row.*")
 
 
 def score(documents: DataFrame, scorer: Scorer, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """Adds score (0 to 1, higher: label 1 is likelier) to the columns in keep."""
     keep = list(keep)
-    name = "text" if "text" in keep else "__text"
-    shared = documents.sparkSession.sparkContext.broadcast(scorer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = shared.value.scores([t.as_py() for t in batch.column(name)])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(own, pa.float64())], names=[*keep, "__score"])
-
-    schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep), "__score double"])
-    return documents.select(*keep, *([documents["text"].alias(name)] if name not in keep else [])).mapInArrow(run, schema)
+    if "score" in keep:
+        raise ValueError("the column score is added")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text")
+    return _scored(rows, scorer).select("row.*", "score")
