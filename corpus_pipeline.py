@@ -11,24 +11,32 @@ from skylode.llm.common import small_batches, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that score 0.7 or more. Null and empty texts are scored like others; rows stay as they are, repeated
+    or not; without labels nothing goes."""
     small_batches(spark)
     return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of 75 % join, that with the smallest id; of repeated rows one. Documents without
+    words have no copies and all stay, as do unrelated texts that share an id."""
     small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every found span replaced by its kind, n_chars after it; null texts stay null; every row stays."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for, in training order. Documents without words have nothing to take
+    and go; a null source is a source; rows that share an id are taken alike."""
     return mixing.resample(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and ids; a null or empty text has no ids; one row a row."""
     small_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "source"))
 

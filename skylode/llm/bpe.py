@@ -10,7 +10,8 @@ again, so the time is linear in the text. The ids are those of repeated lowest-r
 Each match of the split pattern is encoded by itself and kept in a bounded memo, since most words come again.
 
 Cases: a null or empty text has no ids and decodes to no bytes; a text of any length is one row, encoded piece by
-piece; an unpaired surrogate cannot occur in Spark's strings. Rows stay as they are, repeated or not.
+piece; an unpaired surrogate cannot occur in Spark's strings. Rows stay as they are, repeated or not; an empty table
+gives an empty result; a column in ``keep`` that has the name of an added one is an error, others may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import unused
 
 #: Code points of White_Space, as the pattern's \s means it; Python's own \s holds \x1c to \x1f as well.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -234,6 +238,8 @@ def encode(documents: DataFrame, path: str, pattern: str, keep: Iterable[str] =
     broadcast, so executors need no copy of it.
     """
     keep = list(keep)
+    if clash := set(keep) & {"n_tokens", "ids", "ids_sha256", "decoded_sha256"}:
+        raise ValueError(f"columns that encode() adds: {sorted(clash)}")
     with open(path, "rb") as f:
         data = f.read()
     key = hashlib.sha256(data + pattern.encode()).hexdigest()
@@ -246,7 +252,7 @@ def encode(documents: DataFrame, path: str, pattern: str, keep: Iterable[str] =
         own = encoder(key, shared.value, pattern)
         for batch in batches:
             n, raws, out = [], [], {name: [] for name, _ in told}
-            for text in batch.column("__text"):
+            for text in batch.column(len(keep)):
                 raw = own.encode_packed(text.as_py() or "")
                 n.append(len(raw) // 4)
                 if form == "ids":
@@ -254,7 +260,7 @@ def encode(documents: DataFrame, path: str, pattern: str, keep: Iterable[str] =
                 else:
                     out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(own.decode_packed(raw)).hexdigest())
-            columns = [batch.column(c) for c in keep] + [pa.array(n, pa.int64())]
+            columns = [*batch.columns[: len(keep)], pa.array(n, pa.int64())]
             if form == "ids":
                 ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raws), "<u4").astype(np.int32))))
@@ -263,4 +269,4 @@ def encode(documents: DataFrame, path: str, pattern: str, keep: Iterable[str] =
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long", kinds])
-    return documents.select(*keep, documents["text"].alias("__text")).mapInArrow(run, schema)
+    return documents.select(*[f"`{c}`" for c in keep], F.col("text").alias(unused(keep, "text_"))).mapInArrow(run, schema)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -214,4 +216,4 @@ def scan(documents: DataFrame, keep: Iterable[str] = ("doc_id",), templates: Tem
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)]] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*keep, *ADDED])
 
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep), "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<struct<label:string,word:bigint,score:double>>"])
-    return documents.select(*[f"`{c}`" for c in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
+    return documents.select(*[f"`{c}`" for c in keep], F.col("text").alias(unused(keep, "text_"))).mapInArrow(run, schema)

@@ -14,8 +14,9 @@ A secret's value has no upper length. Its key name may follow anything (client_s
 starts at the key name itself, so what stands before it stays. An IBAN has any of its lengths, in one run or in groups of
 4; a capital word of up to 4 characters that follows the groups may be taken along.
 
-Cases: a null or empty text has no spans; rows stay as they are, repeated or not; a text of any length is one row; no
-row is shuffled.
+Cases: a null or empty text has no spans; rows stay as they are, repeated or not; a text of any length is one row; an
+empty table gives an empty result; all columns are kept, whatever their names, but find() refuses one named pii, which it
+adds. No row is shuffled.
 """
 
 from __future__ import annotations
@@ -170,11 +171,11 @@ def model(n: int = 4000, precision: float = 0.95) -> tuple[boosting.Boosted, flo
 # --- the operator ---------------------------------------------------------------------------------------------------
 
 
-def find(documents: DataFrame) -> DataFrame:
-    """Adds pii: array<struct<kind, start, end, base>>, by kind as in KINDS, then start; kind is a name."""
+def _found(rows: DataFrame) -> DataFrame:
+    """rows (row, text) -> row, text and pii, as find() has it."""
     trees, threshold = model()
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = documents.select("*", text.alias("__t"), F.regexp_like(text, F.lit("[0-9]")).alias("__n"))
+    d = rows.select("row", "text", text.alias("__t"), F.regexp_like(text, F.lit("[0-9]")).alias("__n"))
     for k in KINDS:  # a search for a kind only where the text can hold one
         may = F.col("__n") if k in ("ip", "card", "phone", "number") else F.lit(True)
         may = may & F.contains("__t", F.lit(HOLDS[k])) if HOLDS[k] else may
@@ -199,7 +200,18 @@ def find(documents: DataFrame) -> DataFrame:
     # A candidate of the method that lies within a base span says nothing new.
     inside = lambda s: F.exists("__j", lambda b: b["base"] & ~s["base"] & (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     chosen = F.transform(F.array_sort(F.filter("__j", lambda s: ~inside(s))), lambda s: F.struct(F.get(name, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return d.withColumn("pii", F.when(F.size("__j") > 0, chosen).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean>>"))).drop("__t", "__n", "__c", "__j")
+    return d.withColumn("pii", F.when(F.size("__j") > 0, chosen).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean>>"))).select("row", "text", "pii")
+
+
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
+
+
+def find(documents: DataFrame) -> DataFrame:
+    """Adds pii: array<struct<kind, start, end, base>>, by kind as in KINDS, then start; kind is a name."""
+    if "pii" in documents.columns:
+        raise ValueError("the column pii is added")
+    return _found(_rows(documents)).select("row.*", "pii")
 
 
 def listed(spans: Column) -> Column:
@@ -217,8 +229,7 @@ def redact(documents: DataFrame) -> DataFrame:
 
     Spans that overlap become one mark for each, the later one covering what the earlier one left.
     """
-    found = find(documents)
-    text = F.col("text")
+    found, text = _found(_rows(documents)), F.col("text")
     by_start = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -228,8 +239,8 @@ def redact(documents: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).cast("array<string>").alias("out"))
 
     done = F.aggregate(by_start, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
-    names = [f"`{c}`" for c in documents.columns]
-    out = found.withColumn("text", F.when(F.size("pii") > 0, done).otherwise(text))
+    out = found.select("row", F.when(F.size("pii") > 0, done).otherwise(text).alias("text"), (F.size("pii") > 0).alias("changed"))
+    own = {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+        own["n_chars"] = F.when(F.col("changed"), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[(own[c] if c in own else F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
