@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,47 @@ def test_licences(spark):
     assert licences.scan(frame(spark, [])).count() == 0
 
 
+def test_licence_places(spark):
+    """Every place of every template against a comparison at every word."""
+    rng, t = random.Random(17), licences.Templates()
+    idf = {w: 1.0 + i % 7 for i, w in enumerate(t.words)}
+    index = licences.Index(t, idf)
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randint(0, 5)):
+            own = list(rng.choice(t.items)[0])
+            for _ in range(rng.choice([0, 0, 1, 5])):
+                own[rng.randrange(len(own))] = rng.choice(t.words)
+            words += own[rng.choice([0, 0, 2]) :] + [b"x"] * rng.randint(0, 3)
+        want = []
+        for k, (own, keys, _, _) in enumerate(t.items):
+            for s in range(-len(own), len(words)):
+                if all(s + a >= 0 and words[s + a : s + b] == own[a:b] for a, b in keys):
+                    got = sum(idf[w] for j, w in enumerate(own) if 0 <= s + j < len(words) and words[s + j] == w)
+                    want.append((k, s + keys[0][0], pytest.approx(got / sum(idf[w] for w in own))))
+        assert index.scan(words)[0] == want
+
+
+def test_licence_cost_does_not_grow_with_templates():
+    rng = random.Random(18)
+    more = [(f"{' '.join(f'w{rng.randrange(3000)}' for _ in range(20))} [{' '.join(f'k{i}x{j}' for j in range(6))}] the software is", f"t{i}") for i in range(480)]
+    words = b"licensed under the apache license version 2 0 the software is w1 w2 w3".split()
+    told = []
+    for t in (licences.Templates(), licences.Templates(more=(*licences.TEMPLATES, *more))):
+        index = licences.Index(t, {w: 2.0 if w[:1] in b"kw" else 1.0 for w in t.words})
+        told.append((index.candidates(words), sum(len(index.postings[w]) for w in set(words) if w in index.postings)))
+    assert len(t.items) > 500 and told[0] == told[1]
+
+
+def test_licence_columns_and_long_texts(spark):
+    full = " ".join(w.decode() for w in next(x[0] for x in licences.Templates().items if x[2] == "mit-full"))
+    df = frame(spark, [(1, "word " * 400_000 + full.upper() + ".", "s", 1.0), (2, None, "t", 2.0)], "doc_id long, text string, source string, score double")
+    got = {r["doc_id"]: r for r in licences.scan(df, keep=("doc_id", "source")).collect()}
+    assert got[1]["labels"] == "mit-full,mit-text" and got[1]["score"] == pytest.approx(1.0) and got[1]["source"] == "s" and got[2]["n_words"] == 0
+    with pytest.raises(ValueError, match="score"):
+        licences.scan(df, keep=("doc_id", "score"))
+
+
 # --- chat --------------------------------------------------------------------------------------------------------------
 
 
@@ -92,6 +134,20 @@ def test_exact_top(spark):
     assert vectors.exact_top(df.limit(0)).count() == 0
 
 
+def test_exact_top_wide_and_short(spark):
+    schema = "vec_id long, embedding array<double>, score string, row int"
+    rows = [(0, [3e9, 1.0]), (100, [2.0**40 + 1, 5.0]), (1, [1.5, -7.0, 2.0]), (2, [4.0]), (3, [-3e9, 2.0]), (2, [4.0])]
+    got = vectors.exact_top(frame(spark, [(i, v, "x", 1) for i, v in rows[2:] + [(0, [3.5, 1.0])]], schema)).orderBy("rank").collect()
+    whole = lambda v: [math.floor(1024 * c) for c in v]
+    dot = lambda a, b: sum(p * q for p, q in zip(whole(a), whole(b)))
+    assert [(r["vec_id"], r["score"]) for r in got] == sorted(((i, dot(v, [3.5, 1.0])) for i, v in rows[2:]), key=lambda p: (-p[1], p[0]))
+    wide = [(0, [3e4, 1.0, 2.0**-10]), (1, [2.0**28 + 0.25, 1.0]), (2, [2.0**28 + 0.25, 1.0, 1.0]), (3, [-1e8]), (4, [1e7, 1e7])]
+    got = vectors.exact_top(frame(spark, [(i, v, "x", 1) for i, v in wide], schema), shard=2, leaf=1, k=3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == sorted(((i, dot(v, wide[0][1])) for i, v in wide[1:]), key=lambda p: (-p[1], p[0]))[:3]
+    with pytest.raises(Exception, match="64 bits"):
+        vectors.exact_top(frame(spark, [(i, v, "x", 1) for i, v in rows[:3]], schema)).collect()
+
+
 def test_nearest_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()
@@ -113,6 +169,12 @@ def test_nearest_cases(spark):
     rows = [(0, [1.0, 0.0], 0), (20, [0.5, 0.5], 0), (3, [0.0, 0.0], 0), (5, None, 0), (7, [float("inf"), 1.0], 0), (9, [1.0, 0.0], 0), (8, [1.0, 0.0], 0)]
     got = vectors.nearest(frame(spark, rows, "vec_id long, embedding array<float>, label int")).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 8), (0, 9), (0, 20), (20, 0), (20, 8), (20, 9)]
+    mixed = [(0, [1.0, 2.0], 1, 2), (1, [3.0], 1, 2), (2, [0.5, 0.5, 9.0], 1, 2), (2, [-1.0], 1, 2)]
+    got = vectors.nearest(frame(spark, mixed, "vec_id long, embedding array<double>, row int, codes int")).orderBy("query_id", "rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 3.0), (2, 1.5), (2, -1.0)]
+    same = [(i, [1.0, 2.0] if i % 3 else [2.0, -1.0], 0) for i in range(700)]
+    got = vectors.nearest(frame(spark, same, "vec_id long, embedding array<float>, label int")).where("query_id = 20").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [i for i in range(700) if i % 3 and i != 20][:20]
     assert vectors.nearest(frame(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
@@ -138,6 +200,15 @@ def test_bpe(spark):
     assert [r["ids"] for r in ids] == [ref.encode_ordinary(t) for t in texts[:3]]
 
 
+def test_bpe_columns(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    df = frame(spark, [(1, "a b", 5, "k")], "doc_id long, text string, ids int, `__text` string")
+    assert bpe.encode(df, path, public_tokenizers.PATTERN, keep=("doc_id", "__text")).columns == ["doc_id", "__text", "n_tokens", "ids"]
+    with pytest.raises(ValueError, match="ids"):
+        bpe.encode(df, path, public_tokenizers.PATTERN, keep=("ids",))
+    assert bpe.encode(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
 # --- repeats -----------------------------------------------------------------------------------------------------------
 
 
@@ -168,19 +239,30 @@ def test_suffix_order(alphabet):
         assert cut == sorted(cut)
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_repeats(spark, hot):
+@pytest.mark.parametrize(("hot", "hottest"), [(256, 1 << 16), (1, 1 << 16), (1, 3)])
+def test_repeats(spark, hot, hottest):
     rng = random.Random(6)
     passages = ["".join(rng.choice("abcdefgh é") for _ in range(rng.choice([150, 199, 200, 201, 260, 500]))) for _ in range(20)]
     rows = [(0, None), (1, ""), (2, "y" * 199), (3, "y" * 200), (4, "ab" * 300), (5, "q" * 150), (6, "q" * 200)]
     for i in range(10, 150):
         rows.append((i, "".join(rng.choice([rng.choice(passages), "".join(rng.choice("xyz") for _ in range(rng.randint(0, 80)))]) for _ in range(rng.randint(0, 4)))))
     rows += [rows[20], rows[20], (10, rows[30][1])]
-    got = collections.Counter(tuple(r) for r in repeats.remove(frame(spark, rows), hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    got = collections.Counter(tuple(r) for r in repeats.remove(frame(spark, rows), hot=hot, hottest=hottest).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == repeats_brute(rows, 200)
     assert repeats.remove(frame(spark, [])).count() == 0
 
 
+def test_repeats_hot_passage(spark):
+    rng = random.Random(16)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    text = lambda: "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 90)))
+    rows = [(i, text() + passage + text()) for i in range(700)] + [(1000, passage * 3), (1001, "é" * 2_500_000), (1002, "é" * 90)]
+    got = collections.Counter(tuple(r) for r in repeats.remove(frame(spark, [(*r, "c", 1) for r in rows], "doc_id long, text string, h string, ranges int"), hot=20).where("doc_id <> 1001").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == repeats_brute([r for r in rows if r[0] != 1001], 200)
+    big = repeats.remove(frame(spark, rows[-2:])).where("doc_id = 1001").first()
+    assert (big["n_bytes"], big["n_removed"], big["n_spans"]) == (5_000_000, 5_000_000, 1)
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------------
 
 
@@ -211,6 +293,18 @@ def test_mixing(spark):
     assert out.columns == df.columns and abs(out.count() - 400) < 500
 
 
+def test_mixing_columns_and_ids(spark):
+    rows = [(None, "a", "w " * 30, 1, 2) for _ in range(300)] + [(i % 50, "b" if i % 2 else None, "x y " * (i % 7), 3, 4) for i in range(300)]
+    df = frame(spark, rows, "doc_id long, source string, text string, `__copies` int, at int")
+    got = mixing.mix(df, bucket=10).collect()
+    assert len(got) == 600 and all(r["taken"] <= 2 * r["size"] for r in got)
+    out = mixing.resample(df)
+    assert out.schema == df.schema and out.where("source = 'a'").count() in range(1, 601)
+    assert mixing.resample(df.limit(0)).count() == 0
+    long = mixing.mix(frame(spark, [(1, "s", "w " * 500_000), (2, "t", None)], "doc_id long, source string, text string")).collect()
+    assert sorted((r["size"], r["taken"]) for r in long) == [(0, 0), (500_000, 750_000)]
+
+
 # --- toxicity and boosting ---------------------------------------------------------------------------------------------
 
 
@@ -237,12 +331,111 @@ def test_toxicity_cases(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "you idiot"), (3, "you idiot"), (4, "x" * 300_000), (5, "fine day"), (None, "idiot")])
     labels = frame(spark, [(2, 0), (3, 1), (5, 0), (5, None), (77, 1)], "doc_id long, toxic int")
     rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
-    assert len(rows) == 7 and all(0 <= r["__score"] <= 1 for r in rows)
+    assert len(rows) == 7 and all(0 <= r["score"] <= 1 for r in rows)
     none = toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()
-    assert all(r["__score"] < 0.7 for r in none)
+    assert all(r["score"] < 0.7 for r in none)
     assert toxicity.reject(docs, toxicity.train(docs, labels.limit(0))).count() == 7
 
 
+def naive_features(lexicon, text):
+    """The features as the docstring says, by plain loops."""
+    text = text or ""
+    low, n_bytes = text.lower(), max(1, len(text.encode()))
+    words, word = [], ""
+    for c in low + " ":
+        if re.fullmatch(r"[^\W\d_]", c):
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    n = max(1, len(words))
+    hits = [(i, lexicon.words[w]) for i, w in enumerate(words) if w in lexicon.words]
+    stems = []
+    for w in {w for w in words if len(w) > 4}:
+        own = [lexicon.stems[w[:k]] for k in (4, 5, 6) if w[:k] in lexicon.stems]
+        if own:
+            stems.append(max(own))
+    second = [i for i, w in enumerate(words) if w in toxicity.SECOND] if hits else []
+    near = sum(any(abs(i - j) <= 6 for j in second) for i, _ in hits)
+    rate = lambda chars: sum(c in chars for c in text) / n_bytes
+    parted, at = 0, 0
+    while m := re.compile(r"[^\W\d_][@#$%&*^~._|0-9-]{1,3}[^\W\d_]").search(low, at):
+        parted, at = parted + 1, m.end()
+    hidden = 0
+    for w in set(low.split()) if parted else ():
+        bare = "".join(c for c in w if re.fullmatch(r"[^\W\d_]", c))
+        if not w.isalpha() and lexicon.words.get(bare) and w.strip(".,;:!?\"'()$%&*#") not in lexicon.words:
+            hidden += 1
+    return [
+        math.log1p(len(words)), len(hits) / n, math.log1p(len(hits)), math.log1p(len({words[i] for i, _ in hits})), max((v for _, v in hits), default=0.0), math.log1p(sum(v for _, v in hits)),
+        len(stems) / n, math.log1p(len(stems)), max(stems, default=0.0), len(second) / n, math.log1p(near),
+        rate("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), rate("!?"), rate("@#$%&*^~_|"), rate("0123456789"), parted / n, math.log1p(hidden),
+    ]
+
+
+def naive_score(model, x):
+    margin = model.start
+    for nodes in model.trees:
+        node = nodes[0]
+        while isinstance(node, tuple):
+            node = nodes[node[2] if x[node[0]] <= node[1] else node[3]]
+        margin += node
+    if model.knots is None:
+        return 1 / (1 + math.exp(-margin))
+    xs, ys = model.knots
+    for a, b, p, q in zip(xs, xs[1:], ys, ys[1:]):
+        if a <= margin <= b:
+            return p + (q - p) * (margin - a) / (b - a) if b > a else q
+    return ys[0] if margin < xs[0] else ys[-1]
+
+
+def test_toxicity_scores_by_hand(spark):
+    """What op8 returns, from the trees and the lexicon by plain Python; and the calibration by its definition."""
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    scorer = toxicity.train(docs, labels)
+    assert scorer.model.trees and scorer.model.knots is not None and (np.diff(scorer.model.knots[1]) >= 0).all()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = queries.op8_toxicity(spark, SF).collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        p = naive_score(scorer.model, naive_features(scorer.lexicon, texts[r["doc_id"]]))
+        assert r["score"] == pytest.approx(p, abs=1e-9) and r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_isotonic_by_definition():
+    """Pooled means against the best non-decreasing fit by brute force over all block borders."""
+    rng = np.random.default_rng(20)
+    for _ in range(20):
+        m, y = np.sort(rng.normal(size=9)), rng.integers(0, 2, 9).astype(float)
+        own = boosting.Boosted()
+        own.margin = lambda x: x[:, 0]
+        boosting.calibrate(own, m[:, None], y)
+        fitted = np.interp(m, *own.knots)
+        best = None
+        for cuts in itertools.product([0, 1], repeat=8):
+            edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], 9]
+            parts = [y[a:b] for a, b in zip(edges, edges[1:])]
+            means = [p.mean() for p in parts]
+            if all(p <= q for p, q in zip(means, means[1:])):
+                cost = sum(((p - p.mean()) ** 2).sum() for p in parts)
+                if best is None or cost < best[0] - 1e-12:
+                    best = (cost, np.concatenate([np.full(len(p), p.mean()) for p in parts]))
+        assert np.abs(fitted - best[1]).max() < 0.02
+
+
+def test_toxicity_columns(spark):
+    rows = [(1, "you idiot", 0.5, "a"), (1, "a fine day", 0.1, "b"), (None, None, None, None)]
+    docs = frame(spark, rows, "doc_id long, text string, score double, `__score` string")
+    scorer = toxicity.train(docs, frame(spark, [(1, 1), (2, 5)], "doc_id long, toxic int"))
+    assert toxicity.reject(docs, scorer, 1.1).columns == docs.columns and toxicity.reject(docs, scorer, 1.1).count() == 3
+    assert toxicity.score(docs, scorer, ["doc_id", "__score"]).columns == ["doc_id", "__score", "score"]
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score(docs, scorer, ["score"])
+    none = docs.limit(0)
+    assert toxicity.score(none, toxicity.train(none, frame(spark, [], "doc_id long, toxic int"))).count() == 0
+
+
 def test_obfuscated_without_symbols():
     lexicon = toxicity.Lexicon({"stpid": 1.0}, {})
     for text in ("you 1d1ot st3pid f-ck", "you 1d1ot st3pid f-ck."):
@@ -296,14 +489,33 @@ def test_jaccard(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == [(-1, "z"), (1, "a b c d e"), (3, ""), (3, ""), (4, "q")]
 
 
-def test_jaccard_tiles(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "TILE", 8)
-    monkeypatch.setattr(jaccard, "SHORT", 3)
-    rows = jaccard_rows()
+@pytest.mark.parametrize("small", [{"TILE": 8, "SHORT": 3}, {"TILE": 4, "SHORT": 2, "SAMPLE": 1, "OFTEN": 2, "HOT": 10**6}, {"TILE": 8, "SHORT": 3, "SAMPLE": 1, "OFTEN": 3, "FREQUENT": 200, "TILE_HASHES": 300}])
+def test_jaccard_tiles(spark, monkeypatch, small):
+    """Bounds lowered, so that long and hot rows, several tiles and parts of a block all come up."""
+    for name, value in small.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng, rows = random.Random(14), jaccard_rows()
+    passage = [f"p{i}" for i in range(40)]
+    for i in range(60):  # a passage in many texts: most are no copies of each other, some are
+        own = [rng.choice("abcdefghij") + str(i) for _ in range(rng.choice([4, 10, 60]))]
+        rows.append((len(rows), " ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :])))
     got = {tuple(r) for r in jaccard.join(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()}
     assert got == jaccard_brute(rows)
 
 
+def test_jaccard_columns_and_long_texts(spark):
+    rng = random.Random(15)
+    long = [rng.choice("abcdefghijklmnop") + str(rng.randrange(1000)) for _ in range(120_000)]
+    near = " ".join([*long[:-50], *["z"] * 50])
+    rows = [(3, " ".join(long), 1, "a"), (2, near, 2, "b"), (5, "", 3, "c"), (5, "", 3, "c"), (9, "q r s", 4, "d")]
+    names = "doc_id long, text string, `__row` int, `a.b` string, n long, s int, v int"
+    df = frame(spark, [(*r, 0, 1, 2) for r in rows], names)
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.join(df).collect()} == {(2, 2), (3, 2), (5, 5), (9, 9)}
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["__row"], r["a.b"]) for r in kept.collect()) == [(2, 2, "b"), (5, 3, "c"), (5, 3, "c"), (9, 4, "d")]
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
 def test_jaccard_without_ids(spark):
     w = [f"w{i}" for i in range(60)]
     near = [" ".join(w), " ".join([*w[:-1], "y", "z"]), " ".join([*w[5:-1], "y", "z"])]  # the first and the last only by the second
@@ -377,6 +589,16 @@ def test_pii(spark):
     assert pii.redact(frame(spark, [])).count() == 0
 
 
+def test_pii_columns_and_long_texts(spark):
+    df = frame(spark, [(1, "x " * 300_000 + "a@b.de" + " 1.2.3.4", 7, "p", "q", "r"), (None, None, None, None, None, None)], "doc_id long, text string, n_chars int, pii string, `__t` string, `a.b` string")
+    got = pii.redact(df)
+    assert got.schema == df.schema
+    rows = sorted(got.collect(), key=lambda r: r["doc_id"] or 0)
+    assert rows[1]["text"].endswith("x [EMAIL] [IP]") and rows[1]["n_chars"] == len(rows[1]["text"]) and (rows[1]["pii"], rows[1]["__t"], rows[1]["a.b"]) == ("p", "q", "r") and rows[0]["text"] is None
+    with pytest.raises(ValueError, match="pii"):
+        pii.find(df)
+
+
 def test_pii_features_agree(spark):
     for kind, match, before in ((4, "token=ab12cd34ef56", "the "), (5, "(212) 555-0153", "call "), (2, "4111 1111 1111 1111", "card no. ")):
         span = F.struct(F.lit(kind).alias("kind"), F.lit(match).alias("match"))
@@ -405,25 +627,118 @@ def test_pii_account_lengths(spark):
 # --- the pipeline ------------------------------------------------------------------------------------------------------
 
 
+def mixed_brute(rows):
+    """How often each document comes: rows (doc_id, source, text)."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, _, t in rows}
+    by = collections.defaultdict(list)
+    for i, source, _ in rows:
+        by[source].append(i)
+    names = sorted((s for s in by if s is not None)) + ([None] if None in by else [])
+    total = {s: sum(size[i] for i in by[s]) for s in names}
+    weight, wanted = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, 1.5 * sum(total.values())
+    target, full = {}, set()
+    while True:  # share, cap, share the rest again
+        level = (wanted - sum(2 * total[s] for s in full)) / sum(weight[s] for s in names if s not in full)
+        over = {s for s in names if s not in full and level * weight[s] > 2 * total[s]}
+        if not over:
+            break
+        full |= over
+    out = collections.Counter()
+    for s in names:
+        whole = round(2 * total[s] if s in full else level * weight[s])
+        passes, at = whole // total[s] if total[s] else 0, 0
+        for i in sorted(by[s], key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), size[i])):
+            part = max(0, min(size[i], whole - passes * total[s] - at))
+            at += size[i]
+            if size[i] and passes * size[i] + part:
+                out[i] = passes + (part == size[i]) + (0 < part < size[i] and 2 * part >= size[i])
+    return +out
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
-    docs = common.table(spark, SF, "documents")
-    columns, ref = docs.columns, None
-    at = docs
-    for i, (name, stage) in enumerate(p.STAGES):
-        before = at
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    columns, at = docs.columns, docs
+    rows_of = lambda df: [(r["doc_id"], r["source"], r["text"]) for r in df.select("doc_id", "source", "text").collect()]
+    for name, stage in p.STAGES:
+        before, rows = at, rows_of(at)
         at = common.stored(stage(spark, before, SF), name)
-        if i < len(p.STAGES) - 1:
-            assert at.columns == columns
+        if name == "encoding":
+            break
+        assert at.columns == columns
+        got = rows_of(at)
+        if name == "toxicity":
+            scorer = toxicity.train(docs, labels)
+            assert sorted(got) == sorted(r for r in rows if naive_score(scorer.model, naive_features(scorer.lexicon, r[2])) < 0.7)
         if name == "near_copies":
-            rows = [(r["doc_id"], r["text"]) for r in before.select("doc_id", "text").collect()]
-            assert {r["doc_id"] for r in at.collect()} == {c for _, _, c in jaccard_brute(rows)}
+            assert {i for i, _, _ in got} == {c for _, _, c in jaccard_brute([(i, t) for i, _, t in rows])} and set(got) <= set(rows)
         if name == "personal_data":
-            assert at.count() == before.count() and not pii_brute(" ".join(r["text"] or "" for r in at.collect()))
+            found = {r["doc_id"]: r for r in pii.find(before).collect()}
+            for i, _, text in got:
+                own, left, out = found[i]["text"], 0, ""
+                for s in sorted(found[i]["pii"], key=lambda s: (s["start"], s["end"], s["kind"])):
+                    if s["end"] > left:
+                        out, left = out + own[left : max(s["start"], left)] + f"[{s['kind'].upper()}]", s["end"]
+                assert text == out + own[left:]
+            assert not pii_brute(" ".join(t or "" for _, _, t in got)) and len(got) == len(rows)
         if name == "mixing":
-            ref = {r["doc_id"]: r["text"] for r in at.collect()}
+            assert collections.Counter(i for i, _, _ in got) == mixed_brute(rows) and set(got) <= set(rows)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
-    for r in at.limit(30).collect():
-        assert r["ids"] == enc.encode_ordinary(ref[r["doc_id"]])
-    assert p.run(spark, SF).count() == at.count()
+    text = {i: t for i, _, t in rows}
+    last = at.collect()
+    assert collections.Counter(r["doc_id"] for r in last) == collections.Counter(i for i, _, _ in rows)
+    assert all(list(r["ids"]) == enc.encode_ordinary(text[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for r in last)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in p.run(spark, SF).collect()) == sorted((r["doc_id"], r["n_tokens"]) for r in last)
+
+
+def test_stages_without_rows_and_with_odd_columns(spark):
+    import corpus_pipeline as p
+
+    none = common.table(spark, SF, "documents").limit(0)
+    for name, stage in p.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+    odd = frame(spark, [(1, "a b c d e f", "s", 1, "x"), (1, "a b c d e f", "s", 1, "x"), (None, None, None, None, None), (3, "", "t", 0, "y"), (4, "word " * 60_000, "t", 5, "z")], "doc_id long, text string, source string, n_chars long, score string")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.schema == odd.schema and out.where("doc_id = 4").count() >= 1, name
+    assert p.STAGES[-1][1](spark, odd, SF).count() == 5
+
+
+def test_pii_recall_and_precision(spark):
+    """Planted values of every kind in prose, and numbers and words that only look like them."""
+    rng = random.Random(21)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def card():
+        d = [int(c) for c in "4" + digits(14)]
+        check = -sum(x if i % 2 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10
+        return rng.choice(["", "-", " "]).join("".join(map(str, [*d, check]))[i : i + 4] for i in range(0, 16, 4))
+
+    def iban():
+        own = digits(18)
+        every = f"DE{98 - int(own + '131400') % 97:02d}{own}"
+        return rng.choice(["", " "]).join(every[i : i + 4] for i in range(0, len(every), 4))
+
+    made = {
+        "email": lambda: f"{rng.choice(['ann', 'bo.k', 'x_1'])}{digits(2)}@mail{digits(1)}.example.org", "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": card, "phone": lambda: f"+{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}",
+        "secret": lambda: rng.choice(["password=", "api_key: ", "token = ", "client_secret="]) + "".join(rng.choice(signs) for _ in range(rng.randint(16, 60))), "number": lambda: rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(2)}-{digits(4)}", iban()]),
+    }
+    plain = "order 20240117 shipped;version 2.10.3;chapter 12.4;isbn 978-3-16-148410-0;on 2024-01-17 12:30:05;part no. 4711-0815;the token was lost;password: required;secret: nothing;page 100-200;ratio 3:4;build 1234567890;key = value;about 1,234,567 people;access token expired;+1 more;2001:db8::1".split(";")
+    words = "the of and run over lazy dogs every morning while rain falls".split()
+    want, rows = {}, []
+    for i in range(900):
+        kind = rng.choice([*made, None, None, None])
+        want[i] = (kind, made[kind]() if kind else rng.choice(plain))
+        rows.append((i, " ".join([*(rng.choice(words) for _ in range(8)), want[i][1], *(rng.choice(words) for _ in range(8))])))
+    caught, every, wrong = collections.Counter(), collections.Counter(), 0
+    for r in pii.find(frame(spark, rows)).collect():
+        kind, value = want[r["doc_id"]]
+        start = r["text"].index(value)
+        covered = {j for s in r["pii"] for j in range(s["start"], s["end"])}
+        secret = value.index(re.search("[=:]", value)[0]) if kind == "secret" else 0
+        every[kind] += 1
+        caught[kind] += kind is not None and all(j in covered for j in range(start + secret, start + len(value)))
+        wrong += kind is None and bool(r["pii"])
+    assert all(caught[k] >= 0.98 * every[k] for k in made) and wrong <= 0.02 * every[None], (caught, every, wrong)
