@@ -1,23 +1,27 @@
 """Search by largest inner product: additive quantisation (approximate) and shards of KD-trees (exact).
 
 Both read vectors (vec_id, embedding) and a stated set of queries, and bring queries and candidates together in
-blocks: candidates are dealt into shards and queries into blocks by a hash of their id, each shard meets each block in
-one task of bounded size, and only the best of each (query, shard) go on. Nothing is broadcast but the codebooks, whose
+blocks: candidates are dealt into shards and queries into blocks by a hash, each shard meets each block in one task of
+bounded size, and only the best of each (query, shard) go on. What is repeated for the blocks is small: codes in the
+approximate search, trees that were built once a shard in the exact one. Nothing is broadcast but the codebooks, whose
 size is fixed.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part, nor, in the approximate
-search, do zero vectors; vectors of another length than the most common one take no part either. Ties go to the smaller
+search, do zero vectors or rows without an id; shorter vectors count as filled up with zeros. Ties go to the smaller
 vec_id. A query that has fewer candidates gets them all. Rows that repeat an id are candidates of their own; a query's
-own id is never its candidate. Empty tables give empty results.
+own id is never its candidate, and its smallest vector is what is asked. Empty tables give empty results; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,29 +31,32 @@ SHARD, BLOCK = 8192, 1024
 
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
-    """vec_id and v (array<double>) of the rows that take part. zero: whether zero vectors do."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
+    """vec_id and v (the vector as it is) of the rows that take part. zero: whether zero vectors do."""
+    v = vectors.select("vec_id", F.col("embedding").alias("v")).where("vec_id is not null and size(v) > 0")
     v = v.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    if not zero:
-        v = v.where(F.exists("v", lambda x: x != 0))
-    most = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return v.where(F.size("v") == (most["n"] if most else 0))
+    return v if zero else v.where(F.exists("v", lambda x: x != 0))
 
 
-def in_blocks(v: DataFrame, every: int, shard: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates and queries, each repeated for the blocks and shards of the other side, with the keys shard and block."""
-    asked = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))  # an id is asked once
-    n, q = v.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-q // block))
-    own = lambda k, salt: F.pmod(F.xxhash64(F.col("vec_id"), F.lit(salt)), F.lit(k)).cast("int")
-    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), own(blocks, 1).alias("block"), all_of(shards).alias("shard"))
-    rows = v.select("*", own(shards, 2).alias("shard"), all_of(blocks).alias("block"))
-    return rows, queries
+def dealt(n: int, q: int, shard: int, block: int, cores: int) -> tuple[int, int]:
+    """Into how many shards and blocks n candidates and q queries go: bounded ones, and blocks for all cores."""
+    shards = max(1, -(-n // shard))
+    return shards, max(1, -(-q // block), min(-(-cores // shards), -(-q // 32)))
 
 
-def matrix(column) -> np.ndarray:
-    return np.stack(list(column)).astype(np.float64) if len(column) else np.zeros((0, 0))
+def _own(key: str, k: int, salt: int):
+    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(k)).cast("int")
+
+
+def _all_of(k: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+
+
+def matrix(column, dim: int, dtype=np.float64) -> np.ndarray:
+    """Vectors as rows, filled up with zeros."""
+    out = np.zeros((len(column), dim), dtype)
+    for i, x in enumerate(column):
+        out[i, : len(x)] = x
+    return out
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -77,83 +84,105 @@ def train(sample: np.ndarray, books: int, size: int, rounds: int = 8, seed: int
     return np.stack(out)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (rows, books) by beam search, and the squared norms of what they add up to."""
-    n, m = len(x), len(books)
-    codes, left = np.zeros((n, 1, 0), np.int64), x[:, None, :]
+def encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
+    """Codes (rows, books) by beam search, in single precision."""
+    x, books = x.astype(np.float32), books.astype(np.float32)
+    n, dim = x.shape
+    codes, left, rows = np.zeros((n, 1, 0), np.uint8), x[:, None, :], np.arange(n)[:, None]
+    error = (x * x).sum(1)[:, None]
     for c in books:
-        cost = (c * c).sum(1) - 2 * left @ c.T + (left * left).sum(2)[:, :, None]
-        k, flat = cost.shape[2], cost.reshape(n, -1)
+        cost = (left.reshape(-1, dim) @ (-2 * c.T)).reshape(n, -1, len(c)) + (c * c).sum(1) + error[:, :, None]
+        flat = cost.reshape(n, -1)
         top = np.argpartition(flat, min(beam, flat.shape[1]) - 1, axis=1)[:, :beam]
-        rows = np.arange(n)[:, None]
-        codes = np.concatenate([codes[rows, top // k], (top % k)[:, :, None]], axis=2)
-        left = left[rows, top // k] - c[top % k]
-    pick = np.argmin((left * left).sum(2), axis=1)
-    codes = codes[np.arange(n), pick]
-    made = sum(books[j][codes[:, j]] for j in range(m))
-    return codes.astype(np.uint8), (made * made).sum(1)
+        error = np.take_along_axis(flat, top, 1)
+        codes = np.concatenate([codes[rows, top // len(c)], (top % len(c)).astype(np.uint8)[:, :, None]], axis=2)
+        left = left[rows, top // len(c)] - c[top % len(c)]
+    return codes[np.arange(n), np.argmin(error, axis=1)]
+
+
+def looked_up(codes: np.ndarray, norm: np.ndarray, tables: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """Scores (rows, queries): each row's norm times the sum of one table entry a code. tables: (books, size, queries)."""
+    out = np.zeros((len(codes), tables.shape[2]), np.float32)
+    buffer = np.empty((rows, tables.shape[2]), np.float32)
+    for a in range(0, len(codes), rows):
+        part = out[a : a + rows]
+        own = buffer[: len(part)]
+        for j, table in enumerate(tables):
+            np.take(table, codes[a : a + rows, j], axis=0, out=own, mode="clip")
+            part += own
+        part *= norm[a : a + rows, None]
+    return out
+
+
+NEAREST = "query_id long, rank int, vec_id long, score double"
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 16, size: int = 256, beam: int = 4, rerank: int = 400, sample: int = 8192, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 32, size: int = 256, beam: int = 4, rerank: int = 100, sample: int = 8192, shard: int = 1 << 17, block: int = 4096) -> DataFrame:
     """The k nearest found for the rows whose vec_id is divisible by every: query_id, rank, vec_id, score.
 
     Directions (vectors over their norm) are what is quantised. The codebooks are fitted on ``sample`` rows, the first
     by a hash of their id; every row is encoded and stored as its codes and its norm over that of its code sum. The
     product with a query is then that norm times the sum of one table entry a code; the tables hold the query's
-    products with all code words. In each shard the ``rerank`` best rows by this are reranked by the exact product of
-    the original vectors; of codes that tie at the end, all are reranked. Recall against all rows is in the README.
+    products with all code words. Of each query the ``rerank`` rows of all shards that are best by this, ties to the
+    smaller id, are reranked by the exact product of the original vectors, so only these vectors are moved. Recall
+    against all rows is in the README.
     """
+    spark = vectors.sparkSession
     v = usable(vectors, zero=False)
     rows = v.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(sample).select("v").collect()
-    x = np.array([r["v"] for r in rows])
-    if not len(x):
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = (v.agg(F.max(F.size("v"))).first()[0] or 0) if rows else 0
+    if not rows:
+        return spark.createDataFrame([], NEAREST)
+    x = matrix([r["v"] for r in rows], dim)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    shared = vectors.sparkSession.sparkContext.broadcast(train(x, books, size))
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = matrix(b["v"])
+    shared = spark.sparkContext.broadcast(train(x, books, size))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                x = matrix(batch.column(1).to_pylist(), dim)
                 norm = np.linalg.norm(x, axis=1)
-                codes, squared = encode(x / norm[:, None], shared.value, beam)
-                yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "codes": [c.tobytes() for c in codes], "norm": norm / np.sqrt(np.maximum(squared, 1e-30))})
-
-    coded = stored(v.repartition(F.col("vec_id")).mapInPandas(index, "vec_id long, v array<double>, codes binary, norm double"), "codes")
-    rows, queries = in_blocks(coded, every, shard, block)
+                codes = encode(x / norm[:, None], words, beam)
+                made = sum(words[j][codes[:, j]] for j in range(len(words)))
+                scale = norm / np.maximum(np.linalg.norm(made, axis=1), 1e-15)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32))], names=["vec_id", "v", "row", "codes", "norm"])
+
+    numbered = stored(v.repartition(F.col("vec_id")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    kind = v.schema["v"].dataType.simpleString()
+    coded = stored(numbered.mapInArrow(index, f"vec_id long, v {kind}, row long, codes binary, norm float"), "codes")
+    asked = stored(numbered.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")), "asked")
+    shards, blocks = dealt(coded.count(), asked.count(), shard, block, spark.sparkContext.defaultParallelism)
+    candidates = coded.select("vec_id", "row", "codes", "norm", _own("row", shards, 2).alias("shard"), _all_of(blocks).alias("block"))
+    queries = asked.select("query_id", "q", _own("query_id", blocks, 1).alias("block"), _all_of(shards).alias("shard"))
 
     def search(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(c) and len(q):
-            c = c.sort_values("vec_id", kind="stable")
-            ids, x, norm = c["vec_id"].to_numpy(), matrix(c["v"]), c["norm"].to_numpy()
-            codes = np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1)
-            for qid, y in zip(q["query_id"], q["q"], strict=True):
-                table = shared.value @ np.asarray(y)
-                score = table[0][codes[:, 0]]
-                for j in range(1, codes.shape[1]):
-                    score += table[j][codes[:, j]]
-                score *= norm
-                score[ids == qid] = -np.inf
-                if len(score) > rerank:
-                    least = np.partition(score, len(score) - rerank)[len(score) - rerank]
-                    near = np.flatnonzero(score >= least)
-                else:
-                    near = np.arange(len(score))
-                near = near[ids[near] != qid]
-                exact = exact_products(x[near], np.asarray(y))
-                top = np.lexsort((ids[near], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near][top], "score": exact[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "row": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "row": "int64"})
+        if not len(c) or not len(q):
+            return none
+        ids, row, norm = c["vec_id"].to_numpy(), c["row"].to_numpy(), c["norm"].to_numpy()
+        codes = np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1).astype(np.intp)
+        y, out = matrix(q["q"], dim), []
+        for a in range(0, len(y), 16):
+            tables = np.ascontiguousarray((shared.value @ y[a : a + 16].T).astype(np.float32))
+            scores = looked_up(codes, norm, tables).T
+            for qid, score in zip(q["query_id"].iloc[a : a + 16], scores, strict=True):
+                near = np.flatnonzero(ids != qid)
+                if len(near) > rerank:
+                    own = score[near]
+                    near = near[own >= np.partition(own, len(own) - rerank)[len(own) - rerank]]
+                near = near[np.lexsort((row[near], ids[near], -score[near]))[:rerank]]
+                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near], "row": row[near], "score": score[near].astype(np.float64)}))
+        return pd.concat(out) if out else none
 
     keys = ["shard", "block"]
-    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    return best(found, k)
-
-
-def exact_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed from the first component on as SQL would."""
-    return np.add.accumulate(x * y, axis=1)[:, -1] if x.size else np.zeros(len(x))
+    found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, row long, score double")
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
+    near = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rerank).select("query_id", "row")
+    near = near.join(coded.select("vec_id", "row", "v"), "row").join(asked, "query_id")
+    exact = F.aggregate(F.zip_with("v", "q", lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    return best(near.select("query_id", "vec_id", exact.alias("score")), k)
 
 
 # --- KD-trees --------------------------------------------------------------------------------------------------------
@@ -178,12 +207,13 @@ class Tree:
                 self.nodes[me] = (None, ids[rows], x[rows])
             else:
                 half = len(rows) // 2
-                rows = rows[np.argpartition(x[rows, axis], half)]
+                rows = rows[np.argsort(x[rows, axis], kind="stable") if x.dtype == object else np.argpartition(x[rows, axis], half)]
                 self.nodes[me] = (build(rows[:half]), build(rows[half:]))
             return me
 
         build(np.arange(len(ids)))
         self.low, self.high = np.stack(lows), np.stack(highs)
+        self.opened = self.searched = 0  # leaves that all searches looked into; searches
 
     def bounds(self, y: np.ndarray) -> np.ndarray:
         """For each node the largest product that a vector in its box can have with y."""
@@ -197,6 +227,7 @@ class Tree:
         """
         bound = self.bounds(y)
         queue, top = [(-int(bound[0]), 0)], []
+        self.searched += 1
         while queue:
             b, node = heapq.heappop(queue)
             if -b < least:
@@ -207,6 +238,7 @@ class Tree:
                     if bound[kid] >= least:
                         heapq.heappush(queue, (-int(bound[kid]), kid))
                 continue
+            self.opened += 1
             score = kids[2] @ y
             for i in np.flatnonzero(score >= least):
                 if kids[1][i] != own:
@@ -220,35 +252,57 @@ class Tree:
         return top
 
 
+WIDE = 2.0**53
+
+
 def exact_top(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, shard: int = SHARD, block: int = BLOCK, leaf: int = 64) -> DataFrame:
     """The k best rows by the inner product of floor(scale * component): query_id, rank, vec_id, score (long).
 
-    Each shard has a KD-tree. A first round searches for each query the one shard that its own hash names; the kth
-    score found there is a lower bound that goes with the query to all other shards. Products must stay below 2^53,
-    which holds for components up to a thousand; beyond that integers of 64 bits are used, and they wrap as SQL's do not.
+    Each shard has a KD-tree, which is built once and stored. A first round searches for each query the one shard that
+    its own hash names; the kth score found there is a lower bound that goes with the query to all other shards.
+    Products below 2^53 are summed as doubles, others as integers without bound; a score among the best that does not
+    fit a long raises OverflowError.
     """
-    v = usable(vectors, zero=True).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    v = stored(v, "integers")
-    rows, queries = in_blocks(v, every, shard, block)
+    spark = vectors.sparkSession
+    x = F.transform("v", lambda x: F.when(F.abs(x.cast("double") * scale) < WIDE, F.floor(x.cast("double") * scale).cast("double")).otherwise(x.cast("double") * scale))
+    v = stored(usable(vectors, zero=True).select("vec_id", x.alias("v"), F.monotonically_increasing_id().alias("row")), "integers")
+    told = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
+    dim = told["dim"] or 0
+    wide = (told["most"] or 0.0) ** 2 * dim >= WIDE
+    asked = stored(v.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")), "asked")
+    shards, blocks = dealt(told["n"], asked.count(), shard, block, spark.sparkContext.defaultParallelism)
+
+    def integers(column) -> np.ndarray:
+        x = matrix(column, dim)
+        return np.array([[int(c) for c in r] for r in x], object).reshape(x.shape) if wide else x
+
+    def build(c: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(c["vec_id"].to_numpy(), integers(c["v"]), leaf)
+        return pd.DataFrame({"shard": [int(c["shard"].iloc[0])], "tree": [pickle.dumps(tree, 5)]})
+
+    trees = stored(v.select("vec_id", "v", _own("row", shards, 2).alias("shard")).groupBy("shard").applyInPandas(build, "shard int, tree binary"), "trees")
+    rows = trees.select("shard", "tree", _all_of(blocks).alias("block"))
+    queries = asked.select("query_id", "q", _own("query_id", blocks, 1).alias("block"), _all_of(shards).alias("shard"))
     keys = ["shard", "block"]
 
     def search(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         if len(c) and len(q):
-            x, y = matrix(c["v"]), matrix(q["q"])
-            if np.abs(x).max() * np.abs(y).max() * x.shape[1] >= 2.0**53:
-                x, y = x.astype(np.int64), y.astype(np.int64)
-            tree = Tree(c["vec_id"].to_numpy(), x, leaf)
-            for qid, own, least in zip(q["query_id"], y, q["least"], strict=True):
+            tree = pickle.loads(c["tree"].iloc[0])
+            for qid, own, least in zip(q["query_id"], integers(q["q"]), q["least"], strict=True):
                 out += [(qid, -i, s) for s, i in tree.search(own, qid, k, least)]
+        if any(not -(1 << 63) <= s < 1 << 63 for _, _, s in out):
+            raise OverflowError("a score does not fit 64 bits")
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     schema = "query_id long, vec_id long, score long"
-    shards = F.max("shard").over(Window.partitionBy("query_id")) + 1
-    queries = queries.withColumn("home", F.pmod(F.xxhash64("query_id", F.lit(5)), shards).cast("int"))
+    queries = queries.withColumn("home", _own("query_id", shards, 5))
     first = queries.where("shard = home").withColumn("least", F.lit(float("-inf")))
     near = stored(best(rows.groupBy(*keys).cogroup(first.groupBy(*keys)).applyInPandas(search, schema), k), "near")
-    known = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("known"))
+    kth = F.min("score").cast("double")
+    if wide:  # a score beyond 2^53 may be rounded up on its way
+        kth = kth - F.abs(kth) * F.lit(2.0**-50)
+    known = near.groupBy("query_id").agg(F.when(F.count("*") >= k, kth).otherwise(float("-inf")).alias("known"))
     rest = queries.where("shard <> home").join(known, "query_id", "left").withColumn("least", F.coalesce("known", F.lit(float("-inf")))).drop("known")
     found = rows.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInPandas(search, schema)
     return best(found.unionByName(near.drop("rank")), k)
