@@ -48,7 +48,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     documents = table(spark, sf_dir, "documents")
     scorer = toxicity.train(documents, table(spark, sf_dir, "labels"))
-    return toxicity.score(documents, scorer).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"))
+    return toxicity.score(documents, scorer).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
