@@ -67,7 +67,8 @@ def postings_of(df: DataFrame, key: str, field: str, terms=index_terms) -> DataF
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("doc_id"), terms(F.col(field)).alias("t")).mapInArrow(run, f"doc_id {kind}, field string, term string, len int, freq int, positions array<int>")
+    texts = spread(df.select(F.col(key).alias("doc_id"), F.col(field).alias("t")), "doc_id")
+    return texts.select("doc_id", terms(F.col("t")).alias("t")).mapInArrow(run, f"doc_id {kind}, field string, term string, len int, freq int, positions array<int>")
 
 
 def lengths_of(df: DataFrame, key: str, field: str, terms=index_terms) -> DataFrame:

@@ -52,6 +52,7 @@ class Corpus:
         df = self.docs
         for clause in _demanded(query, self.text) if query is not None else ():
             df = df.where(over_rows(clause, df, {}, None, self.modes)[0])
+        df = spread(df, self.key) if used else df
         for c in sorted(used):
             terms = F.coalesce(self.tokens[c], F.array().cast("array<string>"))
             df = df.withColumn(f"__terms_{c}", F.when(F.monotonically_increasing_id() >= 0, terms))
