@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import shared_folder, stored  # noqa: F401
+from ..scratch import discard, shared_folder, stored  # noqa: F401
 
 #: Rows per Arrow batch for operators that take whole texts: with texts of a megabyte a batch stays near 256 MB.
 TEXT_BATCH = 256
@@ -29,7 +29,8 @@ def unused(names: list[str], name: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bounds the Arrow batches of whole texts that the Python workers get."""
+    """Bounds the Arrow batches of whole texts that the Python workers get, until a query sets another size: plans run after
+    the query that made them has returned, so there is no point at which to set it back."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -118,10 +119,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
     while True:
         # Large star: every larger neighbour goes to the smallest id around.
+        old = e
         e = stored(to_least(both(e), 2 * now[0]).select("a", "b", F.least("a", "m").alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
         # Small star: every smaller neighbour, and the vertex, go to the smallest one.
-        e = to_least(e, now[0]).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e = stored(e, "edges")
+        star = e
+        e = stored(to_least(e, now[0]).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
+        discard(old, star)
         last, now = now, e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == last:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

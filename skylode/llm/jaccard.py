@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, components, packed, stored, to_least, unpack, unpacked
+from .common import batches_of, components, discard, packed, stored, to_least, unpack, unpacked
 from .hashing import mix, shingle_sets
 
 SHORT, TILE, LEAF, FAN, ENTRIES = 32, 256, 16, 8, 50_000
@@ -426,7 +426,9 @@ def linked_sets(rows: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame, Dat
     candidates = counted.where(most >= F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7)).select("a", "b").union(pairs_.where("n_a is null").select("a", "b"))
     blocks = components(candidates).where("id >= 0").select(F.col("id").alias("v"), F.col("component").alias("block"))
     blocks = stored(_sized(blocks.join(vertices.select("v", "n"), "v")), "blocks")
-    texts = stored(texts.join(blocks.select("v"), "v"), "block-texts")  # few of all: what has a candidate
+    few = stored(texts.join(blocks.select("v"), "v"), "block-texts")  # what has a candidate
+    discard(texts, pairs_)
+    texts = few
     joined = _within(texts, blocks, "within")
     labels = stored(_renamed(blocks.withColumn("part", F.col("v")), joined), "labels")
     edges = rows.sparkSession.createDataFrame([], "a long, b long")
@@ -448,6 +450,7 @@ def linked_sets(rows: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame, Dat
             edges = edges.union(named.join(named.groupBy("doc_id").agg(F.min("part").alias("b")), "doc_id").select(F.col("part").alias("a"), "b"))
     if not edges.isEmpty():
         labels = _renamed(labels, components(edges).toDF("a", "b")).select("v", "part")
+    discard(texts)
     return d, vertices, labels
 
 

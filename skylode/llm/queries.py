@@ -9,6 +9,10 @@ from . import bpe, chat, jaccard, licences, mixing, pii, repeats, toxicity, vect
 from .common import small_batches, table
 
 
+#: Rows of vectors in an Arrow batch. Every query sets the size that it needs, so none depends on which ran before.
+VECTORS = 10_000
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return licences.scan(table(spark, sf_dir, "documents")).drop("places").withColumn("score", F.round("score", 6))
@@ -21,6 +25,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, VECTORS)
     return vectors.nearest(table(spark, sf_dir, "embeddings"))
 
 
@@ -41,6 +46,7 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, VECTORS)
     return vectors.exact_top(table(spark, sf_dir, "embeddings"))
 
 
