@@ -1,8 +1,8 @@
 """An index as plain Parquet tables under one folder, with versions.
 
 Each batch is a segment with docs, postings (field, term, doc_id, len, freq, positions) and term statistics. Postings
-and statistics lie in buckets by a checksum of the term, sorted by term, so a term query opens the files of one bucket
-and the row groups of its term. A version is one small JSON file that names segments and tombstones with their counts;
+and statistics lie in buckets by a checksum of the term, each in files of its own and sorted by term, so a term query opens
+the files of one bucket and the row groups of its term. A version is one small JSON file that names segments and tombstones with their counts;
 it is written under another name and renamed, so a reader sees a version whole or not at all, and a writer that dies
 leaves nothing in the way. Deletes are tombstones (segment, doc_id) with the term statistics of what they delete; merges
 drop them for good.
@@ -14,6 +14,7 @@ so the only shuffle is the one that brings terms to their bucket.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -103,6 +104,10 @@ def terms_after(stats: DataFrame, field: str, term: str | None, n: int) -> DataF
     return (own if term is None else own.where(F.col("term") > term)).orderBy("term").limit(n)
 
 
+#: The name of a file: its number is that of the task that wrote it.
+NUMBER = re.compile(r"part-(\d+)-")
+
+
 def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
@@ -118,6 +123,7 @@ class Part:
     docs: int
     size: int = 0
     buckets: int = 1
+    files: int = 1  # of a bucket's postings
     fields: dict = field(default_factory=dict, hash=False, compare=False)
     schema: str = ""
     about: tuple[str, ...] = ()
@@ -226,12 +232,13 @@ class Snapshot:
         return self._live(self.stored).drop("segment")
 
     def _buckets(self, parts: Iterable[Part], kind: str, table: str, terms: list[str] | None) -> list[tuple[str, list[str]]]:
-        """For each part the folders of a table that hold these terms (all of its buckets, if None)."""
+        """For each part the files of a table that hold these terms (all of its files, if None). A file has its number in its name."""
         out = []
         for p in parts:
-            there = set(self.folder.names(f"{kind}/{p.name}/{table}"))
-            wanted = there if terms is None else there & {f"bucket={bucket_of(t, p.buckets)}" for t in terms}
-            out.append((p.name, sorted(f"{self.path}/{kind}/{p.name}/{table}/{b}" for b in wanted if b.startswith("bucket="))))
+            files = p.files if table == "postings" else 1
+            wanted = None if terms is None else {bucket_of(t, p.buckets) * files + i for t in terms for i in range(files)}
+            names = [(n, NUMBER.match(n)) for n in self.folder.names(f"{kind}/{p.name}/{table}")]
+            out.append((p.name, sorted(f"{self.path}/{kind}/{p.name}/{table}/{n}" for n, m in names if m and (wanted is None or int(m[1]) in wanted))))
         return [(n, x) for n, x in out if x]
 
     def postings(self, field: str, terms: list[str] | None = None) -> DataFrame:
@@ -357,21 +364,24 @@ class Index:
     def version(self, number: int | None = None) -> Version:
         return Version.read(self.folder.read(self._file(self._latest() if number is None else number)))
 
-    def _tables(self, docs: DataFrame, place: str, size: int, buckets: int) -> dict:
-        """Writes postings and term statistics of stored documents; returns, by field, the documents that have it and its tokens."""
+    def _tables(self, docs: DataFrame, place: str, files: int, buckets: int) -> dict:
+        """Writes postings and term statistics of stored documents; returns, by field, the documents that have it and its tokens.
+
+        A task writes one file, of the bucket that its number names; a bucket's postings may be in several files, dealt by
+        document, so that a frequent term is in all of them.
+        """
         told, bucket = {}, F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(buckets)).cast("int")
-        files = max(1, -(-size // (FILE_BYTES * buckets)))  # of a bucket; a frequent term is in all of them
         for i, f in enumerate(self.text):
-            p = postings_of(docs, "doc_id", f, self.terms).withColumn("bucket", bucket)
-            p = p.repartition(buckets * files, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files))).sortWithinPartitions("bucket", "field", "term", "doc_id")
+            p = postings_of(docs, "doc_id", f, self.terms).select("field", "term", F.col("doc_id").cast("long").alias("doc_id"), "len", "freq", "positions")
+            number = bucket * files + F.pmod(F.xxhash64("doc_id"), F.lit(files)).cast("int")
             mode, seen = "append" if i else "errorifexists", Observation()
             # Observed in the stage that writes, where a task that runs again counts once. The shares freq / len of a
             # document add up to 1.
-            p = p.observe(seen, F.sum("freq").alias("sum_ttf"), F.sum(F.col("freq") / F.col("len")).alias("docs"))
-            p.select("field", "term", F.col("doc_id").cast("long").alias("doc_id"), "len", "freq", "positions", "bucket").write.option("compression", self.codec).mode(mode).partitionBy("bucket").parquet(f"{self.path}/{place}/postings")
-            there = self.spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{self.path}/{place}/postings").where(F.col("field") == f)
-            stats = there.groupBy("bucket", "field", "term").agg(F.count("*").alias("df"), F.sum("freq").alias("ttf"))
-            stats.repartition(buckets, "bucket").sortWithinPartitions("bucket", "field", "term").write.option("compression", self.codec).mode(mode).partitionBy("bucket").parquet(f"{self.path}/{place}/terms")
+            p = p.repartitionById(buckets * files, number).sortWithinPartitions("term", "doc_id").observe(seen, F.sum("freq").alias("sum_ttf"), F.sum(F.col("freq") / F.col("len")).alias("docs"))
+            p.write.option("compression", self.codec).mode(mode).parquet(f"{self.path}/{place}/postings")
+            there = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{place}/postings").where(F.col("field") == f)
+            stats = there.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("freq").alias("ttf"))
+            stats.repartitionById(buckets, bucket).sortWithinPartitions("term").write.option("compression", self.codec).mode(mode).parquet(f"{self.path}/{place}/terms")
             told[f] = {"doc_count": round(seen.get["docs"] or 0), "sum_ttf": seen.get["sum_ttf"] or 0}
         return told
 
@@ -384,8 +394,9 @@ class Index:
         docs = self.spark.read.schema(docs.schema).parquet(f"{self.path}/{place}/docs")
         size = self.folder.size(f"{place}/docs")
         buckets = min(MOST_BUCKETS, max(8, -(-size // BUCKET_BYTES)))
-        told = self._tables(docs, place, size, buckets)
-        return Part(name, seen.get["n"], self.folder.size(place), buckets, told, docs.schema.json())
+        files = max(1, -(-size // (FILE_BYTES * buckets)))
+        told = self._tables(docs, place, files, buckets)
+        return Part(name, seen.get["n"], self.folder.size(place), buckets, files, told, docs.schema.json())
 
     def add(self, df: DataFrame, source: str | None = None, batch: int = 0) -> Index:
         """Writes a batch as a segment; commit() makes it seen. A batch of a source that was committed before is not
@@ -415,8 +426,10 @@ class Index:
         counts = {r["segment"]: r["count"] for r in rows.groupBy("segment").count().collect()}  # a row a segment
         if counts:
             rows.select("segment", "doc_id").write.parquet(f"{self.path}/{place}/ids")
-            told = self._tables(rows, place, self.folder.size(f"{place}/rows"), 8)
-            self.pending = replace(self.pending, tombstones=(*self.pending.tombstones, Part(name, sum(counts.values()), 0, 8, told, "", tuple(sorted(counts)))))
+            size = self.folder.size(f"{place}/rows")
+            buckets = min(MOST_BUCKETS, max(8, -(-size // BUCKET_BYTES)))
+            told = self._tables(rows, place, 1, buckets)
+            self.pending = replace(self.pending, tombstones=(*self.pending.tombstones, Part(name, sum(counts.values()), 0, buckets, 1, told, "", tuple(sorted(counts)))))
         self.folder.fs.delete(self.folder.at(f"{place}/rows"), True)
         return self
 
