@@ -3,13 +3,14 @@
 1. A pass over the texts hashes shingles (63 bits) and identifies sets (128 bits); equal sets become one vertex, and the
    text of one row is kept for each.
 2. Candidates. In any order of all hashes, two sets that link share one of the n - ceil(t n) + 1 first hashes of each
-   (prefix filter, t = 3/4). The order here is by hash, but hashes that many sets hold (``FREQUENT`` at most, counted in
-   one set of SAMPLE) come last: a passage in many texts then stands in no prefix but of sets that hold little else.
+   (prefix filter, t = 3/4). The order here is by how many sets hold a hash, counted in one set of SAMPLE and rounded to
+   levels, then by hash: a passage in many texts then stands in no prefix but of sets that hold little else, and after
+   what only a group of copies holds. The levels are a table of cells that grows with the hashes counted, up to FREQUENT.
    The sets that hold a prefix hash stand in a row by size. In rows of up to SHORT sets pairs are counted over all
    hashes, and pairs go that cannot reach the overlap with all that lies beyond the prefixes. In longer rows no pair is
    made: sets are tied to the first of their run of close sizes, which can tie too much, but never too little. Rows of
    hashes that are known to be hot stay where they are, each set tied to two classes of sizes. So every link lies inside
-   a component of these candidates, a block, whatever hashes count as frequent or hot: those only decide what it costs.
+   a component of these candidates, a block, whatever the levels are: those only decide what it costs.
 3. A block is dealt in tiles of bounded size. A signature tree over a tile holds in its nodes the OR of their sets'
    bitmaps, the range of sizes and the largest number of hashes that share a bit. A dual traversal, level by level, drops
    node pairs whose bitmaps and sizes allow no overlap that is large enough; pairs of sets that remain, and that no link
@@ -27,6 +28,7 @@ may have any name but those that begin with ``__``, and are left out by join.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,9 +40,11 @@ from .common import batches_of, components, discard, packed, stored, to_least, u
 from .hashing import mix, shingle_sets
 
 SHORT, TILE, LEAF, FAN, ENTRIES = 32, 256, 16, 8, 50_000
-#: Hashes of a tile, about. Hashes that come last in the order, at most; how many sets of the sample, one in SAMPLE, must
-#: hold such a one; it is hot if more than one in HOT sets of the sample do.
-TILE_HASHES, FREQUENT, OFTEN, SAMPLE, HOT = 1 << 22, 1 << 18, 4, 4, 500
+#: Hashes of a tile, about. Cells of the table of levels, at most (one byte each); how many sets of the sample, one in
+#: SAMPLE, must hold a hash for it to have a level; it is hot if more than one in HOT sets of the sample do, about.
+TILE_HASHES, FREQUENT, OFTEN, SAMPLE, HOT = 1 << 22, 1 << 25, 4, 4, 500
+#: Cells for each hash that has a level, so that few others fall on them; cells that a task sends to the driver at once.
+CELLS, PIECE = 8, 1 << 16
 PART = 1 << 20
 
 
@@ -97,59 +101,63 @@ def identified(rows: DataFrame) -> DataFrame:
     return rows.select("__row", "__hash", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "__row long, __hash long, doc_id long, n long, k1 long, k2 long")
 
 
-LAST = np.uint64(1 << 63)
-
-
-def _in(s: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return table[np.minimum(np.searchsorted(table, s), len(table) - 1)] == s if len(table) else np.zeros(len(s), bool)
-
-
-def prefixes(texts: DataFrame, last: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """texts (v, text) -> entries (s, n, v, hot), one a prefix hash. last: the hashes, ascending, that come last in the
-    order; they get their highest bit set, so that the order is that of unsigned numbers. hot: some of these."""
-    shared = texts.sparkSession.sparkContext.broadcast((last, hot))
+def prefixes(texts: DataFrame, levels: np.ndarray, hot: int) -> DataFrame:
+    """texts (v, text) -> entries (s, n, v, hot), one a prefix hash, in the order of levels (of which a hash has that of its
+    cell), then of hashes. Hashes of level hot or more are hot."""
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, known = shared.value
+        table = shared.value
         for batch in batches:
-            v, n, p, out = [], [], [], [np.zeros(0, np.uint64)]
+            v, n, p, out, hots = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for own, s in zip(batch.column(0).to_pylist(), sets(batch.column(1).to_pylist()), strict=True):
-                at_end = _in(s, late)
-                s = np.concatenate([s[~at_end], s[at_end] | LAST])
+                level = table[s % np.uint64(len(table))]
                 v.append(own)
                 n.append(len(s))
                 p.append(prefix_size(len(s)) if len(s) else 0)
-                out.append(s[: p[-1]].copy())
-            every = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(np.repeat(np.array(n, np.int64), p)), pa.array(np.repeat(np.array(v, np.int64), p)), pa.array((every >= LAST) & _in(every & ~LAST, known))], names=["s", "n", "v", "hot"])
+                at = np.argsort(level, kind="stable")[: p[-1]]
+                out.append(s[at])
+                hots.append(level[at] >= hot)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(n, np.int64), p)), pa.array(np.repeat(np.array(v, np.int64), p)), pa.array(np.concatenate(hots))], names=["s", "n", "v", "hot"])
 
     return texts.select("v", "text").mapInArrow(run, "s long, n long, v long, hot boolean")
 
 
-def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes that the most sets of a sample hold: all above a level, the lowest at which no more than FREQUENT are
-    left; and those of them that are hot. Both ascending."""
+def frequent(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many sets of a sample hold the hashes that OFTEN or more of them hold: levels by cell (hash modulo their number),
+    four to a doubling, the highest of the cell's hashes, 0 without such a hash; and the level from which a hash is hot.
+
+    However many hashes there are, none is left out: beyond FREQUENT cells they share them, and a rare hash in the cell of
+    a frequent one only comes later in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = np.concatenate([np.zeros(0, np.uint64), *sets(batch.column(0).to_pylist())])
             yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["s"])
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            piece, at, level = (batch.column(i).to_numpy() for i in range(3))
+            for k in np.unique(piece):
+                own = piece == k
+                np.maximum.at(held.setdefault(int(k), np.zeros(PIECE, np.uint8)), at[own], level[own].astype(np.uint8))
+        for k, levels in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([levels.tobytes()], pa.binary())], names=["piece", "levels"])
+
+    spark = texts.sparkSession
     sample = texts.where(F.pmod(F.xxhash64("v", F.lit(9)), F.lit(SAMPLE)) == 0)
     counts = stored(sample.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN), "frequent")
-    level = F.floor(F.log2("c") * 4).cast("int")
-    least, total = None, 0
-    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred levels at most
-        total += r["count"]
-        if total > FREQUENT:
-            break
-        least = r["level"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    cells = max(1, min(FREQUENT, CELLS * counts.count()))
+    cell, level = F.col("s") % cells, F.floor(F.log2("c") * 4).cast("int")
+    dealt = counts.select(F.floor(cell / PIECE).alias("piece"), (cell % PIECE).alias("at"), level.alias("level"))
+    table = np.zeros(-(-cells // PIECE) * PIECE, np.uint8)
+    with batches_of(spark, ENTRIES):
+        for r in dealt.repartition("piece").mapInArrow(pieces, "piece long, levels binary").collect():
+            table[r["piece"] * PIECE :][:PIECE] = np.frombuffer(r["levels"], np.uint8)
+    discard(counts)
     many = max(SHORT, sample.count() // HOT)
-    rows = counts.where(level >= least).select("s", (F.col("c") > many).alias("hot")).toPandas()
-    s = rows["s"].to_numpy(np.int64).view(np.uint64)
-    return np.sort(s), np.sort(s[rows["hot"].to_numpy(bool)])
+    return table[:cells], math.floor(math.log2(many + 1) * 4)
 
 
 def _classes(s: np.ndarray, n: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -416,9 +424,9 @@ def linked_sets(rows: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame, Dat
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__row")
     vertices = stored(d.where("k1 is not null").groupBy("k1", "k2").agg(F.min("__row").alias("v"), F.min(first).alias("first"), F.min("n").alias("n")), "vertices")
     texts = stored(rows.select(F.col("__row").alias("v"), "text").join(vertices.select("v"), "v", "left_semi"), "texts")
-    last, hot = frequent(texts)
+    levels, hot = frequent(texts)
     with batches_of(rows.sparkSession, ENTRIES, "2m"):
-        entries = prefixes(texts, last, hot).repartition(F.when(F.col("hot"), F.xxhash64("v")).otherwise(F.col("s")))
+        entries = prefixes(texts, levels, hot).repartition(F.when(F.col("hot"), F.xxhash64("v")).otherwise(F.col("s")))
         pairs_ = stored(entries.sortWithinPartitions("s", "n", "v").mapInArrow(row_edges(SHORT), "a long, b long, n_a long, n_b long"), "pairs")
     counted = pairs_.where("n_a is not null").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     # What may be shared beyond the prefixes, of the set whose prefix ends first: at most the larger rest of the two.

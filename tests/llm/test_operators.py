@@ -503,6 +503,34 @@ def test_jaccard_tiles(spark, monkeypatch, small):
     assert got == jaccard_brute(rows)
 
 
+def jaccard_blocks(monkeypatch):
+    """What the operator makes its blocks of from here on: a list that gets their sizes, largest first."""
+    sizes, real = [], jaccard.stored
+
+    def stored(df, name):
+        out = real(df, name)
+        if name == "blocks":
+            sizes.extend(sorted((r["count"] for r in out.groupBy("block").count().collect()), reverse=True))
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    return sizes
+
+
+def test_jaccard_many_passages(spark, monkeypatch):
+    """Unrelated texts are in no block, however many hashes are held by more than SHORT of them."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "FREQUENT", jaccard.FREQUENT >> 12)
+    sizes, rows = jaccard_blocks(monkeypatch), []
+    passages = [[f"p{k}x{i}" for i in range(30)] for k in range(10)]
+    for d in range(200):
+        rows.append((d, " ".join([*(f"d{d}a{i}" for i in range(70 + d % 30)), *passages[d % 10], *(f"d{d}b{i}" for i in range(80)), *passages[d // 20]])))
+    rows.append((200, rows[7][1] + " end"))
+    got = {tuple(r) for r in jaccard.join(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == jaccard_brute(rows) and (200, 7) in {(d, c) for d, _, c in got}
+    assert sizes == [2]
+
+
 def test_jaccard_columns_and_long_texts(spark):
     rng = random.Random(15)
     long = [rng.choice("abcdefghijklmnop") + str(rng.randrange(1000)) for _ in range(120_000)]
