@@ -517,6 +517,19 @@ def jaccard_blocks(monkeypatch):
     return sizes
 
 
+def test_jaccard_groups_with_a_passage(spark, monkeypatch):
+    """A passage that is in several groups of near copies does not make one block of them."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    sizes, rows = jaccard_blocks(monkeypatch), []
+    passage = [f"p{i}" for i in range(30)]
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(180)]
+        for i in range(40):
+            rows.append((len(rows), " ".join([*base[:90], *passage, *base[90 : 100 + i], f"own{len(rows)}", *base[101 + i :]])))
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(frame(spark, rows)).collect()) == [40 * g for g in range(8)]
+    assert sizes == [40] * 8
+
+
 def test_jaccard_many_passages(spark, monkeypatch):
     """Unrelated texts are in no block, however many hashes are held by more than SHORT of them."""
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
