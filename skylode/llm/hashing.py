@@ -39,7 +39,13 @@ def spans(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((s[end] - s[start]) * _inverse[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
+def distinct(x: np.ndarray) -> np.ndarray:
+    """x sorted, each value once: np.unique has a hash table for this, which costs more than to sort."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x
+
+
+def shingle_sets(texts: list[bytes], width: int = 5, bits: int = 64) -> list[np.ndarray]:
     """For each text, lower-cased, the sorted distinct hashes of its word n-grams; all words as one if it has fewer."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
@@ -54,14 +60,14 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     grams = np.zeros(max(n, 0), U)
     for j in range(width if n > 0 else 0):
         grams += words[j : j + n] * factor[j]
-    grams = mix(grams)
+    grams = mix(grams) >> U(64 - bits)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= width:
-            out.append(np.unique(grams[a : b - width + 1]))
+            out.append(distinct(grams[a : b - width + 1]))
         elif b > a:
             whole = (words[a:b] * factor[: b - a]).sum(dtype=U, keepdims=True) + np.array([b - a], U) * U(0xA24BAED4963EE407)
-            out.append(mix(whole))
+            out.append(mix(whole) >> U(64 - bits))
         else:
             out.append(np.zeros(0, U))
     return out

@@ -37,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, components, discard, packed, stored, to_least, unpack, unpacked
-from .hashing import mix, shingle_sets
+from .hashing import distinct, mix, shingle_sets
 
 SHORT, TILE, LEAF, FAN, ENTRIES = 32, 256, 16, 8, 50_000
 #: Hashes of a tile, about. Cells of the table of levels, at most (one byte each); how many sets of the sample, one in
 #: SAMPLE, must hold a hash for it to have a level; it is hot if more than one in HOT sets of the sample do, about.
 TILE_HASHES, FREQUENT, OFTEN, SAMPLE, HOT = 1 << 22, 1 << 25, 4, 4, 500
+#: Where all pairs of tiles meet, a block of more than WIDE tiles has tiles up to WIDE times as large.
+WIDE = 8
 #: Cells for each hash that has a level, so that few others fall on them; cells that a task sends to the driver at once.
 CELLS, PIECE = 8, 1 << 16
 PART = 1 << 20
@@ -65,9 +67,7 @@ def sets(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
     held, size = [], 0
 
     def work():
-        for s in shingle_sets(held):
-            s = s >> np.uint64(1)
-            yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
+        yield from shingle_sets(held, bits=63)
         held.clear()
 
     for z in texts:
@@ -317,11 +317,13 @@ def links(ids: list[int], own: list[np.ndarray], parts: list[int], tiles: list[i
     y = x if i == j else Tree([own[k] for k in right], bits)
     names, label = np.unique(np.array(parts), return_inverse=True)
     label = label.copy()
-    words, rows = np.unique(np.concatenate(own)), None
+    every, rows = np.sort(np.concatenate(own)), None
+    words = distinct(every[1:][every[1:] == every[:-1]])  # what one set alone holds is in no overlap
     if len(ids) * len(words) <= 1 << 29:  # bitmaps without shared bits, up to 64 MB: then their AND is the overlap
         rows = np.zeros((len(ids), -(-len(words) // 64)), np.uint64)
-        for k, s in enumerate(own):
+        for k, s in enumerate(own if len(words) else ()):
             at = np.searchsorted(words, s)
+            at = at[words[np.minimum(at, len(words) - 1)] == s]
             np.bitwise_or.at(rows[k], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     size = np.array([len(s) for s in own])
     first = label.copy()
@@ -373,9 +375,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made()
 
 
-def _tiles(rows, size):
-    """How many tiles so many sets with so many hashes in all make."""
-    return F.greatest(F.ceil(rows / TILE), F.ceil(size / TILE_HASHES)).cast("int")
+def _tiles(rows, size, wide=1):
+    """How many tiles, of up to wide * TILE sets, so many sets with so many hashes in all make."""
+    return F.greatest(F.ceil(rows / (TILE * wide)), F.ceil(size / TILE_HASHES)).cast("int")
 
 
 def _sized(blocks: DataFrame) -> DataFrame:
@@ -391,13 +393,16 @@ def _within(texts: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
 
 
 def _across(texts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """blocks (v, n, block, part), each of several parts -> joined parts (a, b), from all pairs of tiles.
+    """blocks (v, n, block, part, tiles), each of several parts -> joined parts (a, b), from all pairs of tiles.
 
-    A part of more than half a tile has tiles of its own, numbered from ``at`` on; the others share those from 0 on.
+    A part of more than half a tile has tiles of its own, numbered from ``at`` on; the others share those from 0 on. A text
+    is sent, and hashed again, once for each tile that its own meets, so a block of many tiles is dealt in fewer, wider
+    ones: about WIDE of them, until they are WIDE times as wide.
     """
-    parts = blocks.groupBy("block", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
-    large = (F.col("rows") > TILE // 2) | (F.col("size") > TILE_HASHES // 2)
-    shared = parts.groupBy("block").agg(F.coalesce(_tiles(F.sum(F.when(~large, F.col("rows"))), F.sum(F.when(~large, F.col("size")))), F.lit(0)).alias("shared"), F.collect_list(F.when(large, F.struct(F.col("part"), _tiles(F.col("rows"), F.col("size")).alias("tiles")))).alias("own"))
+    wide = F.least(F.lit(WIDE), F.ceil(F.max("tiles") / WIDE)).alias("wide")
+    parts = blocks.groupBy("block", "part").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), wide)
+    large = (F.col("rows") > F.col("wide") * (TILE // 2)) | (F.col("size") > TILE_HASHES // 2)
+    shared = parts.groupBy("block").agg(F.coalesce(_tiles(F.sum(F.when(~large, F.col("rows"))), F.sum(F.when(~large, F.col("size"))), F.max("wide")), F.lit(0)).alias("shared"), F.collect_list(F.when(large, F.struct(F.col("part"), _tiles(F.col("rows"), F.col("size"), F.col("wide")).alias("tiles")))).alias("own"))
     # Of a block, one entry a large part: it names the part of every tile, null for shared ones.
     plan = shared.select("block", "shared", F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("shared")), F.flatten(F.transform(F.array_sort("own"), lambda x: F.array_repeat(x["part"], x["tiles"])))).alias("pure"))
     d = blocks.join(plan, "block")

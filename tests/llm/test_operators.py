@@ -7,7 +7,9 @@ import math
 import random
 import re
 import struct
+import uuid
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -530,6 +532,29 @@ def test_jaccard_groups_with_a_passage(spark, monkeypatch):
     assert sizes == [40] * 8
 
 
+def test_jaccard_block_of_many_tiles(spark, monkeypatch, tmp_path):
+    """Where all tiles of a block meet, a text is not sent once for each TILE sets of it."""
+    for name, value in {"SHORT": 2, "TILE": 4, "OFTEN": 1 << 30}.items():  # no hash has a level: the passage makes one block
+        monkeypatch.setattr(jaccard, name, value)
+    sizes, real, seen = jaccard_blocks(monkeypatch), jaccard._verify, str(tmp_path)
+
+    def verify(batches):
+        def counted():
+            for k, batch in enumerate(batches):
+                Path(seen, f"{uuid.uuid4().hex}-{k}").write_text(str(batch.num_rows))
+                yield batch
+
+        yield from real(counted())
+
+    monkeypatch.setattr(jaccard, "_verify", verify)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([f"w{i}n{k}" for k in range(20)] + passage + [f"x{i}n{k}" for k in range(20)])) for i in range(128)]
+    rows += [(i, rows[i - 128][1] + " end") for i in range(128, 256)]
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(frame(spark, rows)).collect()) == list(range(128))
+    assert sizes[0] > 200
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) < 20 * 256
+
+
 def test_jaccard_many_passages(spark, monkeypatch):
     """Unrelated texts are in no block, however many hashes are held by more than SHORT of them."""
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
