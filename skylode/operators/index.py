@@ -38,37 +38,53 @@ POSTINGS = "field string, term string, doc_id long, len int, freq int, positions
 TERMS = "field string, term string, df long, ttf long"
 #: Bytes of stored documents for each bucket and for each file of a bucket; buckets at most.
 BUCKET_BYTES, FILE_BYTES, MOST_BUCKETS = 32 << 20, 256 << 20, 4096
+#: Rows of the Arrow batches that postings are cut from, and the tokens that are sorted at once (a document's at least).
+BATCH_ROWS, BATCH_TOKENS = 128, 1 << 18
+
+
+def pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose sizes add up to ``most`` at most; a larger row is a run of its own."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + most, "right")))
+        yield a, b
+        a = b
 
 
 def postings_of(df: DataFrame, key: str, field: str, terms=index_terms) -> DataFrame:
     """(doc_id, field, term, len, freq, positions) of one text column, without a shuffle; len is the field's length."""
 
+    def cut(batch: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+        words = batch.column(1).flatten().dictionary_encode()  # null lists have no words
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(doc * max(1, len(words.dictionary)) + code, kind="stable")
+        doc, code, at = doc[order], code[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])) if len(doc) else np.zeros(0, np.int64)
+        ends = np.append(first, len(doc)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(pa.array(doc[first])),
+                pa.array([field], pa.string()).take(pa.array(np.zeros(len(first), np.int64))),
+                words.dictionary.take(pa.array(code[first])),
+                pa.array(sizes[doc[first]].astype(np.int32)),
+                pa.array(np.diff(ends)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32))),
+            ],
+            names=["doc_id", "field", "term", "len", "freq", "positions"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            words = lists.flatten().dictionary_encode()  # null lists have no words
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(doc * max(1, len(words.dictionary)) + code, kind="stable")
-            doc, code, at = doc[order], code[order], at[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])) if len(doc) else np.zeros(0, np.int64)
-            ends = np.append(first, len(doc)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(doc[first])),
-                    pa.array([field], pa.string()).take(pa.array(np.zeros(len(first), np.int64))),
-                    words.dictionary.take(pa.array(code[first])),
-                    pa.array(sizes[doc[first]].astype(np.int32)),
-                    pa.array(np.diff(ends)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32))),
-                ],
-                names=["doc_id", "field", "term", "len", "freq", "positions"],
-            )
+            sizes = np.nan_to_num(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            for a, b in pieces(sizes, BATCH_TOKENS):
+                yield cut(batch.slice(a, b - a), sizes[a:b])
 
     kind = df.schema[key].dataType.simpleString()
     texts = spread(df.select(F.col(key).alias("doc_id"), F.col(field).alias("t")), "doc_id")
+    # Left set, as the plan may run later: a worker's memory must not depend on how many rows its task has.
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return texts.select("doc_id", terms(F.col("t")).alias("t")).mapInArrow(run, f"doc_id {kind}, field string, term string, len int, freq int, positions array<int>")
 
 

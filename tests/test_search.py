@@ -276,6 +276,32 @@ def test_statistics_are_kept(spark, tmp_path):
     assert [r["term"] for r in index.terms_after(stats, "text", "oil", 2).collect()] == ["price", "x1"]
 
 
+def test_postings_are_cut_in_small_batches(spark, monkeypatch):
+    """What a worker holds does not grow with the rows of its task: few rows come at a time, few tokens are sorted at once."""
+    import pyarrow as pa
+    from pyspark.sql import DataFrame
+    from skylode.operators import index
+
+    df = spark.range(0, 3000, 1, 4).selectExpr("id as doc_id", "concat('a b ', id) as text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert index.postings_of(df, "doc_id", "text").count() == 9000
+    sizes = df.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 3000 and max(r["n"] for r in sizes) <= 256
+
+    made = []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: made.append(run) or self)
+    monkeypatch.setattr(type(df), "mapInArrow", DataFrame.mapInArrow)
+    index.postings_of(df, "doc_id", "text")
+    monkeypatch.undo()
+    monkeypatch.setattr(index, "BATCH_TOKENS", 5)
+    texts = [["a", "b", "a"], ["b"], None, [], ["x"] * 9, ["y"], ["a", "c"], ["z"] * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(texts, pa.list_(pa.string()))], names=["doc_id", "t"])
+    out = [o.to_pylist() for o in made[0](iter([batch]))]
+    assert [sum(r["freq"] for r in o) for o in out] == [4, 9, 3, 5]
+    want = [(0, "a", 3, [0, 2]), (0, "b", 3, [1]), (1, "b", 1, [0]), (4, "x", 9, list(range(9))), (5, "y", 1, [0]), (6, "a", 2, [0]), (6, "c", 2, [1]), (7, "z", 5, list(range(5)))]
+    assert sorted((r["doc_id"], r["term"], r["len"], r["positions"]) for o in out for r in o) == want
+
+
 def test_create_and_merge_tiers(spark, tmp_path):
     from skylode.operators.lifecycle import SizeClasses
 
