@@ -1,13 +1,13 @@
-"""Search by largest inner product: additive quantisation (approximate) and shards of KD-trees (exact).
+"""Search by largest inner product: additive quantisation with an exact check, and shards of KD-trees; both are exact.
 
 Both read vectors (vec_id, embedding) and a stated set of queries, and bring queries and candidates together in
 blocks: candidates are dealt into shards and queries into blocks by a hash, each shard meets each block in one task of
-bounded size, and only the best of each (query, shard) go on. What is repeated for the blocks is small: codes in the
-approximate search, trees that were built once a shard in the exact one. Nothing is broadcast but the codebooks, whose
+bounded size, and only the best of each (query, shard) go on. What is repeated for the blocks was made once: codes with
+their packed vectors, or a tree a shard. Nothing is broadcast but the codebooks, whose
 size is fixed.
 
-Cases: vectors that are null, empty or hold null or non-finite components take no part, nor, in the approximate
-search, do zero vectors or rows without an id; shorter vectors count as filled up with zeros. Ties go to the smaller
+Cases: vectors that are null, empty or hold null or non-finite components take no part, nor, in the search
+by codes, do zero vectors or rows without an id; shorter vectors count as filled up with zeros. Ties go to the smaller
 vec_id. A query that has fewer candidates gets them all. Rows that repeat an id are candidates of their own; a query's
 own id is never its candidate, and its smallest vector is what is asked. Empty tables give empty results; other columns
 are not read, whatever their names.
@@ -100,8 +100,8 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
     return codes[np.arange(n), np.argmin(error, axis=1)]
 
 
-def looked_up(codes: np.ndarray, norm: np.ndarray, tables: np.ndarray, rows: int = 2048) -> np.ndarray:
-    """Scores (rows, queries): each row's norm times the sum of one table entry a code. tables: (books, size, queries)."""
+def looked_up(codes: np.ndarray, tables: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """(rows, queries): each row's sum of one table entry a code. tables: (books, size, queries)."""
     out = np.zeros((len(codes), tables.shape[2]), np.float32)
     buffer = np.empty((rows, tables.shape[2]), np.float32)
     for a in range(0, len(codes), rows):
@@ -110,22 +110,86 @@ def looked_up(codes: np.ndarray, norm: np.ndarray, tables: np.ndarray, rows: int
         for j, table in enumerate(tables):
             np.take(table, codes[a : a + rows, j], axis=0, out=own, mode="clip")
             part += own
-        part *= norm[a : a + rows, None]
     return out
 
 
 NEAREST = "query_id long, rank int, vec_id long, score double"
+#: Of the rounding of looked-up scores in single precision, as a share of the norms that are added up.
+ROUNDING = 1e-5
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 32, size: int = 256, beam: int = 4, rerank: int = 100, sample: int = 8192, shard: int = 1 << 17, block: int = 4096) -> DataFrame:
-    """The k nearest found for the rows whose vec_id is divisible by every: query_id, rank, vec_id, score.
+def length(x: np.ndarray) -> np.ndarray:
+    """Norms of rows, without overflow."""
+    most = np.maximum(np.abs(x).max(axis=1, initial=0.0), 1e-300)
+    return most * np.linalg.norm(x / most[:, None], axis=1)
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Each row's product with y, added up from the first component on, so equal rows have equal scores."""
+    out = np.zeros(len(x))
+    for part in (x * y).T:
+        out += part
+    return out
+
+
+class Shard:
+    """Candidates by their codes, and the search for a query's best among them."""
+
+    def __init__(self, ids: np.ndarray, row: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, x: np.ndarray):
+        self.ids, self.row, self.codes, self.scale, self.error, self.x = ids, row, codes, scale, error, x
+        self.checked = 0  # exact products of all searches
+
+    def search(self, books: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k best rows, with their exact products, ties to the smaller id.
+
+        The ``rerank`` rows whose looked-up scores are best are checked first. A row's product is above its looked-up
+        score by the query's norm times the row's error at most, so the rest goes on in the order of this bound, in
+        pieces, until it is below the kth product found.
+        """
+        for a in range(0, len(queries), 16):
+            y = queries[a : a + 16]
+            norm = np.maximum(length(y), 1e-300)
+            y = y / norm[:, None]  # a query's norm bears on no order
+            tables = np.ascontiguousarray((books @ y.T).astype(np.float32))
+            for i, sums in enumerate(looked_up(self.codes, tables).T):
+                yield self._best(sums * self.scale, y[i], queries[a + i], own[a + i], k, rerank)
+
+    def _best(self, score: np.ndarray, unit: np.ndarray, y: np.ndarray, own: int, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+        near, exact = np.zeros(0, np.int64), np.zeros(0)
+
+        def check(rows: np.ndarray) -> float:
+            """The kth product relative to the query's norm, once these rows are in."""
+            nonlocal near, exact
+            self.checked += len(rows)
+            near, exact = np.append(near, rows), np.append(exact, products(self.x[rows], y))
+            best = np.lexsort((self.row[near], self.ids[near], -exact))[:k]
+            near, exact = near[best], exact[best]
+            return (self.x[near[-1]] @ unit) if len(near) == k else -np.inf
+
+        bound = np.where(self.ids != own, score + self.error, -np.inf)
+        few = min(rerank, len(score))
+        first = np.argpartition(np.where(self.ids != own, score, -np.inf), len(score) - few)[len(score) - few :]
+        kth = check(first[self.ids[first] != own])
+        bound[first] = -np.inf
+        rest = np.flatnonzero((bound >= kth) & (bound > -np.inf))
+        rest = rest[np.argsort(-bound[rest], kind="stable")]
+        for a in range(0, len(rest), 4096):
+            if bound[rest[a]] < kth:
+                break
+            kth = check(rest[a : a + 4096])
+        return near, exact
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 32, size: int = 256, beam: int = 4, rerank: int = 100, sample: int = 8192, shard: int = 1 << 25, block: int = 1 << 24) -> DataFrame:
+    """The k nearest for the rows whose vec_id is divisible by every: query_id, rank, vec_id, score.
 
     Directions (vectors over their norm) are what is quantised. The codebooks are fitted on ``sample`` rows, the first
-    by a hash of their id; every row is encoded and stored as its codes and its norm over that of its code sum. The
-    product with a query is then that norm times the sum of one table entry a code; the tables hold the query's
-    products with all code words. Of each query the ``rerank`` rows of all shards that are best by this, ties to the
-    smaller id, are reranked by the exact product of the original vectors, so only these vectors are moved. Recall
-    against all rows is in the README.
+    by a hash of their id; every row is encoded as its codes, the factor that gives their sum the row's norm, and its
+    error, the norm of what this leaves of the row. ``shard`` and ``block`` are bytes of vectors in double precision. The product with a query is then that factor times the sum of one
+    table entry a code, give or take the error times the query's norm; the tables hold the query's products with all
+    code words. An exact check follows where a shard meets a block of queries: of the ``rerank`` best rows by this, and
+    of all others that, by their error, could be above the kth product. So what the codebooks do not resolve, such as
+    groups of near copies or rows unlike the sample, costs more checks and loses no neighbour.
     """
     spark = vectors.sparkSession
     v = usable(vectors, zero=False)
@@ -134,55 +198,50 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 32, s
     if not rows:
         return spark.createDataFrame([], NEAREST)
     x = matrix([r["v"] for r in rows], dim)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x /= length(x)[:, None]
     shared = spark.sparkContext.broadcast(train(x, books, size))
+    single = v.schema["v"].dataType.elementType.simpleString() == "float"
+    kind = np.float32 if single else np.float64
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
+        sizes = np.linalg.norm(words, axis=2)
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)
                 x = matrix(batch.column(1).to_pylist(), dim)
-                norm = np.linalg.norm(x, axis=1)
-                codes = encode(x / norm[:, None], words, beam)
+                norm = length(x)
+                unit = x / norm[:, None]
+                codes = encode(unit, words, beam)
                 made = sum(words[j][codes[:, j]] for j in range(len(words)))
-                scale = norm / np.maximum(np.linalg.norm(made, axis=1), 1e-15)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32))], names=["vec_id", "v", "row", "codes", "norm"])
+                scale = 1 / np.maximum(np.linalg.norm(made, axis=1), 1e-15)
+                added = sum(sizes[j][codes[:, j]] for j in range(len(words)))
+                error = np.linalg.norm(unit - made * scale[:, None], axis=1) + ROUNDING * (1 + added * scale)
+                packed = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm * scale), pa.array(norm * error)], names=["vec_id", "v", "row", "codes", "scale", "error"])
 
     numbered = stored(v.repartition(F.col("vec_id")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    kind = v.schema["v"].dataType.simpleString()
-    coded = stored(numbered.mapInArrow(index, f"vec_id long, v {kind}, row long, codes binary, norm float"), "codes")
+    coded = stored(numbered.mapInArrow(index, "vec_id long, v binary, row long, codes binary, scale double, error double"), "codes")
     asked = stored(numbered.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")), "asked")
-    shards, blocks = dealt(coded.count(), asked.count(), shard, block, spark.sparkContext.defaultParallelism)
-    candidates = coded.select("vec_id", "row", "codes", "norm", _own("row", shards, 2).alias("shard"), _all_of(blocks).alias("block"))
+    shards, blocks = dealt(coded.count(), asked.count(), max(1, shard // (8 * dim)), max(1, block // (8 * dim)), spark.sparkContext.defaultParallelism)
+    candidates = coded.select("vec_id", "v", "row", "codes", "scale", "error", _own("row", shards, 2).alias("shard"), _all_of(blocks).alias("block"))
     queries = asked.select("query_id", "q", _own("query_id", blocks, 1).alias("block"), _all_of(shards).alias("shard"))
 
     def search(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": [], "vec_id": [], "row": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "row": "int64"})
         if not len(c) or not len(q):
             return none
-        ids, row, norm = c["vec_id"].to_numpy(), c["row"].to_numpy(), c["norm"].to_numpy()
         codes = np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1).astype(np.intp)
-        y, out = matrix(q["q"], dim), []
-        for a in range(0, len(y), 16):
-            tables = np.ascontiguousarray((shared.value @ y[a : a + 16].T).astype(np.float32))
-            scores = looked_up(codes, norm, tables).T
-            for qid, score in zip(q["query_id"].iloc[a : a + 16], scores, strict=True):
-                near = np.flatnonzero(ids != qid)
-                if len(near) > rerank:
-                    own = score[near]
-                    near = near[own >= np.partition(own, len(own) - rerank)[len(own) - rerank]]
-                near = near[np.lexsort((row[near], ids[near], -score[near]))[:rerank]]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near], "row": row[near], "score": score[near].astype(np.float64)}))
-        return pd.concat(out) if out else none
+        x = np.frombuffer(b"".join(c["v"]), kind).reshape(len(c), dim).astype(np.float64)
+        own = Shard(c["vec_id"].to_numpy(), c["row"].to_numpy(), codes, c["scale"].to_numpy(), c["error"].to_numpy(), x)
+        asked = q["query_id"].to_numpy()
+        near, score = zip(*own.search(shared.value, matrix(q["q"], dim), asked, k, rerank), strict=True)
+        at = np.concatenate(near)
+        return pd.DataFrame({"query_id": np.repeat(asked, [len(n) for n in near]), "vec_id": own.ids[at], "row": own.row[at], "score": np.concatenate(score)})
 
     keys = ["shard", "block"]
     found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, row long, score double")
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
-    near = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rerank).select("query_id", "row")
-    near = near.join(coded.select("vec_id", "row", "v"), "row").join(asked, "query_id")
-    exact = F.aggregate(F.zip_with("v", "q", lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    return best(near.select("query_id", "vec_id", exact.alias("score")), k)
+    return best(found, k)
 
 
 # --- KD-trees --------------------------------------------------------------------------------------------------------

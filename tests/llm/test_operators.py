@@ -167,6 +167,24 @@ def test_nearest_recall(spark):
     assert hit / total >= 0.9
 
 
+def test_nearest_near_copies_and_rows_unlike_the_sample(spark):
+    """More near copies than are reranked, norms of any size, groups that the sample does not hold: no neighbour is lost."""
+    rng = np.random.default_rng(11)
+    groups = [c + 1e-4 * rng.normal(size=(400, 16)) for c in rng.normal(size=(4, 16))]
+    x = np.concatenate([*groups, rng.normal(size=(300, 16)) * 10.0 ** rng.integers(-30, 30, (300, 1))])[rng.permutation(1900)]
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for sizes in ({}, {"shard": 500 * 128, "block": 40 * 128}):
+        got = collections.defaultdict(list)
+        for r in vectors.nearest(df, books=4, size=16, sample=100, **sizes).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert set(got) == set(range(0, 1900, 20))
+        for q, found in got.items():
+            s = vectors.products(x, x[q])
+            s[q] = -np.inf
+            best = np.lexsort((np.arange(1900), -s))[:20]
+            assert found == [(int(i), s[i]) for i in best]
+
+
 def test_nearest_cases(spark):
     rows = [(0, [1.0, 0.0], 0), (20, [0.5, 0.5], 0), (3, [0.0, 0.0], 0), (5, None, 0), (7, [float("inf"), 1.0], 0), (9, [1.0, 0.0], 0), (8, [1.0, 0.0], 0)]
     got = vectors.nearest(frame(spark, rows, "vec_id long, embedding array<float>, label int")).orderBy("query_id", "rank").collect()
