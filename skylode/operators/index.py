@@ -40,6 +40,8 @@ TERMS = "field string, term string, df long, ttf long"
 BUCKET_BYTES, FILE_BYTES, MOST_BUCKETS = 32 << 20, 256 << 20, 4096
 #: Rows of the Arrow batches that postings are cut from, and the tokens that are sorted at once (a document's at least).
 BATCH_ROWS, BATCH_TOKENS = 128, 1 << 18
+#: Rows of a join that meet in one task, and deleted rows that are broadcast.
+JOIN_ROWS, FEW_DEAD = 1 << 19, 1 << 17
 
 
 def pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -124,6 +126,12 @@ def terms_after(stats: DataFrame, field: str, term: str | None, n: int) -> DataF
 NUMBER = re.compile(r"part-(\d+)-")
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, of up to so many rows, in parts of JOIN_ROWS by its keys. Parts that Spark makes have so many bytes as they are
+    packed, and ids pack so well that one part may have tens of millions of rows."""
+    return df if rows <= JOIN_ROWS else df.repartition(-(-rows // JOIN_ROWS), *keys)
+
+
 def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
@@ -232,8 +240,19 @@ class Snapshot:
         parts = [f"{self.path}/tombstones/{t.name}/ids" for t in self.version.tombstones if t.docs]
         return self.spark.read.schema("segment string, doc_id long").parquet(*parts) if parts else None
 
-    def _live(self, df: DataFrame) -> DataFrame:
-        return df.join(self.dead, ["segment", "doc_id"], "left_anti") if self.dead is not None and self.deletes == "immediate" else df
+    def _live(self, df: DataFrame, rows: int) -> DataFrame:
+        """df, of up to so many rows, without deleted ones."""
+        dead = self.dead
+        if dead is None or self.deletes != "immediate":
+            return df
+        gone, keys = sum(t.docs for t in self.version.tombstones), ("segment", "doc_id")
+        if gone <= FEW_DEAD:
+            return df.join(F.broadcast(dead), list(keys), "left_anti")
+        if max(rows, gone) <= JOIN_ROWS:
+            return df.join(dead, list(keys), "left_anti")
+        # An anti join would be pushed into the union of the segments, and all their joins would run in one task at once.
+        dead = dealt(dead, max(rows, gone), *keys).distinct().withColumn("__dead", F.lit(True))
+        return dealt(df, max(rows, gone), *keys).join(dead.hint("shuffle_hash"), list(keys), "left").where("__dead is null").drop("__dead")
 
     @property
     def stored(self) -> DataFrame:
@@ -245,7 +264,7 @@ class Snapshot:
 
     @property
     def docs(self) -> DataFrame:
-        return self._live(self.stored).drop("segment")
+        return self._live(self.stored, self.max_doc()).drop("segment")
 
     def _buckets(self, parts: Iterable[Part], kind: str, table: str, terms: list[str] | None) -> list[tuple[str, list[str]]]:
         """For each part the files of a table that hold these terms (all of its files, if None). A file has its number in its name."""
@@ -262,7 +281,8 @@ class Snapshot:
         tables = [self.spark.read.schema(POSTINGS).parquet(*paths).withColumn("segment", F.lit(name)) for name, paths in self._buckets(self.version.segments, "segments", "postings", terms)]
         every = reduce(DataFrame.unionByName, tables) if tables else self._empty(f"{POSTINGS}, segment string")
         every = every.where(F.col("field") == field)
-        return self._live(every if terms is None else every.where(F.col("term").isin(terms))).drop("segment")
+        rows = self.max_doc() * len(terms) if terms is not None else sum(s.fields.get(field, {}).get("sum_ttf", 0) for s in self.version.segments)
+        return self._live(every if terms is None else every.where(F.col("term").isin(terms)), rows).drop("segment")
 
     def terms(self, field: str, terms: list[str] | None = None) -> DataFrame:
         """(field, term, df, ttf) of the live documents, from the statistics of segments and tombstones; nothing is counted."""
@@ -433,10 +453,13 @@ class Index:
         every = self._snapshot(replace(v, tombstones=(*v.tombstones, *self.pending.tombstones)), "immediate")
         if not v.segments:
             return self
-        keys = over_postings(query.normalise(), every, None, self.modes).select("doc_id").distinct()
+        # Distinct keys in an inner join: a semi join would be pushed into the union of the segments.
+        n = every.max_doc()
+        keys = dealt(over_postings(query.normalise(), every, None, self.modes).select("doc_id"), n, "doc_id").distinct()
+        keys = keys.hint("shuffle_hash") if n > JOIN_ROWS else keys
         name = uuid.uuid4().hex
         place = f"tombstones/{name}"
-        rows = every._live(every.stored).join(keys, "doc_id", "left_semi").select("segment", "doc_id", *self.text)
+        rows = dealt(every._live(every.stored, n), n, "doc_id").join(keys, "doc_id").select("segment", "doc_id", *self.text)
         rows.write.parquet(f"{self.path}/{place}/rows")
         rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{place}/rows")
         counts = {r["segment"]: r["count"] for r in rows.groupBy("segment").count().collect()}  # a row a segment

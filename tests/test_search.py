@@ -302,6 +302,29 @@ def test_postings_are_cut_in_small_batches(spark, monkeypatch):
     assert sorted((r["doc_id"], r["term"], r["len"], r["positions"]) for o in out for r in o) == want
 
 
+def test_joins_of_many_deleted_rows(spark, tmp_path, monkeypatch):
+    """Where many rows are deleted, the rows that meet in one task are bounded, whatever they pack to and however many segments there are."""
+    from pyspark.sql import functions as F
+    from skylode.operators import index
+
+    monkeypatch.setattr(index, "JOIN_ROWS", 100)
+    monkeypatch.setattr(index, "FEW_DEAD", 10)
+    rows = spark.range(0, 1000, 1, 2).selectExpr("id as doc_id", "concat('w', id % 2, ' all') as text", "id % 5 as v")
+    ix = Index(spark, str(tmp_path / "ix"))
+    for k in range(4):
+        ix.add(rows.where(f"doc_id % 4 = {k}"))
+    ix.commit()
+    ix.delete(t("w1")).commit()
+    ix.delete(Term("v", "2")).delete(Bool(must=(t("w0"),), filter=(Range("v", 0, 0),))).commit()
+    left = [i for i in range(1000) if i % 2 == 0 and i % 5 not in (0, 2)]
+    seen = ix.open()
+    assert ids(seen.docs) == left == ids(seen.hits(t("all"))) and seen.count(t("all")) == 300 == seen.num_docs()
+    tasks = [r["count"] for r in seen.docs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) >= 8 and max(tasks) <= 100
+    ix.compact(2)
+    assert ids(ix.open().stored) == left and ix.version().tombstones == ()
+
+
 def test_create_and_merge_tiers(spark, tmp_path):
     from skylode.operators.lifecycle import SizeClasses
 
